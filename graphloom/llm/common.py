@@ -53,7 +53,7 @@ class Stored:
     def drop(self) -> None:
         """Only once nothing reads it any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.sessionState().newHadoopConf()).delete(path, True)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class WordHashes(dict):

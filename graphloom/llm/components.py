@@ -1,0 +1,30 @@
+"""Connected components of links by minimum labels and pointer jumping, on stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Stored
+
+
+def connected(links: DataFrame) -> Stored:
+    """(v, c) with the smallest vertex of each component, for the vertices of links (a, b).
+
+    Every round a vertex takes the least label around it and then its label's label, so long chains take rounds in the
+    logarithm of their length. Labels and links stay in tables; only a count of changes reaches the driver.
+    """
+    both = Stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    now = Stored(both.df.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
+    while True:
+        around = both.df.join(now.df, F.col("b") == F.col("v")).groupBy("a").agg(F.min("c").alias("m"))
+        least = now.df.join(around, F.col("v") == F.col("a"), "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        to = now.df.select(F.col("v").alias("w"), F.col("c").alias("d"))
+        nxt = Stored(least.join(to, F.col("c") == F.col("w"), "left").select("v", "old", F.coalesce("d", "c").alias("c")), "labels")
+        changed = not nxt.df.where("c <> old").isEmpty()
+        now.drop()
+        now = nxt
+        if not changed:
+            both.drop()
+            now.df = now.df.select("v", "c")
+            return now
