@@ -10,8 +10,12 @@ arithmetic, and ranks come from counts for each task and bin. Token ids never sh
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +25,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stored
+from .token_counts import byte_alphabet
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
-MEMO = 1 << 19
+MEMO = 300_000
+
+#: A lower-casing word tokenizer's normaliser and splitter. Chunks of ASCII and precomposed Latin letters
+#: (without the added tokens' opening) are split here by the same pattern and merged by the tokenizer's model, pieces
+#: being remembered; any other chunk, or tokenizer, goes through the library whole.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿßœæ]+|[0-9]|[^\\sa-zà-öø-ÿßœæ0-9]+")
+_NOT_PLAIN = re.compile("[^\x21-\x7eÀ-ÖØ-öø-ÿŒœ]|<\\|")
 
 _PIECES = "k {key}, start long, length long, ids_crc32 long, doc_tokens long, bin int, task int, nth long"
 
@@ -32,30 +51,45 @@ class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, white-space-parted chunks remembered up to a bound."""
 
     def __init__(self, config: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; small batches would pay for threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        spec = json.loads(config)
+        self.plain = (spec["normalizer"], spec["pre_tokenizer"], spec["model"].get("dropout")) == (_NORMAL, _SPLIT, None)
+        self.plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or "<|" not in t["content"] for t in spec["added_tokens"])
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        b = self.pieces[piece] = pack_ids(f"<{len(ids)}I", *ids)
+        return b
+
+    def _learn(self, missing: list[str]) -> None:
+        odd = []
+        for c in missing:
+            if self.plain and not _NOT_PLAIN.search(c):
+                self.memo[c] = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(c.lower())])
+            else:
+                odd.append(c)
+        if odd:
+            encoded = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            self.memo.update((c, pack_ids(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, encoded))
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Exact for tokenizers that drop white space: no token spans a space or line feed."""
-        chunks = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        found = list(map(memo.get, chunks))
-        if None in found:
-            if len(memo) > MEMO:
-                memo.clear()
-                memo[""] = b""
-                found = [None] * len(chunks)
-            missing = list({c for c, f in zip(chunks, found) if f is None})
-            own = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
-            memo.update((c, b) for c, b in own.items() if len(c) <= 64)
-            own[""] = b""
-            found = [own.get(c) if f is None else f for c, f in zip(chunks, found)]
-            found = [memo[c] if f is None else f for c, f in zip(chunks, found)]
-        return b"".join(found)
+        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            self.pieces.clear()
+        self._learn(list(set().union(*chunks) - self.memo.keys()))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
 
 def _drops_space(config: str) -> bool:
@@ -160,12 +194,12 @@ def _cut(config: str, window: int, unit: int, end_id: int):
         task = TaskContext.get().partitionId()
         encoder, seen = Encoder(config), np.zeros(-(-window // unit) + 1, np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                texts = part.column(1).to_pylist()
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                encoded = encoder.encode_all(part.column(1).to_pylist())
                 row, start, length, crc, tokens, bins, nth = [], [], [], [], [], [], []
-                for i, t in enumerate(texts):
-                    ids = (encoder.encode(t) if t else b"") + end
+                for i, ids in enumerate(encoded):
+                    ids += end
                     n = len(ids) // 4
                     view = memoryview(ids)
                     for s in range(0, n, window):
