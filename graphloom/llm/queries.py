@@ -63,12 +63,19 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
 }
 
