@@ -75,12 +75,26 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, joined, scan_secrets
+
+    spans = F.col("spans")
+    of = lambda n: F.size(F.filter(spans, lambda s: s["at"] == n)).cast("long")
+    return scan_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(of(n).alias(f"n_{rule.kind}") for n, rule in enumerate(BASE)),
+        F.sha2(joined(F.filter(spans, lambda s: s["at"] < len(BASE))), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
