@@ -7,9 +7,9 @@ Two small collections of minhash groups, A and B, stand for all tables: table (i
 
 Documents of equal shingle sets are one class from the start. A table's key enters only where both its halves are
 shared by two classes at least. Links are then sought without all pairs of a bucket: in a few pivot rounds a class is
-verified against one member of another component that shares its buckets; a last round verifies every remaining pair
-of one bucket and different components, so that no link that shares a table is lost. Links count only when the full
-sets agree.
+verified against one member of another component that shares its buckets; a last, exact round takes the classes whose
+buckets still hold different components and verifies every pair of them whose rarest shingles allow a link, so that no
+link that shares a table is lost. Links count only when the full sets agree.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +109,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
+def _could_link(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, p_id) of different labels that can be similar enough; exact, without a bucket's all pairs.
+
+    Shingles are ordered from rare to frequent. Similar sets share one of their first n - ceil(percent% of n) + 1, and
+    what follows the first shared one must still hold enough for the required overlap.
+    """
+    held = sets.withColumnRenamed("id", "s").join(open_.select("id"), F.col("s") == F.col("id"), "left_semi").select(F.col("s").alias("id"), F.explode("set").alias("token"))
+    held = Stored(held, "tokens").df
+    often = held.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = held.join(often, "token").withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("df", "token")) - 1)
+    n, m, i, j = (F.col(c) for c in ("n", "p_n", "i", "j"))
+    prefix = ranked.join(open_, "id").where((F.col("df") > 1) & (i <= n - F.ceil(percent * n / 100)))
+    prefix = Stored(prefix.select("token", "id", "n", "label", "i"), "prefixes").df
+    other = prefix.select(F.col("token").alias("k"), F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("i").alias("j"))
+    met = prefix.join(
+        other,
+        (F.col("token") == F.col("k")) & (F.col("id") < F.col("p_id")) & (F.col("label") != F.col("p_label")) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m)),
+    )
+    return met.select("id", "p_id").distinct().withColumn("c", F.lit(1).cast("long"))
+
+
 def near_duplicates(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS
 ) -> DataFrame:
@@ -153,9 +175,7 @@ def near_duplicates(
             met = own.join(pivot, (F.col("bucket") == F.col("k")) & (F.col("label") != F.col("p_label")) & close(F.col("n"), F.col("p_n")))
             met = met.groupBy("id", "p_id").agg(F.count("*").alias("c"))
         else:
-            other = own.select(F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("bucket").alias("k"))
-            met = own.join(other, (F.col("bucket") == F.col("k")) & (F.col("id") < F.col("p_id")) & (F.col("label") != F.col("p_label")) & close(F.col("n"), F.col("p_n")))
-            met = met.select("id", "p_id").distinct().withColumn("c", F.lit(1).cast("long"))
+            met = _could_link(own.select("id", "n", "label").distinct(), sets.df, percent)
         pairs = met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"), "id", "p_id", "c")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
