@@ -27,7 +27,7 @@ from .common import SPACE_LOWER_TABLE, Stored, WordHashes, mix, words
 from .components import connected
 
 SHINGLE, PERCENT = 5, 75
-GROUPS, ROWS, PIVOT_ROUNDS = 14, 3, 4
+GROUPS, ROWS, PIVOT_ROUNDS, LOOK_BACK = 14, 3, 4, 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,11 +121,13 @@ def _could_link(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = held.join(often, "token").withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("df", "token")) - 1)
     n, m, i, j = (F.col(c) for c in ("n", "p_n", "i", "j"))
     prefix = ranked.join(open_, "id").where((F.col("df") > 1) & (i <= n - F.ceil(percent * n / 100)))
-    prefix = Stored(prefix.select("token", "id", "n", "label", "i"), "prefixes").df
-    other = prefix.select(F.col("token").alias("k"), F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("i").alias("j"))
+    # a pair is met at its first shared shingle and not again at the next ones; how far back is looked is bounded
+    before = F.collect_list("token").over(W.partitionBy("id").orderBy("i").rowsBetween(-LOOK_BACK, -1))
+    prefix = Stored(prefix.select("token", "id", "n", "label", "i", before.alias("before")), "prefixes").df
+    other = prefix.select(F.col("token").alias("k"), F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("i").alias("j"), F.col("before").alias("p_before"))
     met = prefix.join(
         other,
-        (F.col("token") == F.col("k")) & (F.col("id") < F.col("p_id")) & (F.col("label") != F.col("p_label")) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m)),
+        (F.col("token") == F.col("k")) & ~F.arrays_overlap("before", "p_before") & (F.col("id") < F.col("p_id")) & (F.col("label") != F.col("p_label")) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m)),
     )
     return met.select("id", "p_id").distinct().withColumn("c", F.lit(1).cast("long"))
 
