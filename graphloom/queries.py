@@ -55,6 +55,10 @@ def _one(star: Star, **values) -> DataFrame:
     return row.select(*(F.lit(v).alias(k) for k, v in values.items()))
 
 
+def _field(name: str):
+    return lambda x: x[name].cast("long")
+
+
 # ---- adjacency and membership -----------------------------------------------------------------------------------
 
 
@@ -257,7 +261,7 @@ def _(s):
 
 @_query("graph_from_columns", "SELECT n_regionkey::BIGINT AS src, n_nationkey::BIGINT AS dst FROM nation")
 def _(s):
-    both = s.table("nation").agg(*(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_regionkey"))), lambda x, c=c: x[c].cast("long")).alias(c) for c in ("n_regionkey", "n_nationkey")))
+    both = s.table("nation").agg(*(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_regionkey"))), _field(c)).alias(c) for c in ("n_regionkey", "n_nationkey")))
     return Graph.from_columns(both, "n_regionkey", "n_nationkey").edges.select("src", "dst")
 
 
@@ -493,19 +497,18 @@ def _(s):
     return _one(s, up=paths.is_predecessor(found, "r0", "n0"), across=paths.is_predecessor(found, "r1", "n0"))
 
 
-_SIMPLE = """simple AS (SELECT [0::BIGINT] AS seen, 0::BIGINT AS at, 0::DOUBLE AS cost, '' AS path UNION ALL SELECT list_append(seen, dst), dst, cost + n, path || '/' || dst
-  FROM simple JOIN t3 ON src = at WHERE NOT list_contains(seen, dst))"""
-_TARGET = "(SELECT dst FROM t3 WHERE src = (SELECT max(src) FROM t3) ORDER BY dst LIMIT 1)"
+_SIMPLE = """simple AS (SELECT [0::BIGINT] AS seen, 0::BIGINT AS here, 0::DOUBLE AS cost UNION ALL SELECT list_append(seen, dst), dst, cost + n
+  FROM simple JOIN t3 ON src = here WHERE NOT list_contains(seen, dst))"""
 
 
-@_query("k_shortest", f"WITH RECURSIVE {T3}, {_SIMPLE} SELECT row_number() OVER (ORDER BY cost)::INTEGER AS rank, cost FROM simple WHERE at = (SELECT min(dst) FROM t3 WHERE src = 0) ORDER BY cost LIMIT 5")
+@_query("k_shortest", f"WITH RECURSIVE {T3}, {_SIMPLE} SELECT row_number() OVER (ORDER BY cost)::INTEGER AS rank, cost FROM simple WHERE here = (SELECT min(dst) FROM t3 WHERE src = 0) ORDER BY cost LIMIT 5")
 def _(s):
     g = s.trade3()
     target = g.edges.where("src = 0").agg(F.min("dst").alias("d")).first()["d"]
     return paths.k_shortest(g, 0, target, 5, weight=F.col("n")).select("rank", "cost")
 
 
-@_query("ranked_deviations", f"WITH RECURSIVE {T3}, {_SIMPLE} SELECT row_number() OVER (ORDER BY cost)::INTEGER AS rank, cost FROM simple WHERE at = (SELECT max(dst) FROM t3 WHERE src = 0) ORDER BY cost LIMIT 3")
+@_query("ranked_deviations", f"WITH RECURSIVE {T3}, {_SIMPLE} SELECT row_number() OVER (ORDER BY cost)::INTEGER AS rank, cost FROM simple WHERE here = (SELECT max(dst) FROM t3 WHERE src = 0) ORDER BY cost LIMIT 3")
 def _(s):
     g = s.trade3()
     target = g.edges.where("src = 0").agg(F.max("dst").alias("d")).first()["d"]
@@ -616,8 +619,8 @@ def _(s):
 
 
 @_query("minimum_spanning_forest", f"""WITH RECURSIVE {TRADE}, e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(n * 1000000 + src * 1000 + dst) AS k FROM trade WHERE src <> dst GROUP BY 1, 2),
-  w AS (SELECT e.a AS x, e.b AS y, e.k AS k, e.a AS at FROM e UNION SELECT w.x, w.y, w.k, CASE WHEN f.a = w.at THEN f.b ELSE f.a END FROM w JOIN e f ON (f.a = w.at OR f.b = w.at) AND f.k < w.k)
-  SELECT x AS a, y AS b, k // 1000000 AS n FROM w GROUP BY x, y, k HAVING NOT bool_or(at = y)""")
+  w AS (SELECT e.a AS x, e.b AS y, e.k AS k, e.a AS here FROM e UNION SELECT w.x, w.y, w.k, CASE WHEN f.a = w.here THEN f.b ELSE f.a END FROM w JOIN e f ON (f.a = w.here OR f.b = w.here) AND f.k < w.k)
+  SELECT x AS a, y AS b, k // 1000000 AS n FROM w GROUP BY x, y, k HAVING NOT bool_or(here = y)""")
 def _(s):
     f = trees.minimum_spanning_forest(s.trade(), weight=F.col("n"))
     return f.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("w").cast("long").alias("n"))
