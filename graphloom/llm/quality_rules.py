@@ -149,7 +149,7 @@ def apply_rules(
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("g")).where("g is not null").distinct()
     counts = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
     short = T.StructType([T.StructField("id", kind), T.StructField("shorts", T.BinaryType())])
-    target = rows.select("id", "t").mapInArrow(_compact, short).join(good, F.col("id") == F.col("g"), "left_semi").select("shorts").mapInArrow(_count_shorts, counts)
+    target = rows.select("id", "t").mapInArrow(_compact, short).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("shorts").mapInArrow(_count_shorts, counts)
     raw = rows.select("t").mapInArrow(_count_texts, counts)
     half = 1 << BUCKET_BITS
     logs = []
@@ -162,7 +162,7 @@ def apply_rules(
     measured = T.StructType([T.StructField("id", kind), T.StructField("lang", lang_kind), *(T.StructField(k, t) for k, t in RESULT.items())])
     judged = Stored(rows.mapInArrow(_measure(weights), measured), "measures").df.withColumn("n", F.col("n_words")).withColumn("loss", -F.col("score"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    seen = judged.where(~base).join(good, F.col("id") == F.col("g"), "left_semi")
+    seen = judged.where(~base).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi")
     judged = with_limit(judged, seen, 1 - quantile, LEAST)
     verdict = F.col("limit").isNull() | (F.col("loss") <= F.col("limit"))
     return judged.select(
