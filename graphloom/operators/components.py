@@ -10,6 +10,7 @@ from ..graph import Graph
 from ..kernels import run as kernel
 from ..kernels import structure
 from ..plans.durable import Stored, cut
+from ..plans.iterate import fits_one_task, supersteps
 
 
 def labels_of(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -49,12 +50,15 @@ def disjoint_sets(g: Graph) -> DataFrame:
     return labels_of(g.vertices, g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-def strong_labels(g: Graph) -> DataFrame:
+def strong_labels(g: Graph, *, local_edges: int | None = None) -> DataFrame:
     """(id, label): the least vertex of each strong component.
 
-    Rounds: vertices without live in- or out-edges are components alone; then each vertex takes the least label that
+    Graphs within the bound of one task go to a kernel. Rounds otherwise: vertices without live in- or out-edges are components alone; then each vertex takes the least label that
     reaches it, and what reaches a label back within its colour is that label's component.
     """
+    if fits_one_task(g.edges, local_edges):
+        found = cut(strong_trace(g).select("id", "component"), "strong")
+        return found.join(found.groupBy("component").agg(F.min("id").alias("label")), "component").select("id", "label")
     alive = cut(g.vertices.select("id"), "alive")
     arcs = cut(g.edges.where("src <> dst").select("src", "dst").distinct(), "arcs")
     done: DataFrame | None = None
@@ -107,9 +111,9 @@ def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
         now = nxt.select("id", "label")
 
 
-def strongly_connected_components(g: Graph) -> DataFrame:
+def strongly_connected_components(g: Graph, *, local_edges: int | None = None) -> DataFrame:
     """(id, component), numbered from 0 by first vertices."""
-    return _numbered(g, strong_labels(g))
+    return _numbered(g, strong_labels(g, local_edges=local_edges))
 
 
 def strong_trace(g: Graph) -> DataFrame:
@@ -142,8 +146,6 @@ def edge_merge_condensation(g: Graph, keep, *, rounds: int = 64) -> DataFrame:
     A merged edge carries the edge ids of its way. Where failing vertices form no cycle, ways are grown edge by edge;
     a way that would grow for more than ``rounds`` rounds raises.
     """
-    from ..plans.iterate import supersteps
-
     kept = cut(g.vertices.where(keep).select("id"), "kept")
     e = g.edges.join(kept.select(F.col("id").alias("_s")), F.col("src") == F.col("_s"), "left")
     e = cut(e.join(kept.select(F.col("id").alias("_d")), F.col("dst") == F.col("_d"), "left").select("edge_id", "src", "dst", F.col("_s").isNotNull().alias("from_kept"), F.col("_d").isNotNull().alias("to_kept")), "arcs")
@@ -176,13 +178,14 @@ def euler_path_count(g: Graph) -> int:
     return 1 if odd == 0 else 0 if odd % 2 else odd // 2
 
 
-def greedy_colouring(g: Graph) -> DataFrame:
+def greedy_colouring(g: Graph, *, local_edges: int | None = None) -> DataFrame:
     """(id, colour): in order of insertion each vertex takes the least colour free among its (out) neighbours so far.
 
-    A round colours the vertices all of whose earlier neighbours have a colour.
+    A round colours the vertices all of whose earlier neighbours have a colour; graphs within the bound of one task go
+    to a kernel.
     """
-    from ..plans.iterate import supersteps
-
+    if fits_one_task(g.edges, local_edges):
+        return kernel.run(g, structure.first_fit, "id {id}, colour int")
     v = g.vertices.select("id", "ord")
     near = g.edges.where("src <> dst").select("src", "dst") if g.directed else g.adjacent_vertices().select(F.col("id").alias("src"), F.col("neighbour").alias("dst"))
     ranks = v.select(F.col("id").alias("_i"), F.col("ord").alias("_o"))

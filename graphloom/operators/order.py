@@ -10,10 +10,17 @@ from ..graph import Graph
 from ..kernels import run as kernel
 from ..kernels import structure
 from ..plans.durable import Stored, cut
+from ..plans.iterate import fits_one_task
 
 
-def peel(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(id, layer) by taking away vertices without in-edges round by round, and the vertices left on or behind cycles."""
+def peel(g: Graph, *, local_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, layer) by taking away vertices without in-edges round by round, and the vertices left on or behind cycles.
+
+    Rounds are as many as layers, so graphs within the bound of one task go to a kernel.
+    """
+    if fits_one_task(g.edges, local_edges):
+        found = cut(kernel.run(g, structure.peel, "id {id}, layer int"), "layers")
+        return found, g.vertices.select("id").join(found.select("id"), "id", "left_anti")
     left, arcs = cut(g.vertices.select("id"), "left"), cut(g.edges.select("src", "dst"), "arcs")
     layers: DataFrame | None = None
     k = 0
@@ -29,8 +36,8 @@ def peel(g: Graph) -> tuple[DataFrame, DataFrame]:
         k += 1
 
 
-def is_dag(g: Graph) -> bool:
-    return peel(g)[1].isEmpty()
+def is_dag(g: Graph, *, local_edges: int | None = None) -> bool:
+    return peel(g, local_edges=local_edges)[1].isEmpty()
 
 
 def is_forest(g: Graph) -> bool:
@@ -41,9 +48,9 @@ def is_forest(g: Graph) -> bool:
     return g.edges.count() == g.vertices.count() - n
 
 
-def layers(g: Graph, *, backward: bool = False) -> DataFrame:
+def layers(g: Graph, *, backward: bool = False, local_edges: int | None = None) -> DataFrame:
     """(id, layer): the longest way from a root; sorting by layer and then order is a topological order."""
-    found, left = peel(g.reversed() if backward else g)
+    found, left = peel(g.reversed() if backward else g, local_edges=local_edges)
     if not left.isEmpty():
         raise NonAcyclicGraphError("the graph has a cycle")
     return found
