@@ -162,6 +162,11 @@ def a_star(g: Graph, root, *, weight=None, heuristic=None, target=None) -> DataF
     return shortest_paths(g, root, weight=weight, target=target)
 
 
+def best_first(g: Graph, root, target, *, weight=None) -> DataFrame:
+    """The row of target as shortest_paths has it; nothing where it is out of reach. Loops and what lies farther do not count."""
+    return shortest_paths(g, root, weight=weight, target=target).where(F.col("id") == F.lit(target))
+
+
 def bellman_ford(g: Graph, root=None, *, weight=None, local_edges: int | None = None) -> DataFrame:
     """Any weights; the default root is the first vertex. Raises NegativeCycleError for a negative cycle within reach."""
     if root is None:

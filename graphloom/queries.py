@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import edges as edge_functions
-from .functions import sets
+from .functions import codecs, sets
 from .graph import Graph
-from .operators import augment, components, exact, order, paths, petri, trees, walks
+from .operators import augment, clusters, components, exact, order, paths, petri, trees, walks
 from .sources.star import Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,6 +352,23 @@ def _(s):
     return drawing_model(s.trade3())[1].select("source", "target", "source_label")
 
 
+@_query("array_codec", f"WITH {T3} SELECT id, coalesce(string_agg(dst::VARCHAR, ' ' ORDER BY dst), 'null') AS text, count(dst) AS n FROM v LEFT JOIN t3 ON src = id GROUP BY id")
+def _(s):
+    rows = s.trade3().compressed().select("id", F.when(F.size("targets") > 0, F.col("targets")).alias("targets"))
+    coded = rows.select("id", codecs.encode_array(F.col("targets")).alias("text"))
+    return coded.select("id", "text", F.coalesce(F.size(codecs.decode_array(F.col("text"), "bigint")), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+
+
+@_query("clusters", f"""WITH {TRADE}, m AS (SELECT 'r' || n_regionkey AS cluster, n_nationkey AS id FROM nation UNION ALL SELECT 'world', n_nationkey FROM nation)
+  SELECT a.cluster, (SELECT count(*) FROM m x WHERE x.cluster = a.cluster) AS n_vertices, count(*) AS n_edges FROM trade JOIN m a ON src = a.id JOIN m b ON dst = b.id AND a.cluster = b.cluster GROUP BY 1, 2""")
+def _(s):
+    region = s.table("region").select(F.concat(F.lit("r"), "r_regionkey").alias("cluster"), F.lit("world").alias("parent"))
+    tree = region.union(s.spark.createDataFrame([("world", None)], "cluster string, parent string"))
+    none = s.spark.createDataFrame([], "cluster string, id long")
+    more = s.table("nation").select(F.concat(F.lit("r"), "n_regionkey").alias("cluster"), F.col("n_nationkey").cast("long").alias("id"))
+    return clusters.Clusters(s.trade(), tree, none).add(more).counts()
+
+
 # ---- augmentation -----------------------------------------------------------------------------------------------
 
 
@@ -436,6 +453,11 @@ def _(s):
     return paths.a_star(s.trade(), 0, weight=F.col("n"), target=7).where("id = 7").select("id", "distance")
 
 
+@_query("best_first_target", f"WITH {TRADE}, arcs AS (SELECT src, dst, n::DOUBLE AS w FROM trade), {_rounds('arcs')} SELECT id, distance FROM d25 WHERE id = 11")
+def _(s):
+    return paths.best_first(s.trade(), 0, 11, weight=F.col("n")).select("id", "distance")
+
+
 @_query("critical_path", f"WITH {DAG}, arcs AS (SELECT src, dst, n::DOUBLE AS w FROM dag), {_rounds('arcs', 'max')} SELECT id, distance FROM d25")
 def _(s):
     return paths.dag_shortest_paths(s.trade3_dag(), 0, weight=F.col("n"), longest=True).select("id", "distance")
