@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,19 +19,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/graphloom-shared"
 
 
+_left: dict[str, tuple] = {}
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _left.pop(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """Tables are dropped with the driver; one that died leaves them in the shared folder."""
+    for path in list(_left):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(path)
+
+
 class Stored:
-    """A table written once: recomputation after executor loss starts from it."""
+    """A table written once: recomputation after executor loss starts from it. It stays as long as the driver lives."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+        _left[self.path] = (spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
         df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Only once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.path)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
