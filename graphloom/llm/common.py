@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import Stored
+
+__all__ = ["ALNUM_TABLE", "SPACE_LOWER_TABLE", "SPACE_TABLE", "Stored", "WordHashes", "free_name", "mix", "partitions", "pick", "words"]
+
 #: Words of the contamination and licence operators: after lower-casing A-Z these bytes part words.
 ALNUM_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -28,34 +29,6 @@ def words(text: bytes | None, table: bytes) -> list[bytes]:
     return [w for w in found if w] if b"" in found else found
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or a local one for tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return f"file://{tempfile.gettempdir()}/graphloom-shared"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-class Stored:
-    """A table written once to the shared folder: recomputation after executor loss starts from it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Only once nothing reads it any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class WordHashes(dict):
     """Stable 64-bit hashes of words, remembered up to a bound."""
 
