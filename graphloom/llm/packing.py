@@ -15,7 +15,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from .common import Stored
 from .token_counts import byte_alphabet
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
-MEMO = 300_000
+MEMO = 600_000
 
 #: A lower-casing word tokenizer's normaliser and splitter. Chunks of ASCII and precomposed Latin letters
 #: (without the added tokens' opening) are split here by the same pattern and merged by the tokenizer's model, pieces
@@ -47,49 +46,49 @@ _NOT_PLAIN = re.compile("[^\x21-\x7eÀ-ÖØ-öø-ÿŒœ]|<\\|")
 _PIECES = "k {key}, start long, length long, ids_crc32 long, doc_tokens long, bin int, task int, nth long"
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, white-space-parted chunks remembered up to a bound."""
+class Encoder(dict):
+    """Token ids as little-endian unsigned 32-bit bytes, by white-space-parted chunk, remembered up to a bound."""
 
     def __init__(self, config: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; small batches would pay for threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         spec = json.loads(config)
         self.plain = (spec["normalizer"], spec["pre_tokenizer"], spec["model"].get("dropout")) == (_NORMAL, _SPLIT, None)
         self.plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or "<|" not in t["content"] for t in spec["added_tokens"])
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        b = self.pieces[piece] = pack_ids(f"<{len(ids)}I", *ids)
+        b = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(mapped)])
+        if len(piece) <= 64:
+            self.pieces[piece] = b
         return b
 
-    def _learn(self, missing: list[str]) -> None:
-        odd = []
-        for c in missing:
-            if self.plain and not _NOT_PLAIN.search(c):
-                self.memo[c] = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(c.lower())])
-            else:
-                odd.append(c)
-        if odd:
-            encoded = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
-            self.memo.update((c, pack_ids(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(odd, encoded))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+    def __missing__(self, chunk: str) -> bytes:
+        if self.plain and not _NOT_PLAIN.search(chunk):
+            known = self.pieces.get
+            b = b"".join([known(p) or self._piece(p) for p in _PIECE.findall(chunk.lower())])
+        else:
+            b = b"".join([self.bytes_of[i] for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
+        if len(chunk) <= 64:
+            self[chunk] = b
+        return b
+
+    def encode(self, text: str | None) -> bytes:
         """Exact for tokenizers that drop white space: no token spans a space or line feed."""
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if not text:
+            return b""
+        if len(self) > MEMO:
+            self.clear()
             self.pieces.clear()
-        self._learn(list(set().union(*chunks) - self.memo.keys()))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _drops_space(config: str) -> bool:
@@ -196,7 +195,7 @@ def _cut(config: str, window: int, unit: int, end_id: int):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                encoded = encoder.encode_all(part.column(1).to_pylist())
+                encoded = list(map(encoder.encode, part.column(1).to_pylist()))
                 row, start, length, crc, tokens, bins, nth = [], [], [], [], [], [], []
                 for i, ids in enumerate(encoded):
                     ids += end
