@@ -81,6 +81,7 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = windows.join(first, ["k", "h", "at", "j"]).join(last, ["k", "h", "last", "j"]).select("k", "h", "at", "m", "x", "y")
     found = Stored(found, "windows").df
     earliest = found.groupBy("m", "x", "y").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "at")).alias("e")).where("n > 1")
+    earliest = Stored(earliest.select("m", "x", "y", "e"), "earliest").df  # a join of its own: a run that is very common can be split there
     later = found.join(earliest, ["m", "x", "y"])
     e = F.col("e")
     same = (F.col("k") == e["k"]) & (F.col("h") == e["h"])
