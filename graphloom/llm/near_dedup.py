@@ -162,7 +162,6 @@ def near_duplicates(
         "sets",
     )
     labels = Stored(members.select("id", F.col("id").alias("label")), "members")
-    links: DataFrame | None = None
     tested: DataFrame | None = None
     close = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -192,9 +191,11 @@ def near_duplicates(
         tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        merged = connected(links)
-        labels = Stored(members.join(merged.df, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("label")), "members")
+        # many links may join the same two components: what is merged are labels
+        ends = [labels.df.select(F.col("id").alias(f"_{x}"), F.col("label").alias(f"l{x}")) for x in "ab"]
+        between = found.join(ends[0], F.col("a") == F.col("_a")).join(ends[1], F.col("b") == F.col("_b")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        merged = connected(between)
+        labels = Stored(labels.df.join(merged.df, F.col("label") == F.col("v"), "left").select("id", F.coalesce("c", "label").alias("label")), "members")
         merged.drop()
     rep = classes.df.join(labels.df, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component_id"))
     linked = sigs.df.where("n > 0 and id is not null").select("id", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("id", "n", "component_id")
