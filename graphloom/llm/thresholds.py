@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A limit lies this share of the quantile's distance from the median beyond the quantile.
+MARGIN = 0.1
+
+
 def with_limit(judged: DataFrame, trusted: DataFrame, quantile: float, least: int) -> DataFrame:
-    """judged (lang, n, loss, ...) with a column ``limit``: the quantile of loss over the trusted of like language and length.
+    """judged (lang, n, loss, ...) with a column ``limit``, from the loss of the trusted of like language and length.
 
+    The limit is their quantile, moved out by ``MARGIN``: a quantile near 1 alone would refuse the worst of each class.
     Length is the binary order of magnitude of n. A class with fewer than ``least`` trusted documents takes the limit of
     its length in all languages, then of its language, then of all; with no trusted documents it is null. Classes are
     bounded by the languages and some twenty lengths, so limits are joined by broadcast.
     """
     size = F.floor(F.log2(F.col("n") + 1)).cast("int")
     judged, trusted = judged.withColumn("_size", size), trusted.where("loss is not null").withColumn("_size", size)
-    at = F.percentile("loss", F.lit(quantile)).alias("l"), F.count("*").alias("m")
+    high, middle = (F.percentile("loss", F.lit(q)) for q in (quantile, 0.5))
+    bound = high + MARGIN * (high - middle)
+    at = bound.alias("l"), F.count("*").alias("m")
     for name, cols in (("_both", ["lang", "_size"]), ("_by_size", ["_size"]), ("_by_lang", ["lang"])):
         limits = trusted.groupBy(*cols).agg(*at).where(F.col("m") >= least).select(*(F.col(c).alias(f"{name}{c}") for c in cols), F.col("l").alias(name))
         on = F.lit(True)
         for c in cols:
             on &= F.col(c).eqNullSafe(F.col(f"{name}{c}"))
         judged = judged.join(F.broadcast(limits), on, "left").drop(*(f"{name}{c}" for c in cols))
-    every = trusted.agg(F.percentile("loss", F.lit(quantile)).alias("_every"))
+    every = trusted.agg(bound.alias("_every"))
     judged = judged.crossJoin(F.broadcast(every))  # one row
     return judged.withColumn("limit", F.coalesce("_both", "_by_size", "_by_lang", "_every")).drop("_both", "_by_size", "_by_lang", "_every", "_size")
