@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .errors import GraphError, VertexNotFoundError
+from .plans.durable import cut
 
 #: What makes two edges equal, as columns.
 IDENTITIES = {
@@ -255,8 +256,9 @@ class Graph:
     def merge_vertices_if(self, predicate: Column) -> Graph:
         """Merges the matching vertices one after another, in order: later ones see earlier merges."""
         g = self
-        for r in self.vertices.where(predicate).orderBy("ord").select("id").collect():
+        for r in self.vertices.where(predicate).orderBy("ord").select("id").collect():  # what is done one by one is listed
             g = g.merge_vertex(r["id"])
+            g = replace(g, vertices=cut(g.vertices, "merged"), edges=cut(g.edges, "merged"))
         return g
 
     def cleared(self) -> Graph:

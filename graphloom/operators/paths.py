@@ -247,15 +247,18 @@ def predecessor_cost(found: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def is_predecessor(found: DataFrame, root, v) -> bool:
-    """Whether root is met on the way up from v; safe on cycles."""
-    seen, now = set(), v
-    while now is not None and now not in seen:
-        if now == root:
-            return True
-        seen.add(now)
-        up = found.where(F.col("id") == F.lit(now)).select("parent").limit(1).collect()
-        now = up[0]["parent"] if up else None
-    return False
+    """Whether root is met on the way up from v, v itself included; safe on cycles. Steps double from round to round."""
+    step = cut(found.where("parent is not null").select("id", "parent"), "step")
+    known = cut(found.where(F.col("id") == F.lit(v)).select("id"), "above")
+    size = known.count()
+    while True:
+        more = known.join(step, "id").select(F.col("parent").alias("id"))
+        known = cut(known.union(more).distinct(), "above")
+        if (n := known.count()) == size:
+            return not known.where(F.col("id") == F.lit(root)).isEmpty()
+        size = n
+        up = step.select(F.col("id").alias("m"), F.col("parent").alias("top"))
+        step = cut(step.join(up, F.col("parent") == F.col("m")).select("id", F.col("top").alias("parent")), "step")
 
 
 def edge_reachable(g: Graph, edge_id) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..graph import Graph
-from ..plans.durable import cut
+from ..plans.durable import cut, numbered
 
 
 def _uniform(seed: int, *columns) -> Column:
@@ -64,7 +64,7 @@ def random_graph(spark: SparkSession, n: int, m: int, *, seed: int = 0, self_edg
         pairs = v.select(F.col("id").alias("src")).crossJoin(v.select(F.col("id").alias("dst")))  # a fourth of all pairs is asked for
         pairs = pairs if directed else pairs.where("src <= dst")
         pairs = pairs if self_edges else pairs.where("src <> dst")
-    ranked = pairs.orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "src", "dst").limit(m)
+    ranked = numbered(pairs.withColumn("_h", F.xxhash64(F.lit(seed), "src", "dst")), ["_h", "src", "dst"], "_r").where(F.col("_r") < m)
     return Graph.of(v, ranked.select(F.xxhash64("src", "dst").alias("edge_id"), F.xxhash64("src", "dst").alias("ord"), "src", "dst"), directed=directed, allow_parallel=False)
 
 
