@@ -22,6 +22,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0) AS n_hit, coalesc
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP2 = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line, greatest(1, len(regexp_extract_all(a[i], '[^\x20\x09-\x0D]+'))) AS w FROM a, unnest(range(1, len(a) + 1)) u(i)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS cum, sum(w) OVER (PARTITION BY doc_id)::BIGINT AS total FROM l),
+f AS (SELECT doc_id, pos, cum, total, cum - w AS begin_,
+  count(*) OVER (PARTITION BY doc_id ORDER BY cum - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS fwd, count(*) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS bwd FROM c),
+win AS (SELECT doc_id, pos AS p, fwd AS m FROM f WHERE total - begin_ >= 50 UNION SELECT doc_id, pos - bwd + 1, bwd FROM f WHERE cum >= 50),
+keyed AS (SELECT doc_id, p, m, array_to_string(a[p + 1:p + m], chr(10)) AS s FROM win JOIN a USING (doc_id)),
+first_ AS (SELECT m, s, min(struct_pack(d := doc_id, q := p)) AS e FROM keyed GROUP BY m, s),
+gone AS (SELECT DISTINCT doc_id, k AS pos FROM keyed JOIN first_ USING (m, s), unnest(range(p, p + m)) u(k) WHERE doc_id <> e.d OR p >= e.q + m),
+left_ AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS t
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, length(t)::BIGINT AS n_chars_left, sha256(t) AS text_sha256 FROM left_
+"""
+
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lowered()}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) u(i) WHERE len(w) > 0),

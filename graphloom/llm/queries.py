@@ -110,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6()}
