@@ -13,12 +13,16 @@ from ..plans.durable import Stored, cut
 from ..plans.iterate import fits_one_task, supersteps
 
 
-def labels_of(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): the least vertex linked with each, over links (a, b); minimum labels and pointer jumping."""
-    both = Stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links").df
-    now = Stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
+def linked(links: DataFrame) -> Stored:
+    """(v, c): the least vertex of each component, for the vertices of links (a, b).
+
+    Every round a vertex takes the least label around it and then its label's label, so long chains take rounds in the
+    logarithm of their length. Labels and links stay in tables; only whether any changed reaches the driver.
+    """
+    both = Stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    now = Stored(both.df.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
     while True:
-        around = both.join(now.df, F.col("b") == F.col("v")).groupBy("a").agg(F.min("c").alias("m"))
+        around = both.df.join(now.df, F.col("b") == F.col("v")).groupBy("a").agg(F.min("c").alias("m"))
         least = now.df.join(around, F.col("v") == F.col("a"), "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         to = now.df.select(F.col("v").alias("w"), F.col("c").alias("d"))
         nxt = Stored(least.join(to, F.col("c") == F.col("w"), "left").select("v", "old", F.coalesce("d", "c").alias("c")), "labels")
@@ -26,7 +30,14 @@ def labels_of(vertices: DataFrame, links: DataFrame) -> DataFrame:
         now.drop()
         now = nxt
         if settled:
-            return vertices.select("id").join(now.df.select("v", "c"), F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("label"))
+            both.drop()
+            now.df = now.df.select("v", "c")
+            return now
+
+
+def labels_of(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): the least vertex linked with each, over links (a, b)."""
+    return vertices.select("id").join(linked(links).df, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("label"))
 
 
 def _numbered(g: Graph, labels: DataFrame) -> DataFrame:
