@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import linked
 from .common import SPACE_LOWER_TABLE, Stored, WordHashes, mix, words
-from .components import connected
 
 SHINGLE, PERCENT = 5, 75
 GROUPS, ROWS, PIVOT_ROUNDS, LOOK_BACK = 14, 3, 4, 32
@@ -194,7 +194,7 @@ def near_duplicates(
         # many links may join the same two components: what is merged are labels
         ends = [labels.df.select(F.col("id").alias(f"_{x}"), F.col("label").alias(f"l{x}")) for x in "ab"]
         between = found.join(ends[0], F.col("a") == F.col("_a")).join(ends[1], F.col("b") == F.col("_b")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        merged = connected(between)
+        merged = linked(between)
         labels = Stored(labels.df.join(merged.df, F.col("label") == F.col("v"), "left").select("id", F.coalesce("c", "label").alias("label")), "members")
         merged.drop()
     rep = classes.df.join(labels.df, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component_id"))
