@@ -198,6 +198,6 @@ def near_duplicates(
         labels = Stored(labels.df.join(merged.df, F.col("label") == F.col("v"), "left").select("id", F.coalesce("c", "label").alias("label")), "members")
         merged.drop()
     rep = classes.df.join(labels.df, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component_id"))
-    linked = sigs.df.where("n > 0 and id is not null").select("id", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("id", "n", "component_id")
+    classed = sigs.df.where("n > 0 and id is not null").select("id", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("id", "n", "component_id")
     alone = sigs.df.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return classed.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
