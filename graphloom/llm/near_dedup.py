@@ -137,9 +137,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row; kept is true for the smallest key of a component.
 
-    A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows that repeat a key and
-    text are each returned, with one component. A row with a null key is its own component, null, and kept. An empty
-    table gives an empty result; other columns are not read.
+    Texts that differ must have keys that differ. A null or empty text, or one of white space, has no shingles and is
+    linked with nothing. Rows that repeat a key and text are each returned, with one component. A row with a null key is
+    its own component, null, and kept. An empty table gives an empty result; other columns are not read.
     """
     rows_in = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("t"))
     kind = rows_in.schema["id"].dataType
