@@ -61,20 +61,24 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) over edges (src, dst, n) and seeds (host, weight summing to 1); what dangles returns to the seeds."""
-    out = edges.groupBy(F.col("src").alias("s")).agg(F.sum("n").alias("total"))
-    share = Stored(edges.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("n") / F.col("total")).alias("p")), "shares").df
-    start = Stored(seeds.select("host", "weight"), "seeds").df
-    rank = start.select("host", F.col("weight").alias("rank"))
-    for k in range(rounds):
-        flow = rank.join(share, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("f"))
-        moved = flow.select(F.col("dst").alias("host"), (damping * F.col("f")).alias("rank"))
-        lost = moved.agg((1 - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("lost"))
-        back = start.crossJoin(F.broadcast(lost)).select("host", (F.col("weight") * F.col("lost")).alias("rank"))  # one row
-        rank = moved.union(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
-            rank = Stored(rank, "ranks").df
-    return rank
+    """(kind, host, rank) over edges (kind, src, dst, n) and seeds (kind, host, weight), several kinds side by side.
+
+    Walks from the seeds are followed for ``rounds`` steps, each step being taken with probability ``damping``, and what
+    they visit is scaled to 1; so walks that dangle or end start again at the seeds.
+    """
+    out = edges.groupBy(F.col("kind").alias("k"), F.col("src").alias("s")).agg(F.sum("n").alias("total"))
+    share = edges.join(out, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("s"))).select(F.col("kind").alias("k"), "src", "dst", (damping * F.col("n") / F.col("total")).alias("p"))
+    share = Stored(share, "shares").df
+    now = Stored(seeds.select("kind", "host", F.col("weight").alias("step"), F.col("weight").alias("visits")), "visits")
+    for _ in range(rounds):
+        step = now.df.where("step > 0").join(share, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("src")))
+        step = step.select("kind", F.col("dst").alias("host"), (F.col("step") * F.col("p")).alias("step"))
+        both = step.withColumn("visits", F.col("step")).union(now.df.select("kind", "host", F.lit(0.0), "visits"))
+        nxt = Stored(both.groupBy("kind", "host").agg(F.sum("step").alias("step"), F.sum("visits").alias("visits")), "visits")
+        now.drop()
+        now = nxt
+    total = now.df.groupBy(F.col("kind").alias("k")).agg(F.sum("visits").alias("all"))
+    return now.df.join(F.broadcast(total), F.col("kind") == F.col("k")).select("kind", "host", (F.col("visits") / F.col("all")).alias("rank"))  # a row a kind
 
 
 def judge_urls(
@@ -92,14 +96,13 @@ def judge_urls(
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     ruled = rows.withColumn("rule", rule).withColumn("told", verdict)
     edges = Stored(host_edges(pages, url=url, html=html), "edges").df
-    ranks = {}
-    for name, told, along in (("trust", "allow", edges), ("distrust", "block", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
-        seeds = ruled.where((F.col("told") == told) & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("c"))
-        total = seeds.agg(F.sum("c").alias("all"))
-        seeds = seeds.crossJoin(F.broadcast(total)).select("host", (F.col("c") / F.col("all")).alias("weight"))  # one row
-        ranks[name] = personalised_pagerank(along, seeds, damping=damping, rounds=rounds).select(F.col("host").alias(f"{name}_host"), F.round("rank", 12).alias(name))
-    scores = ranks["trust"].join(ranks["distrust"], F.col("trust_host") == F.col("distrust_host"), "full_outer")
-    scores = scores.select(F.coalesce("trust_host", "distrust_host").alias("scored"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("block"), "dst", "src", "n"))
+    seeds = ruled.where(F.col("told").isNotNull() & (F.col("host") != "")).groupBy(F.col("told").alias("kind"), "host").agg(F.count("*").alias("c"))
+    total = seeds.groupBy(F.col("kind").alias("k")).agg(F.sum("c").alias("all"))
+    seeds = seeds.join(F.broadcast(total), F.col("kind") == F.col("k")).select("kind", "host", (F.col("c") / F.col("all")).alias("weight"))  # a row a kind
+    ranks = personalised_pagerank(both, seeds, damping=damping, rounds=rounds)
+    of = lambda kind: F.coalesce(F.round(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), 12), F.lit(0.0))
+    scores = ranks.groupBy(F.col("host").alias("scored")).agg(of("allow").alias("trust"), of("block").alias("distrust"))
     judged = ruled.join(scores, F.col("host") == F.col("scored"), "left")
     spread = F.when(F.coalesce(F.col("distrust") > ratio * F.col("trust"), F.lit(False)), "block").otherwise("allow")
     return judged.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("told", spread).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -342,17 +342,19 @@ def test_url_filter(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[1] + best[2])
         assert r["verdict"] == best[0] if best else r["verdict"] in ("allow", "block")
     assert judge_urls(pages.limit(0)).count() == 0
-    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 3), ("b", "a", 1)], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("a", 1.0)], "host string, weight double")
-    rank = {"a": 1.0}
+    edges = spark.createDataFrame([("t", "a", "b", 1), ("t", "a", "c", 3), ("t", "b", "a", 1), ("u", "c", "a", 2)], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("t", "a", 1.0), ("u", "b", 1.0)], "kind string, host string, weight double")
+    step, visits = {"a": 1.0}, collections.Counter(a=1.0)
     for _ in range(12):
         flow = collections.Counter()
         for s, d, p in (("a", "b", 0.25), ("a", "c", 0.75), ("b", "a", 1.0)):
-            flow[d] += 0.85 * rank.get(s, 0) * p
-        flow["a"] += 1 - sum(flow.values())
-        rank = dict(flow)
-    for r in personalised_pagerank(edges, seeds).collect():
-        assert math.isclose(r["rank"], rank[r["host"]], rel_tol=1e-9)
+            flow[d] += 0.85 * step.get(s, 0) * p
+        step = dict(flow)
+        visits.update(step)
+    got = {(r["kind"], r["host"]): r["rank"] for r in personalised_pagerank(edges, seeds).collect()}
+    for host, v in visits.items():
+        assert math.isclose(got["t", host], v / sum(visits.values()), rel_tol=1e-9)
+    assert got["u", "b"] == 1.0
 
 
 def test_bounds_are_hashes(docs):
