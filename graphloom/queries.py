@@ -746,18 +746,28 @@ _FIVE = f"""{TRADE}, k AS (SELECT n_nationkey AS id, n_regionkey AS r, row_numbe
   c AS (SELECT a.r, a.i AS x, b.i AS y, n FROM trade JOIN k a ON src = a.id JOIN k b ON dst = b.id WHERE a.r = b.r)"""
 
 
-def _by_region(s: Star) -> DataFrame:
+def _places(s: Star) -> DataFrame:
     from pyspark.sql import Window as W
 
-    k = s.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("r"), (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("i"))
+    return s.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("r"), (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("i"))
+
+
+def _by_region(s: Star) -> DataFrame:
+    k = _places(s)
     return s.trade().edges.join(k.toDF("a", "r", "x"), F.col("src") == F.col("a")).join(k.toDF("b", "q", "y"), (F.col("dst") == F.col("b")) & (F.col("r") == F.col("q")))
 
 
-@_query("assignment", f"""WITH {_FIVE} SELECT a.r AS problem_id, min(a.n + b.n + c3.n + d.n + e.n)::DOUBLE AS cost FROM c a JOIN c b ON a.r = b.r AND b.x = 1 AND b.y <> a.y
+_GRID = f"""{TRADE}, k AS (SELECT n_nationkey AS id, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+  c AS (SELECT a.r, a.i AS x, b.i AS y, coalesce(n, 0) AS n FROM k a JOIN k b ON a.r = b.r LEFT JOIN trade ON src = a.id AND dst = b.id)"""
+
+
+@_query("assignment", f"""WITH {_GRID} SELECT a.r AS problem_id, min(a.n + b.n + c3.n + d.n + e.n)::DOUBLE AS cost FROM c a JOIN c b ON a.r = b.r AND b.x = 1 AND b.y <> a.y
   JOIN c c3 ON a.r = c3.r AND c3.x = 2 AND c3.y NOT IN (a.y, b.y) JOIN c d ON a.r = d.r AND d.x = 3 AND d.y NOT IN (a.y, b.y, c3.y) JOIN c e ON a.r = e.r AND e.x = 4 AND e.y NOT IN (a.y, b.y, c3.y, d.y)
   WHERE a.x = 0 GROUP BY a.r""")
 def _(s):
-    costs = _by_region(s).select(F.col("r").alias("problem_id"), F.col("x").alias("agent"), F.col("y").alias("task"), F.col("n").cast("double").alias("cost"))
+    grid = _places(s).toDF("a", "problem_id", "agent").join(_places(s).toDF("b", "q", "task"), F.col("problem_id") == F.col("q"))
+    costs = grid.join(s.trade().edges, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left")
+    costs = costs.select("problem_id", "agent", "task", F.coalesce("n", F.lit(0)).cast("double").alias("cost"))
     return exact.assign(costs).groupBy("problem_id").agg(F.sum("cost").alias("cost"))
 
 
@@ -767,10 +777,12 @@ def _(s):
 def _(s):
     e = _by_region(s).select(F.col("r").alias("region"), "edge_id", "ord", "src", "dst", "n")
     v = s.table("nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("ord"))
-    return exact.best_tour(Graph(v, e), weight=F.col("n"), by="region").select("region", "cost")
+    return exact.best_tour(Graph(v, e), weight=F.col("n"), by="region").where("path is not null").select("region", "cost")
 
 
-@_query("is_hamiltonian", "SELECT n_regionkey AS region, true AS hamiltonian FROM nation GROUP BY 1")
+@_query("is_hamiltonian", f"""WITH {_FIVE}, e AS (SELECT r, x, y FROM c WHERE x <> y UNION SELECT r, y, x FROM c WHERE x <> y), h AS (SELECT a.r FROM e a JOIN e b ON a.r = b.r AND b.x = a.y AND b.y NOT IN (0, a.y)
+  JOIN e d ON a.r = d.r AND d.x = b.y AND d.y NOT IN (0, a.y, b.y) JOIN e f ON a.r = f.r AND f.x = d.y AND f.y NOT IN (0, a.y, b.y, d.y) JOIN e g ON a.r = g.r AND g.x = f.y AND g.y = 0 WHERE a.x = 0)
+  SELECT n_regionkey AS region, n_regionkey IN (SELECT r FROM h) AS hamiltonian FROM nation GROUP BY 1""")
 def _(s):
     e = _by_region(s).select(F.col("r").alias("region"), "edge_id", "ord", "src", "dst")
     v = s.table("nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("ord"))
