@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def _encoder(config: str) -> Encoder:
+    """A worker keeps its encoder, and what it remembers, from task to task."""
+    return Encoder(config)
+
+
 def _drops_space(config: str) -> bool:
     """Whether the tokenizer ignores white space, so chunks can be encoded apart."""
     from tokenizers import Tokenizer
@@ -191,7 +198,7 @@ def _cut(config: str, window: int, unit: int, end_id: int):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder, seen = Encoder(config), np.zeros(-(-window // unit) + 1, np.int64)
+        encoder, seen = _encoder(config), np.zeros(-(-window // unit) + 1, np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
