@@ -17,7 +17,7 @@ from ..plans.durable import cut
 from ..plans.iterate import fits_one_task, supersteps
 from .order import is_dag
 
-ROWS = "id {id}, distance double, hops int"
+ROWS = "id {id}, distance double, hops int, parent {id}, pred_edge_id {edge}"
 #: What relaxing an edge makes of a distance, and whether less is better: by name.
 RELAXERS = {"shortest": (lambda d, w: d + w, True), "critical": (lambda d, w: d + w, False), "prim": (lambda d, w: w, True)}
 UNREACHED = {"dijkstra": 1.7976931348623157e308, "bellman_ford": float("inf")}
@@ -90,7 +90,7 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
 
         def solve(x: kernel.Local):
             found = shortest.dijkstra(x, root, target) if negative == "raise" else shortest.bellman_ford(x, root)
-            return [(x.ids[v], d, h) for v, (d, h, _) in found.items()]
+            return [(x.ids[v], d, h, None if k is None else x.ids[x.other(k, v)], None if k is None else x.edge_id[k]) for v, (d, h, k) in found.items()]
 
         found = cut(kernel.run(weighted, solve, ROWS), "paths")
     else:
@@ -103,7 +103,7 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
         g.require(target)
         limit = found.where(F.col("id") == F.lit(target)).select(F.col("distance").alias("_limit"))
         found = found.join(F.broadcast(limit), F.col("distance") <= F.col("_limit")).drop("_limit")  # one row
-    return _with_parents(g, arcs, found, relaxer)
+    return found if small else _with_parents(g, arcs, found, relaxer)
 
 
 def bfs(g: Graph, root, *, local_edges: int | None = None) -> DataFrame:

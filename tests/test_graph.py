@@ -96,6 +96,8 @@ def test_random_paths_match_enumeration(spark):
         for local in (0, None):
             assert values(paths.shortest_paths(g, 0, weight=F.col("weight"), local_edges=local)) == want
         assert values(paths.bellman_ford(g, 0, weight=F.col("weight"))) == want
+        parents = [sorted(map(tuple, paths.shortest_paths(g, 0, weight=F.col("weight"), negative=n, local_edges=k).collect())) for n, k in (("raise", 0), ("raise", None), ("allow", None))]
+        assert parents[0] == parents[1] == parents[2]
         for t in [v for v in simple if v]:
             got = [r["cost"] for r in paths.k_shortest(g, 0, t, 6, weight=F.col("weight")).orderBy("rank").collect()]
             assert got == sorted(simple[t])[:6]
