@@ -1,9 +1,11 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted-target and raw-corpus multinomials.
 
-Words and word pairs are hashed to ``BUCKETS`` buckets each way; the raw multinomial counts every document, the target
+Words and word pairs are hashed to 2 ** ``bits`` buckets each (a parameter; few buckets average the weight of rare
+words away); the raw multinomial counts every document, the target
 one every document labelled of quality 1 and not toxic. A document's score is the mean of log(target / raw) over its
 n-grams. It is kept when the score reaches a low quantile of the target documents of like language and length. To find
-the target, 16-bit word hashes and not texts meet the labels; the weights, one number a bucket, go to every worker.
+the target, 32-bit word hashes and not texts meet the labels; counts travel as packed runs of ``PART`` buckets; the
+weights, one number a bucket, go to every worker.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import types as T
 from .common import SPACE_TABLE, Stored, WordHashes, mix, words
 from .thresholds import with_limit
 
-BUCKET_BITS = 14
-BUCKETS = 2 << BUCKET_BITS  # those of words, then those of pairs
+BUCKET_BITS = 20  # up to 32
+PART, BLOCK_GRAMS = 4096, 1_000_000
 ALPHA, QUANTILE, LEAST = 1.0, 0.002, 30
 MIN_WORDS, MOST_REPEATED = 50, 50
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -28,16 +30,15 @@ _CHARS = np.array([not (b == 32 or 9 <= b <= 13 or b & 0xC0 == 0x80) for b in ra
 _SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)], np.int64)
 
 
-def _grams(short: np.ndarray) -> np.ndarray:
-    """Buckets of a text's words and pairs, from its 16-bit word hashes."""
+def _grams(short: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of a text's words, then of its pairs, from its 32-bit word hashes."""
     s = short.astype(np.uint64)
-    shift = np.uint64(64 - BUCKET_BITS)
-    pairs = mix((s[:-1] << np.uint64(16)) + s[1:] + _P) >> shift
-    return np.concatenate([s >> np.uint64(16 - BUCKET_BITS), pairs + np.uint64(1 << BUCKET_BITS)]).astype(np.int64)
+    pairs = mix((s[:-1] << np.uint64(32)) + s[1:] + _P) >> np.uint64(64 - bits)
+    return np.concatenate([s >> np.uint64(32 - bits), pairs + np.uint64(1 << bits)]).astype(np.int64)
 
 
-def _shorts(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    return (hashes.of(words(text, SPACE_TABLE)) >> np.uint64(48)).astype("<u2")
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype("<u4")
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,34 +46,57 @@ def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
             part = batch.slice(first, 1000)
-            shorts = [_shorts(t, hashes).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+            shorts = [_short(hashes.of(words(t, SPACE_TABLE))).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shorts, pa.binary())], names=["id", "shorts"])
 
 
-def _total(totals: np.ndarray) -> pa.RecordBatch:
-    some = np.flatnonzero(totals)
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["bucket", "n"])
+def _packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Counts by part, byte planes apart, so that shuffle compression finds the zeros."""
+    planes = [np.ascontiguousarray(n.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for n in parts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(planes, pa.binary())], names=["part", "n"])
 
 
-def _count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, totals = WordHashes(), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for t in batch.column(0).cast(pa.binary()).to_pylist():
-            totals += np.bincount(_grams(_shorts(t, hashes)), minlength=BUCKETS) if t else 0
-    yield _total(totals)
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _count(bits: int, shorts_of):
+    """Bucket counts of a task's rows, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, held, size = np.zeros(2 << bits, np.int64), [], 0
+        hashes = WordHashes()
+        for batch in batches:
+            for b in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(_grams(shorts_of(b, hashes), bits))
+                size += len(held[-1])
+                if size >= BLOCK_GRAMS:
+                    totals += np.bincount(np.concatenate(held), minlength=2 << bits)
+                    held, size = [], 0
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=2 << bits)
+        width = min(PART, 2 << bits)
+        yield _packed({i: n for i, n in enumerate(totals.reshape(-1, width)) if n.any()})
+
+    return run
+
+
+def _of_text(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+    return _short(hashes.of(words(text, SPACE_TABLE)))
+
+
+def _of_shorts(shorts: bytes, hashes: WordHashes) -> np.ndarray:
+    return np.frombuffer(shorts, "<u4")
 
 
-def _count_shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals, held = np.zeros(BUCKETS, np.int64), []
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed counts of each part; a partition has all rows of its parts."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for b in batch.column(0).to_pylist():
-            held.append(_grams(np.frombuffer(b, "<u2")))
-            if len(held) >= 1000:
-                totals += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                held = []
-    if held:
-        totals += np.bincount(np.concatenate(held), minlength=BUCKETS)
-    yield _total(totals)
+        for part, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n = _unpacked(planes)
+            sums[part] = sums[part] + n if part in sums else n
+    yield _packed(sums)
 
 
 def repeated_words(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,7 +130,7 @@ def _by_text(table: np.ndarray, joined: np.ndarray, starts: np.ndarray, sizes: n
 RESULT = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "score": T.DoubleType()}
 
 
-def _measure(weights):
+def _measure(weights, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, weight = WordHashes(), weights.value
         for batch in batches:
@@ -122,7 +146,7 @@ def _measure(weights):
                 for t in texts:
                     lines = [x for x in t.split(b"\n") if x.strip()]
                     dups.append(len(lines) - len(set(lines)))
-                score = [float(weight[_grams((h >> np.uint64(48)).astype(np.uint16))].mean()) if len(h) else None for h in hashed]
+                score = [float(weight[_grams(_short(h), bits)].mean()) if len(h) else None for h in hashed]
                 columns = [
                     part.column(0), part.column(2), pa.array(lengths),
                     pa.array(_by_text(_CHARS, joined, starts, sizes)), pa.array(_by_text(_SYMBOLS, joined, starts, sizes)), pa.array(dups, pa.int64()),
@@ -134,7 +158,8 @@ def _measure(weights):
 
 
 def apply_rules(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED,
+    bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold, base_failed, kept), a row a row.
 
@@ -147,20 +172,20 @@ def apply_rules(
     rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("t"), docs[f"`{lang}`"].alias("lang"))
     kind, lang_kind = rows.schema["id"].dataType, rows.schema["lang"].dataType
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("g")).where("g is not null").distinct()
-    counts = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+    counts = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.BinaryType())])
     short = T.StructType([T.StructField("id", kind), T.StructField("shorts", T.BinaryType())])
-    target = rows.select("id", "t").mapInArrow(_compact, short).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("shorts").mapInArrow(_count_shorts, counts)
-    raw = rows.select("t").mapInArrow(_count_texts, counts)
-    half = 1 << BUCKET_BITS
+    target = rows.select("id", "t").mapInArrow(_compact, short).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("shorts").mapInArrow(_count(bits, _of_shorts), counts)
+    raw = rows.select("t").mapInArrow(_count(bits, _of_text), counts)
+    half, width = 1 << bits, min(PART, 2 << bits)
     logs = []
     for counted in (target, raw):
-        c = np.full(BUCKETS, ALPHA)
-        for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
-            c[r["bucket"]] += r["n"]
+        c = np.full(2 * half, ALPHA)
+        for r in counted.repartition("part").mapInArrow(_merge, counts).collect():  # a row a part of the buckets
+            c[r["part"] * width : (r["part"] + 1) * width] += _unpacked(r["n"])
         logs.append(np.log(c) - np.log(np.repeat([c[:half].sum(), c[half:].sum()], half)))
     weights = spark.sparkContext.broadcast(logs[0] - logs[1])
     measured = T.StructType([T.StructField("id", kind), T.StructField("lang", lang_kind), *(T.StructField(k, t) for k, t in RESULT.items())])
-    judged = Stored(rows.mapInArrow(_measure(weights), measured), "measures").df.withColumn("n", F.col("n_words")).withColumn("loss", -F.col("score"))
+    judged = Stored(rows.mapInArrow(_measure(weights, bits), measured), "measures").df.withColumn("n", F.col("n_words")).withColumn("loss", -F.col("score"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     seen = judged.where(~base).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi")
     judged = with_limit(judged, seen, 1 - quantile, LEAST)
