@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Vocabulary: the ``vocabulary`` most frequent words of all texts (a parameter of the model; counted block by block, words
-met once in a block of ``BLOCK_WORDS`` words being left out there); other words are one token whose probability is
+Vocabulary: the ``vocabulary`` most frequent words of all texts (a parameter of the model; counted block by block and
+summed, words met once in all being left out); other words are one token whose probability is
 shared evenly by ``SPELLINGS`` spellings. Bigram counts, contexts and discounts come from all trusted text but a
 held-out tenth; to find it, token ids and not texts meet the labels.
 
@@ -56,8 +56,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        kept = [(w, n) for w, n in counted.items() if n > 1]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()).cast(pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["w", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.binary()).cast(pa.string()), pa.array(list(counted.values()), pa.int64())], names=["w", "n"])
 
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()).to_pylist():
@@ -139,7 +138,7 @@ class Model:
     def __init__(self, docs: DataFrame, trusted: DataFrame, vocabulary: int):
         spark = docs.sparkSession
         counts = T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
-        counted = docs.where("t is not null").select("t").mapInArrow(_frequent, counts).groupBy("w").agg(F.sum("n").alias("n"))
+        counted = docs.where("t is not null").select("t").mapInArrow(_frequent, counts).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
         top = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(vocabulary).collect()]
         self.ids = {w.encode(): i for i, w in enumerate(top, 2)}
         self.width = len(self.ids) + 2

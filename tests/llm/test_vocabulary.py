@@ -1,0 +1,25 @@
+"""The classifier's vocabulary does not hang on how texts are dealt to tasks."""
+
+import collections
+import random
+
+from graphloom.llm import quality_lm as lm
+
+from test_language_model import plain
+
+
+def _texts():
+    rng = random.Random(8)
+    return [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(1, 12))) for _ in range(120)]
+
+
+def test_counts_of_many_tasks_are_whole(spark):
+    texts = _texts()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(40)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "g long")
+    counts = collections.Counter(w for t in texts for w in t.split())
+    top = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1][:30]
+    score = plain([texts[i] for i in range(0, 120, 2)], top)
+    for r in lm.score(docs, trusted, vocabulary=30).collect():
+        t = texts[r["id"]]
+        assert abs(r["nats"] - score(t)) < 1e-3 * (1 + len(t.split())), r
