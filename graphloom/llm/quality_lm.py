@@ -1,16 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Vocabulary: the ``vocabulary`` most frequent words of all texts (a parameter of the model; counted block by block and
-summed, words met once in all being left out); other words are one token whose probability is
-shared evenly by ``SPELLINGS`` spellings. Bigram counts, contexts and discounts come from all trusted text but a
-held-out tenth; to find it, token ids and not texts meet the labels.
-
-The log-probability of a document is a sum over its unigrams (a table bounded by the vocabulary, sent to every worker)
-and over its bigrams: log p(w|v) = log p1(w) + log gamma(v) + delta(v, w), where delta is 0 for a bigram never seen.
-So the grown part, the deltas, is never sent whole anywhere: bigrams of documents and of the model meet in shards by
-key; only those with an unknown word, two a vocabulary word, go with the unigrams. A worker sends each shard the sorted
-bigrams of a block of documents as one compact row, the shard sends back one row of sums for the block, and sums are
-whole numbers of micro-nats, so that they do not hang on the order of addition.
+Vocabulary: every word that all texts together have twice or more, so that it grows with them; ``vocabulary`` keeps
+only that many, the most frequent. Other words are one token whose probability is shared evenly by ``SPELLINGS``
+spellings. Words are numbered from the most frequent on, and the table of words is never sent whole anywhere: words of
+a block of documents and of the table meet in shards by hash, and the block takes its numbers back. Bigram counts,
+contexts and discounts come from all trusted text but a held-out tenth; to find it, numbers and not texts meet the
+labels.
+
+The log-probability of a document is a sum over its words and over its bigrams: log p(w|v) = log p1(w) + log gamma(v) +
+delta(v, w), where delta is 0 for a bigram never seen. Both grow with the input: words and bigrams of documents and of
+the model meet in shards by key; only the weights of the ``HOT`` most frequent words go to every worker. A worker sends
+each shard the sorted keys of a block of documents as one compact row, the shard sends back one row of sums for the
+block, and sums are whole numbers of micro-nats, so that they do not hang on the order of addition.
 
 Perplexities are judged by language and length: the threshold of a class comes from a quantile over held-out trusted
 documents.
@@ -28,35 +29,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_TABLE, Stored, partitions, words
+from ..plans.durable import numbered
+from .common import SPACE_TABLE, Stored, WordHashes, partitions, words
 from .thresholds import with_limit
 
-VOCABULARY, SPELLINGS, HELD_OUT, QUANTILE, LEAST = 8190, 1_000_000, 10, 0.998, 30
+SPELLINGS, HELD_OUT, QUANTILE, LEAST = 1_000_000, 10, 0.998, 30
+HOT = 8192
 BLOCK_WORDS = 1_000_000
 UNIT = 1e6
 UNK, EDGE = 0, 1  # token ids; EDGE opens and closes a text
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        return UNK
+def _hashes(found: list[bytes], known: WordHashes) -> np.ndarray:
+    return (known.of(found) >> np.uint64(1)).astype(np.int64)
 
 
-def _tokens(text: bytes | None, ids: _Ids) -> np.ndarray:
-    found = words(text, SPACE_TABLE)
-    out = np.full(len(found) + 2, EDGE, np.int64)
-    if found:
-        out[1:-1] = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-    return out
+def _frequent(spelt: bool):
+    """Word counts of a task's blocks, by hash; with spellings where ties are to be cut by them."""
+    return lambda batches: _counts(batches, spelt)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of a task's blocks."""
+def _counts(batches: Iterator[pa.RecordBatch], spelt: bool) -> Iterator[pa.RecordBatch]:
     counted: Counter[bytes] = Counter()
+    known = WordHashes()
     size = 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.binary()).cast(pa.string()), pa.array(list(counted.values()), pa.int64())], names=["w", "n"])
+        found = list(counted)
+        return pa.RecordBatch.from_arrays([pa.array(found if spelt else [None] * len(found), pa.binary()).cast(pa.string()), pa.array(_hashes(found, known)), pa.array(list(counted.values()), pa.int64())], names=["w", "h", "n"])
 
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()).to_pylist():
@@ -70,25 +70,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _compact(ids):
-    """Texts as token ids of 16 bits, or 32 for large vocabularies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(ids.value)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                tokens = [_tokens(t, known).astype(_kind(len(known))).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["id", "tokens"])
-
-    return run
-
-
-def _kind(n: int) -> str:
-    return "<u2" if n + 2 <= 1 << 16 else "<u4"
-
-
-def _bigrams(n: int, width: int):
+def _bigrams(width: int):
     """Partial bigram counts of a task's texts, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +82,13 @@ def _bigrams(n: int, width: int):
 
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                tokens = np.frombuffer(b, _kind(n)).astype(np.int64)
+                tokens = _numbers(b)
                 held.append(tokens[:-1] * width + tokens[1:])
                 size += len(tokens)
                 if size >= BLOCK_WORDS:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     return run
@@ -132,66 +114,48 @@ def _discount(c, d: tuple[float, float, float]):
 
 
 class Model:
-    """ids: word to token; in micro-nats uni, gamma: log p1(w), log gamma(w); after, before: delta(UNK, w), delta(v, UNK);
-    deltas: the stored (key, weight) of the other bigrams."""
-
-    def __init__(self, docs: DataFrame, trusted: DataFrame, vocabulary: int):
-        spark = docs.sparkSession
-        counts = T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
-        counted = docs.where("t is not null").select("t").mapInArrow(_frequent, counts).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-        top = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(vocabulary).collect()]
-        self.ids = {w.encode(): i for i, w in enumerate(top, 2)}
-        self.width = len(self.ids) + 2
-        width, self.shared = self.width, spark.sparkContext.broadcast(self.ids)
-        compact = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.BinaryType())])
-        known = docs.where("t is not null").select("id", "t").mapInArrow(_compact(self.shared), compact)
+    """width: the number of tokens; hot: in micro-nats log p1(w) + log gamma(w) of the first ``HOT`` tokens; weights: the
+    (key, weight) of the other tokens, by width * width + w, and of the bigrams' deltas, by v * width + w."""
+
+    def __init__(self, encoded: DataFrame, trusted: DataFrame, width: int):
+        spark, self.width = encoded.sparkSession, width
         schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-        known = known.join(trusted.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("tokens")
-        grams = Stored(known.mapInArrow(_bigrams(len(self.ids), width), schema).groupBy("key").agg(F.sum("n").alias("c")), "bigrams")
-        v, w, c = F.floor(F.col("key") / width).cast("int"), (F.col("key") % width).cast("int"), F.col("c")
-        d2 = _of_counts(grams.df, "c")
-        contexts = grams.df.groupBy(v.alias("v")).agg(F.sum("c").alias("total"), F.sum(_discount(c, d2)).alias("mass"))
-        follow = grams.df.groupBy(w.alias("w")).agg(F.count("*").alias("k"))
-        d1 = _of_counts(follow, "k")
-        gamma, log_p1 = np.zeros(width), np.zeros(width)
-        totals = np.zeros(width)
-        for r in contexts.collect():  # a row a vocabulary word at most
-            gamma[r["v"]], totals[r["v"]] = math.log(min(1.0, r["mass"] / r["total"])), r["total"]
-        kinds = np.zeros(width)
-        for r in follow.collect():
-            kinds[r["w"]] = r["k"]
-        cut = np.select([kinds == 0, kinds == 1, kinds == 2], [0.0, d1[0], d1[1]], d1[2])
-        every = max(1.0, kinds.sum())
-        rest = cut.sum() / every if kinds.sum() else 1.0
-        p1 = (kinds - cut) / every + rest / width
-        log_p1 = np.log(p1)
-        self.uni = np.rint(UNIT * (log_p1 + np.where(np.arange(width) == UNK, -math.log(SPELLINGS), 0.0))).astype(np.int64)
-        self.gamma = np.rint(UNIT * gamma).astype(np.int64)
-        small = spark.createDataFrame([(i, float(totals[i]), float(gamma[i]), float(log_p1[i])) for i in range(width)], "i int, total double, g double, p double")
-        small = F.broadcast(small)  # a row a vocabulary word
-        sized = grams.df.withColumn("v", v).withColumn("w", w).join(small.toDF("v", "total", "g", "p"), "v").join(small.select(F.col("i").alias("w"), F.col("p").alias("q")), "w")
-        full = (F.greatest(c - _discount(c, d2), F.lit(0.0)) / F.col("total")) + F.exp(F.col("g") + F.col("q"))
-        weighed = sized.select("key", "v", "w", F.rint(UNIT * (F.log(full) - F.col("g") - F.col("q"))).cast("long").alias("weight"))
-        weighed = Stored(weighed, "deltas").df
-        unknown = (F.col("v") == UNK) | (F.col("w") == UNK)
-        self.deltas = weighed.where(~unknown).select("key", "weight")
-        self.after, self.before = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        for r in weighed.where(unknown).collect():  # two a vocabulary word at most
-            if r["v"] == UNK:
-                self.after[r["w"]] = r["weight"]
-            else:
-                self.before[r["v"]] = r["weight"]
+        known = encoded.join(trusted.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("tokens")
+        grams = Stored(known.mapInArrow(_bigrams(width), schema).groupBy("key").agg(F.sum("n").alias("c")), "bigrams").df
+        v, w, c = F.expr(f"key div {width}"), F.col("key") % width, F.col("c")
+        d2 = _of_counts(grams, "c")
+        contexts = grams.groupBy(v.alias("i")).agg(F.sum("c").alias("total"), F.sum(_discount(c, d2)).alias("mass"))
+        follow = Stored(grams.groupBy(w.alias("i")).agg(F.count("*").alias("k")), "follow").df
+        d1, k = _of_counts(follow, "k"), F.col("k")
+        sums = follow.agg(F.sum("k").alias("every"), F.sum(_discount(k, d1)).alias("cut")).first()
+        every = float(sums["every"] or 1)
+        rest = sums["cut"] / every if sums["every"] else 1.0
+        p1 = F.when(k.isNull(), F.lit(0.0)).otherwise((k - _discount(k, d1)) / every) + F.lit(rest / width)
+        each = spark.range(width).select(F.col("id").alias("i")).join(follow, "i", "left").join(contexts, "i", "left")
+        each = each.select("i", "total", F.coalesce(F.log(F.least(F.lit(1.0), F.col("mass") / F.col("total"))), F.lit(0.0)).alias("g"), F.log(p1).alias("p"))
+        each = Stored(each, "words").df
+        unit = lambda x: F.rint(UNIT * x).cast("long")
+        lone = unit(F.col("p") - F.when(F.col("i") == UNK, math.log(SPELLINGS)).otherwise(0.0)) + unit(F.col("g"))
+        lone = each.select("i", lone.alias("weight"))
+        self.hot = np.zeros(min(HOT, width), np.int64)
+        for r in lone.where(F.col("i") < HOT).collect():
+            self.hot[r["i"]] = r["weight"]
+        # delta(v, w) = log(1 + exp(x - log p1(w))), x = log of the discounted share - log gamma(v): one number goes from v to w
+        x = unit(F.log((c - _discount(c, d2)) / F.col("total")) - F.col("g")).cast("int")
+        of_v = grams.select("key", "c").join(each.select(F.col("i").alias("v"), "total", "g"), v == F.col("v")).select("key", x.alias("x"))
+        sized = of_v.join(each.select(F.col("i").alias("w"), F.col("p").alias("q")), w == F.col("w"))
+        deltas = sized.select("key", unit(F.log1p(F.exp(F.col("x") / UNIT - F.col("q")))).alias("weight"))
+        self.weights = deltas.union(lone.where(F.col("i") >= HOT).select(F.col("i") + F.lit(width * width), "weight"))
 
     def __getstate__(self) -> dict:
-        """What workers need: arrays bounded by the vocabulary."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("deltas", "ids", "shared")}
+        """What workers need: a bounded array and a number."""
+        return {"width": self.width, "hot": self.hot}
 
     def local(self, tokens: np.ndarray) -> tuple[int, np.ndarray]:
-        """What needs no shard of a text's score, and the bigrams that do."""
-        v, w = tokens[:-1], tokens[1:]
-        lone = (v == UNK) | (w == UNK)
-        known = int(self.uni[w].sum() + self.gamma[v].sum() + self.after[w[v == UNK]].sum() + self.before[v[(w == UNK) & (v != UNK)]].sum())
-        return known, (v * self.width + w)[~lone]
+        """What needs no shard of a text's score, and the keys that do."""
+        w = tokens[1:]
+        hot = w < len(self.hot)
+        return int(self.hot[w[hot]].sum()), np.concatenate([tokens[:-1] * self.width + w, self.width**2 + w[~hot]])
 
 
 ROW, NAMES = "shard int, kind int, block long, a binary, b binary", ["shard", "kind", "block", "a", "b"]
@@ -224,7 +188,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def _sorted(shard: np.ndarray, keys: np.ndarray, doc: np.ndarray, docs: int, width: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By shard, key and document; as one packed number where that fits."""
-    k, d = (width * width - 1).bit_length(), max(1, docs.bit_length())
+    k, d = (width * width + width - 1).bit_length(), max(1, docs.bit_length())
     if k + d + shards.bit_length() > 63:
         by = np.lexsort((doc, keys, shard))
         return shard[by], keys[by], doc[by]
@@ -232,12 +196,112 @@ def _sorted(shard: np.ndarray, keys: np.ndarray, doc: np.ndarray, docs: int, wid
     return packed >> (k + d), (packed >> d) & ((1 << k) - 1), packed & ((1 << d) - 1)
 
 
-def _ask(ids, model: Model, shards: int):
-    """Documents to rows ASKED, the bigrams asked of a shard, and OWN, a block's keys, sizes and scores so far."""
+def _encode(shards: int):
+    """Texts to rows ASKED, a block's distinct words asked of a shard, and OWN, its keys, sizes and words by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, held, docs, sizes, size = WordHashes(), [], [], [], 0
+        block = TaskContext.get().partitionId() << 32
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, place = np.unique(np.concatenate(held), return_inverse=True)
+            shard = _shard_of(found, shards)
+            by = np.argsort(shard, kind="stable")
+            moved = np.empty(len(by), np.int64)
+            moved[by] = np.arange(len(by))
+            found, bounds = found[by], np.searchsorted(shard[by], np.arange(shards + 1))
+            yield _batch([(-1, OWN, block, _planes(np.array([docs, sizes], np.int64).ravel()), _planes(moved[place]))])
+            rows = [(s, ASKED, block, _planes(found[a:b], True), int(a).to_bytes(8, "little")) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+            if rows:
+                yield _batch(rows)
+
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                held.append(_hashes(words(t, SPACE_TABLE), known))
+                docs.append(i)
+                sizes.append(-1 if t is None else len(held[-1]))
+                size += len(held[-1])
+                if size >= BLOCK_WORDS or len(docs) == 65536:
+                    yield from flush()
+                    held, docs, sizes, size, block = [], [], [], 0, block + 1
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's words come first; then each block's words take their numbers: rows TOLD, other words being UNK."""
+    shard, keys, ids, parts = None, np.empty(0, np.int64), np.empty(0, np.int64), []
+    for batch in batches:
+        for s, kind, block, a, b in _rows(batch):
+            if s != shard:
+                shard, keys, ids, parts = s, np.empty(0, np.int64), np.empty(0, np.int64), []
+            if kind == MODEL:
+                parts.append((_unplanes(a, True), _unplanes(b)))
+                continue
+            if parts:
+                keys, ids = (np.concatenate(x) for x in zip(*parts))
+                by = np.argsort(keys)
+                keys, ids, parts = keys[by], ids[by], []
+            if len(keys):
+                asked = _unplanes(a, True)
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                yield _batch([(s, TOLD, block, b, _planes(np.where(keys[at] == asked, ids[at], UNK)))])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block together, TOLD and then OWN: a row (id, tokens) a document. EDGE alone is a null text."""
+    now, told = None, []
+    for batch in batches:
+        for _, kind, block, a, b in _rows(batch):
+            if block != now:
+                now, told = block, []
+            if kind == TOLD:
+                told.append((int.from_bytes(a, "little"), _unplanes(b)))
+                continue
+            (docs, sizes), place = _unplanes(a).reshape(2, -1), _unplanes(b)
+            ids = np.full(int(place.max()) + 1 if len(place) else 0, UNK, np.int64)
+            for first, some in told:
+                ids[first : first + len(some)] = some
+            ends = np.cumsum(np.maximum(sizes, 0))
+            found, out = ids[place].astype("<u4"), []
+            edge = np.array([EDGE], "<u4").tobytes()
+            for n, end in zip(sizes, ends):
+                out.append(edge if n < 0 else edge + found[end - n : end].tobytes() + edge)
+            for k in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 1000]), pa.array(out[k : k + 1000], pa.binary())], names=["id", "tokens"])
+
+
+def _numbers(tokens: bytes) -> np.ndarray:
+    return np.frombuffer(tokens, "<u4").astype(np.int64)
+
+
+def encode(docs: DataFrame, vocabulary: int | None) -> tuple[DataFrame, int]:
+    """The stored (id, tokens) of docs (id, t), and the number of tokens there are."""
+    shards = partitions(docs.sparkSession)
+    counts = T.StructType([T.StructField("w", T.StringType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
+    counted = docs.where("t is not null").select("t").mapInArrow(_frequent(vocabulary is not None), counts).groupBy("w", "h").agg(F.sum("n").alias("n")).where("n > 1")
+    table = numbered(counted.select("w", "h", (-F.col("n")).alias("less")), ["less", "h" if vocabulary is None else "w"], "at")
+    table = table if vocabulary is None else table.where(F.col("at") < vocabulary)
+    table = Stored(table.select("h", (F.col("at") + EDGE + 1).alias("i")), "vocabulary").df
+    told = table.mapInArrow(_offer(shards), ROW)
+    asked = Stored(docs.select("id", "t").mapInArrow(_encode(shards), ROW), "words-asked")
+    met = told.union(asked.df.where(F.col("kind") == ASKED)).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_number, ROW)
+    blocks = met.union(asked.df.where(F.col("kind") == OWN)).repartition(shards, "block").sortWithinPartitions("block", "kind")
+    encoded = Stored(blocks.mapInArrow(_tokens, "id long, tokens binary"), "tokens").df
+    asked.drop()
+    return encoded, table.count() + EDGE + 1
+
+
+def _ask(model: Model, shards: int):
+    """Documents to rows ASKED, the keys asked of a shard, and OWN, a block's keys, sizes and scores so far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, held, docs, base, sizes, size = _Ids(ids.value), [], [], [], [], 0
+        held, docs, base, sizes, size = [], [], [], [], 0
         block = TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -252,8 +316,9 @@ def _ask(ids, model: Model, shards: int):
                     yield _batch([(s, ASKED, block, _planes(k, True), d.astype("<u2" if len(held) <= 65536 else "<u4").tobytes())])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                tokens = _tokens(t, known)
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = _numbers(b)
+                tokens = tokens if len(tokens) > 1 else np.array([EDGE, EDGE])
                 score, asked = model.local(tokens)
                 held.append(asked)
                 docs.append(i)
@@ -287,7 +352,7 @@ def _offer(shards: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's model rows come first; then each block's bigrams are looked up and added by document: rows TOLD."""
+    """A shard's model rows come first; then each block's keys are looked up and added by document: rows TOLD."""
     shard, keys, weights, parts = None, np.empty(0, np.int64), np.empty(0, np.int64), []
     for batch in batches:
         for s, kind, block, a, b in _rows(batch):
@@ -329,12 +394,13 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(base + told)], names=["id", "n", "units"])
 
 
-def score(docs: DataFrame, trusted: DataFrame, *, vocabulary: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, *, vocabulary: int | None = None) -> DataFrame:
     """(id, n, nats): words and log-probability of each document of docs (id, t), ids not null; trusted has the ids g."""
-    spark = docs.sparkSession
-    model, shards = Model(docs, trusted, vocabulary), partitions(spark)
-    told = model.deltas.mapInArrow(_offer(shards), ROW)
-    asked = Stored(docs.select("id", "t").mapInArrow(_ask(model.shared, model, shards), ROW), "asked").df
+    shards = partitions(docs.sparkSession)
+    encoded, width = encode(docs, vocabulary)
+    model = Model(encoded, trusted, width)
+    told = model.weights.mapInArrow(_offer(shards), ROW)
+    asked = Stored(encoded.mapInArrow(_ask(model, shards), ROW), "asked").df
     met = told.union(asked.where(F.col("kind") == ASKED)).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_meet, ROW)
     blocks = met.union(asked.where(F.col("kind") == OWN)).repartition(shards, "block").sortWithinPartitions("block", "kind")
     parts = blocks.mapInArrow(_add, "id long, n long, units long")
@@ -342,7 +408,7 @@ def score(docs: DataFrame, trusted: DataFrame, *, vocabulary: int = VOCABULARY)
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: int = VOCABULARY, quantile: float = QUANTILE
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: int | None = None, quantile: float = QUANTILE
 ) -> DataFrame:
     """(key, n_words, perplexity, threshold, kept) of each document that has a key; keys are whole numbers.
 

@@ -23,3 +23,18 @@ def test_counts_of_many_tasks_are_whole(spark):
     for r in lm.score(docs, trusted, vocabulary=30).collect():
         t = texts[r["id"]]
         assert abs(r["nats"] - score(t)) < 1e-3 * (1 + len(t.split())), r
+
+
+def test_vocabulary_grows_with_the_texts(spark):
+    """More words than any fixed table of some thousands had: all of those met twice are known."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 12000)}" for _ in range(300)) for _ in range(100)] + ["once qqq"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(9)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "g long")
+    counts = collections.Counter(w for t in texts for w in t.split())
+    known = [w for w, n in counts.items() if n > 1]
+    assert len(known) > 8500
+    score = plain([texts[i] for i in range(0, 100, 2)], known)
+    for r in lm.score(docs, trusted).collect():
+        t = texts[r["id"]]
+        assert abs(r["nats"] - score(t)) < 1e-3 * (1 + len(t.split())), r
