@@ -735,6 +735,13 @@ def _(s):
     return exact.flow_value(g, exact.max_flow(g, ends["a"], ends["b"], capacity=F.col("n")), ends["a"])
 
 
+@_query("max_flow_whole")
+def _(s):
+    g = s.trade()
+    ends = g.vertices.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    return exact.flow_value(g, exact.max_flow(g, ends["a"], ends["b"], capacity=F.col("n")), ends["a"])
+
+
 @_query("bipartite_matching", "SELECT count(DISTINCT n_regionkey)::BIGINT AS n FROM nation")
 def _(s):
     n = s.table("nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.col("n_nationkey").alias("edge_id"))
