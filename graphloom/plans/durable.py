@@ -12,13 +12,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or a local folder where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir. Only a local master, as in tests, may do without one: all its tasks share a disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"file://{tempfile.gettempdir()}/graphloom-shared"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """What a query shuffles goes when it has ended, not only when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 _left: dict[str, tuple] = {}
 
 
@@ -43,7 +59,8 @@ class Stored:
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
         _left[self.path] = (spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
-        df.write.option("compression", "zstd").parquet(self.path)
+        with _shuffles_end(spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
