@@ -2,10 +2,10 @@
 
 Words and word pairs are hashed to 2 ** ``bits`` buckets each (a parameter; few buckets average the weight of rare
 words away); the raw multinomial counts every document, the target
-one every document labelled of quality 1 and not toxic. A document's score is the mean of log(target / raw) over its
-n-grams. It is kept when the score reaches a low quantile of the target documents of like language and length. To find
-the target, 32-bit word hashes and not texts meet the labels; counts travel as packed runs of ``PART`` buckets; the
-weights, one number a bucket, go to every worker.
+one every document labelled of quality 1 and not toxic but a held-out tenth. A document's score is the mean of
+log(target / raw) over its n-grams. It is kept when the score reaches a low quantile of the held-out documents of like
+language and length. Counts travel as packed runs of ``PART`` buckets; the weights, one number a bucket, go to every
+worker.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACE_TABLE, Stored, WordHashes, mix, words
-from .thresholds import with_limit
+from .thresholds import units, with_limit
+from .trusted import held_out, texts_of, trusted_keys
 
 BUCKET_BITS = 20  # up to 32
 PART, BLOCK_GRAMS = 4096, 1_000_000
@@ -41,15 +42,6 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype("<u4")
 
 
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            part = batch.slice(first, 1000)
-            shorts = [_short(hashes.of(words(t, SPACE_TABLE))).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shorts, pa.binary())], names=["id", "shorts"])
-
-
 def _packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
     """Counts by part, byte planes apart, so that shuffle compression finds the zeros."""
     planes = [np.ascontiguousarray(n.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for n in parts.values()]
@@ -60,15 +52,15 @@ def _unpacked(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _count(bits: int, shorts_of):
-    """Bucket counts of a task's rows, block by block."""
+def _count(bits: int):
+    """Bucket counts of a task's texts, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, held, size = np.zeros(2 << bits, np.int64), [], 0
         hashes = WordHashes()
         for batch in batches:
             for b in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(_grams(shorts_of(b, hashes), bits))
+                held.append(_grams(_short(hashes.of(words(b, SPACE_TABLE))), bits))
                 size += len(held[-1])
                 if size >= BLOCK_GRAMS:
                     totals += np.bincount(np.concatenate(held), minlength=2 << bits)
@@ -81,14 +73,6 @@ def _count(bits: int, shorts_of):
     return run
 
 
-def _of_text(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    return _short(hashes.of(words(text, SPACE_TABLE)))
-
-
-def _of_shorts(shorts: bytes, hashes: WordHashes) -> np.ndarray:
-    return np.frombuffer(shorts, "<u4")
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the packed counts of each part; a partition has all rows of its parts."""
     sums: dict[int, np.ndarray] = {}
@@ -171,11 +155,10 @@ def apply_rules(
     spark = docs.sparkSession
     rows = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("t"), docs[f"`{lang}`"].alias("lang"))
     kind, lang_kind = rows.schema["id"].dataType, rows.schema["lang"].dataType
-    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("g")).where("g is not null").distinct()
+    good, held = trusted_keys(labels, kind), held_out("g")
     counts = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.BinaryType())])
-    short = T.StructType([T.StructField("id", kind), T.StructField("shorts", T.BinaryType())])
-    target = rows.select("id", "t").mapInArrow(_compact, short).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi").select("shorts").mapInArrow(_count(bits, _of_shorts), counts)
-    raw = rows.select("t").mapInArrow(_count(bits, _of_text), counts)
+    target = texts_of(rows, good.where(~held)).mapInArrow(_count(bits), counts)
+    raw = rows.select("t").mapInArrow(_count(bits), counts)
     half, width = 1 << bits, min(PART, 2 << bits)
     logs = []
     for counted in (target, raw):
@@ -187,10 +170,10 @@ def apply_rules(
     measured = T.StructType([T.StructField("id", kind), T.StructField("lang", lang_kind), *(T.StructField(k, t) for k, t in RESULT.items())])
     judged = Stored(rows.mapInArrow(_measure(weights, bits), measured), "measures").df.withColumn("n", F.col("n_words")).withColumn("loss", -F.col("score"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    seen = judged.where(~base).join(good.hint("merge"), F.col("id") == F.col("g"), "left_semi")
-    judged = with_limit(judged, seen, 1 - quantile, LEAST)
-    verdict = F.col("limit").isNull() | (F.col("loss") <= F.col("limit"))
+    seen = judged.where(~base).join(good.where(held).hint("merge"), F.col("id") == F.col("g"), "left_semi")
+    judged = with_limit(judged, seen, "loss", 1 - quantile, LEAST, "limit")
+    verdict = F.coalesce(units("loss") <= units("limit"), F.lit(True))
     return judged.select(
         F.col("id").alias(key), *(c for c in RESULT if c != "score"), F.round("score", 9).alias("score"), F.round(-F.col("limit"), 9).alias("threshold"),
-        base.alias("base_failed"), (~base & F.coalesce(verdict, F.lit(False))).alias("kept"),
+        base.alias("base_failed"), (~base & verdict).alias("kept"),
     )

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+STEPS = 1024  #: steps of a measure to 1
 
-#: A limit lies this share of the quantile's distance from the median beyond the quantile.
-MARGIN = 0.1
 
+def units(measure: str) -> Column:
+    """A measure as a whole number of steps, as it is held against a limit."""
+    return F.rint(F.col(measure) * STEPS).cast("long")
 
-def with_limit(judged: DataFrame, trusted: DataFrame, quantile: float, least: int) -> DataFrame:
-    """judged (lang, n, loss, ...) with a column ``limit``, from the loss of the trusted of like language and length.
 
-    The limit is their quantile, moved out by ``MARGIN``: a quantile near 1 alone would refuse the worst of each class.
-    Length is the binary order of magnitude of n. A class with fewer than ``least`` trusted documents takes the limit of
-    its length in all languages, then of its language, then of all; with no trusted documents it is null. Classes are
-    bounded by the languages and some twenty lengths, so limits are joined by broadcast.
+def with_limit(judged: DataFrame, trusted: DataFrame, measure: str, quantile: float, least: int, limit: str) -> DataFrame:
+    """judged (lang, n, measure, ...) with a column ``limit``, from the trusted of like language and length.
+
+    The limit is the least step that a share of ``quantile`` of them does not exceed. Length is the binary order of
+    magnitude of n. A class with fewer than ``least`` trusted documents takes the limit of its length in all languages,
+    then of its language, then of all; with no trusted documents it is null. Quantiles come from counts by step, so a
+    task sees as many rows as a measure has steps, not documents. Classes are bounded by the languages and some twenty
+    lengths, so limits are joined by broadcast.
     """
     size = F.floor(F.log2(F.col("n") + 1)).cast("int")
-    judged, trusted = judged.withColumn("_size", size), trusted.where("loss is not null").withColumn("_size", size)
-    high, middle = (F.percentile("loss", F.lit(q)) for q in (quantile, 0.5))
-    bound = high + MARGIN * (high - middle)
-    at = bound.alias("l"), F.count("*").alias("m")
-    for name, cols in (("_both", ["lang", "_size"]), ("_by_size", ["_size"]), ("_by_lang", ["lang"])):
-        limits = trusted.groupBy(*cols).agg(*at).where(F.col("m") >= least).select(*(F.col(c).alias(f"{name}{c}") for c in cols), F.col("l").alias(name))
+    judged = judged.withColumn("_size", size)
+    bins = trusted.where(F.col(measure).isNotNull()).withColumn("_size", size).groupBy("lang", "_size", units(measure).alias("_u")).agg(F.count("*").alias("_c"))
+    for name, cols in (("_both", ["lang", "_size"]), ("_by_size", ["_size"]), ("_by_lang", ["lang"]), ("_every", [])):
+        every = W.partitionBy(*cols, F.lit(0))
+        counts = bins.groupBy(*cols, "_u").agg(F.sum("_c").alias("_c"))
+        counts = counts.select(*cols, "_u", F.sum("_c").over(every).alias("_all"), F.sum("_c").over(every.orderBy("_u")).alias("_upto"))
+        enough = F.col("_upto") >= F.ceil(F.col("_all") * F.lit(quantile))
+        limits = counts.where(enough & (F.col("_all") >= (least if cols else 1))).groupBy(*(F.col(c).alias(f"{name}{c}") for c in cols)).agg((F.min("_u") / F.lit(STEPS)).alias(name))
         on = F.lit(True)
         for c in cols:
             on &= F.col(c).eqNullSafe(F.col(f"{name}{c}"))
         judged = judged.join(F.broadcast(limits), on, "left").drop(*(f"{name}{c}" for c in cols))
-    every = trusted.agg(bound.alias("_every"))
-    judged = judged.crossJoin(F.broadcast(every))  # one row
-    return judged.withColumn("limit", F.coalesce("_both", "_by_size", "_by_lang", "_every")).drop("_both", "_by_size", "_by_lang", "_every", "_size")
+    return judged.withColumn(limit, F.coalesce("_both", "_by_size", "_by_lang", "_every")).drop("_both", "_by_size", "_by_lang", "_every", "_size")

@@ -1,18 +1,21 @@
-"""The quality classifier against a plain interpolated modified Kneser-Ney model."""
+"""The quality classifier against a plain interpolated modified Kneser-Ney model and plain quantiles."""
 
 import collections
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from graphloom.llm import quality_lm as lm
+from graphloom.llm.thresholds import STEPS
+from graphloom.llm.trusted import held_out
 
 
-def plain(train, vocabulary):
-    """log p(w | v) of the same model, by dictionaries."""
-    known = set(vocabulary)
-    ids = lambda t: ["<e>", *(w if w in known else "<u>" for w in t.split()), "<e>"]
-    c = collections.Counter(b for t in train for s in [ids(t)] for b in zip(s, s[1:]))
-    width = len(known) + 2
+def plain(train):
+    """log p of a text in the same model, by dictionaries."""
+    closed = lambda t: ["<e>", *t.split(), "<e>"]
+    c = collections.Counter(b for t in train for s in [closed(t)] for b in zip(s, s[1:]))
     follow = collections.Counter(w for _, w in c)
     d2 = lm.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
     d1 = lm.discounts([sum(x == k for x in follow.values()) for k in (1, 2, 3, 4)])
@@ -21,39 +24,91 @@ def plain(train, vocabulary):
     for (v, _), n in c.items():
         total[v] += n
         mass[v] += cut(n, d2)
-    every = sum(follow.values())
-    rest = sum(cut(n, d1) for n in follow.values()) / every
-    p1 = lambda w: (follow[w] - cut(follow[w], d1)) / every + rest / width
+    every = sum(follow.values()) or 1
+    rest = sum(cut(n, d1) for n in follow.values()) / every if follow else 1.0
+    p1 = lambda w: (follow[w] - cut(follow[w], d1)) / every + rest / (len(follow) + 1)
 
     def p(v, w):
         return (max(c[v, w] - cut(c[v, w], d2), 0) + mass[v] * p1(w)) / total[v] if total[v] else p1(w)
 
-    def score(t):
-        s = ids(t)
-        return sum(math.log(p(v, w)) - (math.log(lm.SPELLINGS) if w == "<u>" else 0) for v, w in zip(s, s[1:]))
+    return lambda t: sum(math.log(p(v, w)) for s in [closed(t)] for v, w in zip(s, s[1:]))
+
+
+def repeats(t):
+    s = ["<e>", *t.split(), "<e>"]
+    return 1 - len(set(zip(s, s[1:]))) / (len(s) - 1)
+
 
-    return score
+def _texts(rng, n, words):
+    return [" ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=rng.randint(1, 60))) for _ in range(n)]
 
 
-def test_scores_match(spark):
+def test_scores_match_whatever_the_layout(spark):
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 60))) for _ in range(80)] + ["zzz qqq zzz", "", "  ", None]
-    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "id long, t string, lang string").repartition(4)
+    texts = _texts(rng, 80, [f"w{i}" for i in range(60)]) + ["zzz qqq zzz", "", "  ", None, "w1 " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     trusted = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "g long")
-    counts = collections.Counter(w for t in texts[:81] for w in t.split())
-    top = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1][:40]
-    score = plain([texts[i] for i in range(0, 80, 2)], top)
-    # the vocabulary leaves out words met once in a block, so blocks here must see what the whole sees
-    got = {r["id"]: r for r in lm.score(docs.coalesce(1), trusted, vocabulary=40).collect()}
-    assert len(got) == len(texts)
+    score = plain([texts[i] for i in range(0, 80, 2)])
+    runs = [
+        {r["id"]: (r["n"], r["nats"], r["fresh"]) for r in lm.score(docs.repartition(n), trusted, hot=hot).collect()}
+        for n, hot in ((1, lm.HOT), (16, lm.HOT), (200, 0), (5, 7))
+    ]
+    assert all(r == runs[0] for r in runs)
+    assert len(runs[0]) == len(texts)
     for i, t in enumerate(texts):
-        assert got[i]["n"] == len((t or "").split())
-        if t and t.strip():
-            assert abs(got[i]["nats"] - score(t)) < 1e-3 * (1 + len(t.split())), (i, got[i]["nats"], score(t))
-    again = {r["id"]: r["nats"] for r in lm.score(docs.coalesce(1), trusted, vocabulary=40).collect()}
-    assert again == {i: r["nats"] for i, r in got.items()}
+        n, nats, fresh = runs[0][i]
+        assert n == len((t or "").split())
+        assert abs(nats - score(t or "")) < 1e-3 * (2 + n), (i, nats, score(t or ""))
+        assert abs(1 - fresh / (n + 1) - repeats(t or "")) < 1e-9
+
+
+def test_all_trusted_words_are_known(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 12000)}" for _ in range(300)) for _ in range(60)] + ["once qqq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(9)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "g long")
+    score = plain([texts[i] for i in range(0, 60, 2)])
+    for r in lm.score(docs, trusted, hot=100).collect():
+        assert abs(r["nats"] - score(texts[r["id"]])) < 1e-3 * (1 + r["n"]), r
+
+
+def _limit(values, quantile):
+    steps = sorted(round(x * STEPS) for x in values)
+    return steps[math.ceil(len(steps) * quantile) - 1] if steps else None
+
+
+@pytest.mark.parametrize("quantile", [0.5, 0.998])
+def test_verdicts_are_those_of_plain_quantiles(spark, quantile):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = _texts(rng, 900, words) + [" ".join(f"j{rng.randint(0, 99)}" for _ in range(20)) for _ in range(40)] + ["w3 " * 30] * 5
+    lang = ["en" if i % 3 else "de" for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900) if i % 10], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"] for r in labels.where(held_out("doc_id")).collect()}
+    good = {i for i in range(900) if i % 10}
+    score = plain([texts[i] for i in sorted(good - held)])
+    n = [len(t.split()) for t in texts]
+    loss, again = [-score(t) / (k + 1) for t, k in zip(texts, n)], [repeats(t) for t in texts]
+    size = [int(math.log2(k + 1)) for k in n]
+
+    def limit(of, seen, i):
+        for like in ((size, lang), (size,), (lang,)):
+            some = [of[j] for j in seen if all(x[j] == x[i] for x in like)]
+            if len(some) >= lm.LEAST:
+                return _limit(some, quantile)
+        return _limit([of[j] for j in seen], quantile)
+
+    got = {r["doc_id"]: r for r in lm.classify(docs.repartition(4), labels, quantile=quantile).collect()}
+    assert len(got) == len(texts)
+    differ = 0
+    for i in range(len(texts)):
+        a, b = limit(loss, held, i), limit(again, good, i)
+        assert abs(math.log(got[i]["threshold"]) * STEPS - a) <= 2 and abs(got[i]["most_repeats"] * STEPS - b) < 0.1
+        near = abs(loss[i] * STEPS - a) <= 2  # sums are rounded
+        differ += not near and got[i]["kept"] != (loss[i] * STEPS <= a and round(again[i] * STEPS) <= b)
+    assert differ == 0
+    assert not any(got[i]["kept"] for i in range(900, len(texts)))
 
 
 def test_classes_and_awkward_rows(spark):
@@ -70,4 +125,4 @@ def test_classes_and_awkward_rows(spark):
     assert not any(got[i]["kept"] or got[i]["n_words"] for i in (900, 901, 902))
     assert lm.classify(docs.limit(0), labels).count() == 0
     free = lm.classify(docs, labels.limit(0)).where("n_words > 0")
-    assert free.where("not kept or threshold is not null").count() == 0
+    assert free.where(F.expr("not kept or threshold is not null")).count() == 0
