@@ -245,7 +245,10 @@ class Graph:
         """Takes v out and joins every in-neighbour with every out-neighbour; loops of v go, and v is nobody's end."""
         into = self.edges.where((F.col("dst") == v) & (F.col("src") != v)).select("src", F.col("ord").alias("_o1"), F.col("edge_id").alias("_e1"))
         out = self.edges.where((F.col("src") == v) & (F.col("dst") != v)).select("dst", F.col("ord").alias("_o2"), F.col("edge_id").alias("_e2"))
-        met = into.withColumn("_k", F.lit(0)).join(out.withColumn("_k", F.lit(0)), "_k")  # the pairs are the result
+        # the pairs are the result; in-edges are dealt to as many parts as there are tasks, so that a hub's are not one task's
+        parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = into.withColumn("_k", F.pmod(F.xxhash64("_e1"), F.lit(parts)))
+        met = dealt.join(out.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "_k")
         new = met.select(F.xxhash64("_e1", "_e2").alias("edge_id"), F.col("_o1").alias("ord"), "src", "dst")
         return self.remove_vertices_if(F.col("id") == v).with_parallel_policy(new)
 
@@ -282,7 +285,13 @@ class Graph:
         return replace(self, vertices=v, edges=_inside(self.edges, v))
 
     def residual(self, residuals: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
-        """Edges with residual (edge_id, residual) above 0; of their reverse (edge_id, reverse_id) where it is given."""
+        """Edges with residual (edge_id, residual) above 0; of their reverse (edge_id, reverse_id) where it is given.
+
+        Raises where an edge has no residual, or, with ``reverse``, no reverse edge.
+        """
+        known = residuals.select("edge_id") if reverse is None else reverse.join(residuals.select(F.col("edge_id").alias("reverse_id")), "reverse_id", "left_semi").select("edge_id")
+        for r in self.edges.join(known, "edge_id", "left_anti").limit(1).collect():
+            raise GraphError(f"edge {r['edge_id']!r} has no {'residual' if reverse is None else 'reverse edge with a residual'}")
         left = residuals.where("residual > 0").select(F.col("edge_id").alias("_r"))
         if reverse is None:
             return self.edges.join(left, F.col("edge_id") == F.col("_r"), "left_semi")

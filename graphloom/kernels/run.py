@@ -1,6 +1,7 @@
 """Runs a kernel on whole graphs, one task a graph, many graphs side by side.
 
-Kernels are for what is sequential or exponential by nature. A graph beyond the bound raises; nothing is cut off.
+Kernels are for what is sequential or exponential by nature. A graph beyond the bound raises; nothing is cut off. What a
+kernel raises comes back as a row, so that the driver raises the same error class as a plan of supersteps would.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import GraphTooLargeError
+from .. import errors
 from ..graph import Graph
+from ..plans.durable import cut
 
 MAX_VERTICES, MAX_EDGES = 1_000_000, 4_000_000
 
@@ -34,6 +36,8 @@ class Local:
         self.src, self.dst = (at.reindex(e[c]).to_numpy().astype(np.int64) if self.m else np.empty(0, np.int64) for c in ("src", "dst"))
         self.weight = e["weight"].to_numpy(dtype=float) if "weight" in e else np.ones(self.m)
         self.edge_id = e["edge_id"].tolist()
+        #: What a vertex column ``value`` says of each vertex, where there is one.
+        self.value = v["value"].tolist() if "value" in v else None
 
     @cached_property
     def ends(self) -> tuple[list[int], list[int], list[float]]:
@@ -86,30 +90,45 @@ class Local:
 Kernel = Callable[[Local], Iterable[tuple]]
 
 
+def _bounded(v: DataFrame, e: DataFrame, key: str, max_vertices: int, max_edges: int) -> None:
+    """Counts both frames in one job, before anything is gathered."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = v.select(key, one.alias("v"), none.alias("e")).union(e.select(key, none, one))
+    sizes = both.groupBy(key).agg(F.sum("v").alias("v"), F.sum("e").alias("e")).where((F.col("v") > max_vertices) | (F.col("e") > max_edges))
+    for r in sizes.limit(1).collect():
+        n, most, what = (r["v"], max_vertices, "vertices") if r["v"] > max_vertices else (r["e"], max_edges, "edges")
+        raise errors.GraphTooLargeError(f"graph {r[0]!r} has {n} {what}; the bound is {most}")
+
+
 def run(graph: Graph, kernel: Kernel, schema: str, *, by: str | None = None, max_vertices: int = MAX_VERTICES, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The kernel's rows; with ``by`` both frames have that column and each of its values is a graph of its own.
+    """The kernel's rows, stored; with ``by`` both frames have that column and each of its values is a graph of its own.
 
-    ``{id}`` in the schema stands for the type of vertex ids, ``{edge}`` for that of edge ids. A graph is checked
-    against the bounds by counting, before anything is gathered.
+    ``{id}`` in the schema stands for the type of vertex ids, ``{edge}`` for that of edge ids. An error of the engine that
+    a kernel raises for any graph is raised here.
     """
     v, e = graph.vertices, graph.edges
     key = by or "graph"
     if by is None:
         v, e = v.withColumn(key, F.lit(0)), e.withColumn(key, F.lit(0))
-    for df, most, what in ((v, max_vertices, "vertices"), (e, max_edges, "edges")):
-        big = df.groupBy(key).count().where(F.col("count") > most).limit(1).collect()
-        if big:
-            raise GraphTooLargeError(f"graph {big[0][0]!r} has {big[0][1]} {what}; the bound is {most}")
+    _bounded(v, e, key, max_vertices, max_edges)
     columns = [key, "edge_id", "ord", "src", "dst", *(["weight"] if "weight" in e.columns else [])]
     out = T._parse_datatype_string(schema.format(id=v.schema["id"].dataType.simpleString(), edge=e.schema["edge_id"].dataType.simpleString()))
     if by is not None:
         out = T.StructType([v.schema[key], *out.fields])
     names, directed = out.names, graph.directed
+    failure = T.StructType([*(T.StructField(f.name, f.dataType) for f in out.fields), T.StructField("_error", T.StringType()), T.StructField("_said", T.StringType())])
 
     def apply(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = list(kernel(Local(left, right, directed)))
+        try:
+            rows = [(*r, None, None) for r in kernel(Local(left, right, directed))]
+        except errors.GraphError as err:
+            rows = [(*([None] * (len(names) - (by is not None))), type(err).__name__, str(err))]
         if by is not None:
             rows = [(key_[0], *r) for r in rows]
-        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+        return pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(failure.fields)})
 
-    return v.select(key, "id", "ord").groupBy(key).cogroup(e.select(*columns).groupBy(key)).applyInPandas(apply, out)
+    extra = ["value"] if "value" in v.columns else []
+    found = cut(v.select(key, "id", "ord", *extra).groupBy(key).cogroup(e.select(*columns).groupBy(key)).applyInPandas(apply, failure), "kernel")
+    for r in found.where("_error is not null").limit(1).collect():
+        raise getattr(errors, r["_error"])(r["_said"])
+    return found.select(*names)

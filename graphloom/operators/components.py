@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..kernels import run as kernel
 from ..kernels import structure
-from ..plans.durable import Stored, cut
+from ..plans.durable import Stored, cut, replaced
 from ..plans.iterate import fits_one_task, supersteps
+from .order import is_dag
 
 
 def linked(links: DataFrame) -> Stored:
@@ -112,13 +113,13 @@ def _without(alive: DataFrame, arcs: DataFrame, gone: DataFrame) -> tuple[DataFr
 
 def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
     """The least label that reaches each vertex along the arcs."""
-    now = labels
+    now: Stored | None = None
     while True:
-        met = now.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("label").alias("m"))
-        nxt = cut(now.join(met, F.col("id") == F.col("dst"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "spread")
-        if nxt.where("label <> old").isEmpty():
-            return nxt.select("id", "label")
-        now = nxt.select("id", "label")
+        before = labels if now is None else now.df.select("id", "label")
+        met = before.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("label").alias("m"))
+        now = replaced(now, before.join(met, F.col("id") == F.col("dst"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "spread")
+        if now.df.where("label <> old").isEmpty():
+            return now.df.select("id", "label")
 
 
 def strongly_connected_components(g: Graph, *, local_edges: int | None = None) -> DataFrame:
@@ -150,23 +151,29 @@ def condensation(g: Graph, *, strong: bool = True) -> tuple[DataFrame, DataFrame
     return v.select("label", "n_vertices", F.coalesce("n", F.lit(0)).alias("n_edges")), between
 
 
-def edge_merge_condensation(g: Graph, keep, *, rounds: int = 64) -> DataFrame:
+def edge_merge_condensation(g: Graph, keep) -> DataFrame:
     """(src, dst, edge_ids): edges between kept vertices, those through vertices that fail ``keep`` being merged.
 
-    A merged edge carries the edge ids of its way. Where failing vertices form no cycle, ways are grown edge by edge;
-    a way that would grow for more than ``rounds`` rounds raises.
+    A merged edge carries the edge ids of its way. Failing vertices are taken out as they come in order: each way in is
+    joined with each way out, and a way that comes back to the vertex taken out is dropped, as it is a loop there. On a
+    cycle of failing vertices no way therefore passes the vertex that went first on it twice. Where failing vertices
+    form no cycle, ways are grown edge by edge, as many rounds as the longest way has edges; else in a kernel.
     """
     kept = cut(g.vertices.where(keep).select("id"), "kept")
     e = g.edges.join(kept.select(F.col("id").alias("_s")), F.col("src") == F.col("_s"), "left")
-    e = cut(e.join(kept.select(F.col("id").alias("_d")), F.col("dst") == F.col("_d"), "left").select("edge_id", "src", "dst", F.col("_s").isNotNull().alias("from_kept"), F.col("_d").isNotNull().alias("to_kept")), "arcs")
+    e = cut(e.join(kept.select(F.col("id").alias("_d")), F.col("dst") == F.col("_d"), "left").select("edge_id", "ord", "src", "dst", F.col("_s").isNotNull().alias("from_kept"), F.col("_d").isNotNull().alias("to_kept")), "arcs")
+    failing = Graph(g.vertices.join(kept, "id", "left_anti"), e.where("not from_kept and not to_kept").select("edge_id", "ord", "src", "dst"))
+    if not is_dag(failing):
+        flagged = g.vertices.join(kept.withColumn("value", F.lit(1.0)), "id", "left").select("id", "ord", F.coalesce("value", F.lit(0.0)).alias("value"))
+        return kernel.run(Graph(flagged, g.edges), structure.merge_edges, "src {id}, dst {id}, edge_ids array<{edge}>")
     start = e.where("from_kept").select("src", "dst", F.array("edge_id").alias("edge_ids"), (~F.col("to_kept")).alias("open"))
-    inner = e.where("not from_kept and src <> dst").select(F.col("src").alias("m"), F.col("dst").alias("end"), "edge_id", "to_kept")
+    inner = e.where("not from_kept").select(F.col("src").alias("m"), F.col("dst").alias("end"), "edge_id", "to_kept")
 
     def step(state: DataFrame, _: int) -> DataFrame:
         grown = state.where("open").join(inner, F.col("dst") == F.col("m"))
         return state.where("not open").union(grown.select("src", F.col("end").alias("dst"), F.concat("edge_ids", F.array("edge_id")), ~F.col("to_kept")))
 
-    return supersteps(start, step, "open", rounds=rounds, name="merged").select("src", "dst", "edge_ids")
+    return supersteps(start, step, "open", rounds=1 << 20, name="merged").select("src", "dst", "edge_ids")
 
 
 def is_eulerian(g: Graph) -> bool:

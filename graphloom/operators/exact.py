@@ -63,9 +63,11 @@ def flow_value(g: Graph, flows: DataFrame, source) -> DataFrame:
     return e.agg(F.coalesce(F.sum(F.when(F.col("src") == F.lit(source), F.col("flow")).otherwise(0.0)) - F.sum(F.when(F.col("dst") == F.lit(source), F.col("flow")).otherwise(0.0)), F.lit(0.0)).alias("value"))
 
 
-def bipartite_matching(g: Graph, left: Sequence, *, by: str | None = None) -> DataFrame:
-    """(left, right, edge_id): largest; direction is ignored."""
+def bipartite_matching(g: Graph, left: Sequence, right: Sequence | None = None, *, by: str | None = None) -> DataFrame:
+    """(left, right, edge_id): largest; direction is ignored. The right side is what is not left; one that is given must be disjoint."""
     chosen = set(left)
+    if right is not None:
+        check_left_right(chosen, set(right))
     return run(g, lambda x: optimise.matching(x, chosen), "left {id}, right {id}, edge_id {edge}", by=by)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..errors import NonAcyclicGraphError
 from ..graph import Graph
 from ..kernels import run as kernel
-from ..kernels import structure
-from ..plans.durable import Stored, cut
+from ..kernels import search, structure
+from ..plans.durable import Stored, cut, replaced
 from ..plans.iterate import fits_one_task
 
 
@@ -21,18 +21,18 @@ def peel(g: Graph, *, local_edges: int | None = None) -> tuple[DataFrame, DataFr
     if fits_one_task(g.edges, local_edges):
         found = cut(kernel.run(g, structure.peel, "id {id}, layer int"), "layers")
         return found, g.vertices.select("id").join(found.select("id"), "id", "left_anti")
-    left, arcs = cut(g.vertices.select("id"), "left"), cut(g.edges.select("src", "dst"), "arcs")
+    left, arcs = Stored(g.vertices.select("id"), "left"), Stored(g.edges.select("src", "dst"), "arcs")
     layers: DataFrame | None = None
     k = 0
     while True:
-        free = cut(left.join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(k)), "free")
+        free = cut(left.df.join(arcs.df.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(k)), "free")
         if free.isEmpty():
-            empty = left.limit(0).withColumn("layer", F.lit(0))
-            return (empty if layers is None else layers), left
+            empty = left.df.limit(0).withColumn("layer", F.lit(0))
+            return (empty if layers is None else layers), left.df
         layers = free if layers is None else layers.union(free)
         gone = free.select(F.col("id").alias("_g"))
-        left = cut(left.join(gone, F.col("id") == F.col("_g"), "left_anti"), "left")
-        arcs = cut(arcs.join(gone, F.col("src") == F.col("_g"), "left_anti"), "arcs")
+        left = replaced(left, left.df.join(gone, F.col("id") == F.col("_g"), "left_anti"), "left")
+        arcs = replaced(arcs, arcs.df.join(gone, F.col("src") == F.col("_g"), "left_anti"), "arcs")
         k += 1
 
 
@@ -68,15 +68,15 @@ def least_degree_order(g: Graph, *, allow_cycles: bool = False) -> DataFrame:
 
 def _reach(g: Graph) -> DataFrame:
     """(src, dst) of all walks of one edge or more, by doubling their length."""
-    now = cut(g.edges.select("src", "dst").distinct(), "reach")
-    size = now.count()
+    now = Stored(g.edges.select("src", "dst").distinct(), "reach")
+    size = now.df.count()
     while True:
-        after = now.select(F.col("src").alias("m"), F.col("dst").alias("e"))
-        nxt = Stored(now.join(after, F.col("dst") == F.col("m")).select("src", F.col("e").alias("dst")).union(now).distinct(), "reach").df
-        more = nxt.count()
+        after = now.df.select(F.col("src").alias("m"), F.col("dst").alias("e"))
+        now = replaced(now, now.df.join(after, F.col("dst") == F.col("m")).select("src", F.col("e").alias("dst")).union(now.df).distinct(), "reach")
+        more = now.df.count()
         if more == size:
-            return nxt
-        now, size = nxt, more
+            return now.df
+        size = more
 
 
 def transitive_closure(g: Graph) -> DataFrame:
@@ -97,19 +97,19 @@ def transitive_reduction(g: Graph) -> DataFrame:
 def common_ancestors(g: Graph, root, pairs: DataFrame) -> DataFrame:
     """(source, target, ancestor): the deepest common ancestor in the tree below root; null where an end is not in it.
 
-    On trees by joining ancestors; where a vertex has several parents, on the depth-first tree, in a kernel with the
-    pairs of the frame, which must then fit the driver.
+    Where a vertex has several parents, the tree is the depth-first one, which a kernel finds; the pairs meet it by joins.
     """
     g.require(root)
     tree = g.edges.groupBy("dst").count().where("count > 1").isEmpty() and g.edges.where(F.col("dst") == F.lit(root)).isEmpty()
-    if not tree:
-        asked = [(r["source"], r["target"]) for r in pairs.select("source", "target").collect()]
-        kind = g.vertices.schema["id"].dataType.simpleString()
-        return kernel.run(g, lambda x: structure.common_ancestors(x, root, asked), f"source {kind}, target {kind}, ancestor {kind}")
-    from .paths import bfs
-
-    depth = cut(bfs(g, root).select("id", "depth"), "depth")
-    up = _reach(g).select(F.col("dst").alias("v"), F.col("src").alias("a")).union(depth.select(F.col("id").alias("v"), F.col("id").alias("a")))
+    if tree:
+        from .paths import bfs
+
+        found, below = bfs(g, root), g
+    else:
+        found = kernel.run(g, lambda x: search.rows(x, search.dfs(x, root)[0]), search.ROWS)
+        below = g.with_edges(found.where("parent is not null").select(F.col("pred_edge_id").alias("edge_id"), F.col("order_no").alias("ord"), F.col("parent").alias("src"), F.col("id").alias("dst")))
+    depth = cut(found.select("id", "depth"), "depth")
+    up = _reach(below).select(F.col("dst").alias("v"), F.col("src").alias("a")).union(depth.select(F.col("id").alias("v"), F.col("id").alias("a")))
     up = cut(up.join(depth, F.col("a") == F.col("id")).select("v", "a", "depth"), "ancestors")
     left = pairs.join(up, F.col("source") == F.col("v")).select("source", "target", "a", "depth")
     right = up.select(F.col("v").alias("w"), F.col("a").alias("b"))

@@ -13,7 +13,7 @@ from ..errors import GraphError, NegativeCycleError, NegativeWeightError
 from ..graph import Graph
 from ..kernels import run as kernel
 from ..kernels import shortest
-from ..plans.durable import cut
+from ..plans.durable import Stored, cut, replaced
 from ..plans.iterate import fits_one_task, supersteps
 from .order import is_dag
 
@@ -69,13 +69,18 @@ def _root_rows(g: Graph, root) -> DataFrame:
     return g.vertices.where(F.col("id") == F.lit(root)).select("id")
 
 
+def _weighted(g: Graph, weight) -> Graph:
+    return g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")))
+
+
 def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", target=None, negative: str = "raise", local_edges: int | None = None) -> DataFrame:
     """(id, distance, hops, parent, pred_edge_id) of the vertices that root reaches.
 
-    ``weight`` is a Column over the edges (default 1 an edge). ``negative="raise"`` refuses a negative weight on a
-    reached edge; ``"allow"`` takes any and raises on a negative cycle within reach. ``relaxer="critical"`` gives
-    longest paths and wants an acyclic graph; ``"edge_shortest"`` never leaves the root, as nothing is less than 0.
-    With a target, only what is no farther than it is sure to be settled, and only that is returned.
+    ``weight`` is a Column over the edges (default 1 an edge). ``negative="raise"`` refuses a negative weight on any edge
+    out of a reached vertex; ``"allow"`` takes any and raises on a negative cycle within reach. Both hold at every size
+    and whether or not there is a target. ``relaxer="critical"`` gives longest paths and wants an acyclic graph;
+    ``"edge_shortest"`` never leaves the root, as nothing is less than 0. With a target only what is no farther than it
+    is returned.
     """
     roots = _root_rows(g, root)
     if relaxer == "edge_shortest":
@@ -86,19 +91,21 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
         raise NegativeCycleError("longest paths want an acyclic graph")
     small = relaxer == "shortest" and fits_one_task(g.edges, local_edges)
     if small:
-        weighted = g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")))
 
         def solve(x: kernel.Local):
-            found = shortest.dijkstra(x, root, target) if negative == "raise" else shortest.bellman_ford(x, root)
+            found = shortest.dijkstra(x, root) if negative == "raise" else shortest.bellman_ford(x, root)
             return [(x.ids[v], d, h, None if k is None else x.ids[x.other(k, v)], None if k is None else x.edge_id[k]) for v, (d, h, k) in found.items()]
 
-        found = cut(kernel.run(weighted, solve, ROWS), "paths")
+        found = kernel.run(_weighted(g, weight), solve, ROWS)
     else:
-        found = _settle(g, arcs, roots, relaxer, g.vertices.count() + 1, NegativeCycleError("a negative cycle is within reach of the root"))
-        if negative == "raise" and relaxer == "shortest":
-            bad = found.join(arcs.where("w < 0"), F.col("id") == F.col("src")).limit(1).collect()
-            if bad:
-                raise NegativeWeightError(f"edge {bad[0]['edge_id']!r} has weight {bad[0]['w']}")
+        beyond = NegativeWeightError if negative == "raise" and relaxer == "shortest" else NegativeCycleError
+        found = _settle(g, arcs, roots, relaxer, g.vertices.count() + 1, beyond("a negative cycle is within reach of the root"))
+        if relaxer == "shortest":
+            below = found.join(arcs.where("w < 0" if negative == "raise" else "w < 0 and src = dst"), F.col("id") == F.col("src"))
+            for r in below.limit(1).collect():
+                if negative == "raise":
+                    raise NegativeWeightError(f"edge {r['edge_id']!r} has weight {r['w']}")
+                raise NegativeCycleError("a negative cycle is within reach of the root")
     if target is not None:
         g.require(target)
         limit = found.where(F.col("id") == F.lit(target)).select(F.col("distance").alias("_limit"))
@@ -123,7 +130,6 @@ def restarted_paths(g: Graph, *, weight=None) -> DataFrame:
 
     What an earlier root reached is not relaxed again. Sequential by definition, so a kernel.
     """
-    weighted = g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")))
 
     def solve(x: kernel.Local):
         done: set[int] = set()
@@ -135,7 +141,7 @@ def restarted_paths(g: Graph, *, weight=None) -> DataFrame:
                 yield x.ids[v], x.ids[s], d
             done |= found.keys()
 
-    return kernel.run(weighted, solve, "id {id}, root {id}, distance double")
+    return kernel.run(_weighted(g, weight), solve, "id {id}, root {id}, distance double")
 
 
 def _from(x: kernel.Local, s: int, done: set[int]) -> dict[int, float]:
@@ -157,9 +163,24 @@ def _from(x: kernel.Local, s: int, done: set[int]) -> dict[int, float]:
     return settled
 
 
-def a_star(g: Graph, root, *, weight=None, heuristic=None, target=None) -> DataFrame:
-    """As shortest_paths: a heuristic (a Column over the vertices) prunes nothing that may be shortest, so distances are equal."""
-    return shortest_paths(g, root, weight=weight, target=target)
+def a_star(g: Graph, root, *, weight=None, heuristic=None, target=None, local_edges: int | None = None) -> DataFrame:
+    """As shortest_paths; ``heuristic`` is a Column over the vertices, an estimate of what lies between each and the target.
+
+    Vertices are settled by distance plus estimate and reopened when a shorter way to one is found; with a target the
+    search ends when that is settled, and only what was settled until then is returned. So an estimate that is too high
+    can give a longer way to the target, as such a search does. Graphs beyond the bound of one task, and a search without
+    an estimate, are solved as shortest_paths does, whose distances no estimate makes worse.
+    """
+    if heuristic is None or not fits_one_task(g.edges, local_edges):
+        return shortest_paths(g, root, weight=weight, target=target, local_edges=local_edges)
+    g.require(*(root,) if target is None else (root, target))
+    guided = Graph(g.vertices.withColumn("value", heuristic.cast("double")), _weighted(g, weight).edges, g.directed)
+
+    def solve(x: kernel.Local):
+        for v, (d, h, k) in shortest.a_star(x, root, target).items():
+            yield x.ids[v], d, h, None if k is None else x.ids[x.other(k, v)], None if k is None else x.edge_id[k]
+
+    return kernel.run(guided, solve, ROWS)
 
 
 def best_first(g: Graph, root, target, *, weight=None) -> DataFrame:
@@ -177,18 +198,12 @@ def bellman_ford(g: Graph, root=None, *, weight=None, local_edges: int | None =
     return shortest_paths(g, root, weight=weight, negative="allow", local_edges=local_edges)
 
 
-def has_negative_cycle(g: Graph, root=None, *, weight=None) -> bool:
+def has_negative_cycle(g: Graph, root=None, *, weight=None, local_edges: int | None = None) -> bool:
     """Whether one is within reach of the root."""
-    from pyspark.errors import PySparkException
-
     try:
-        bellman_ford(g, root, weight=weight)
+        bellman_ford(g, root, weight=weight, local_edges=local_edges)
     except NegativeCycleError:
         return True
-    except PySparkException as e:
-        if "NegativeCycleError" in str(e):
-            return True
-        raise
     return False
 
 
@@ -201,26 +216,49 @@ def dag_shortest_paths(g: Graph, root, *, weight=None, longest: bool = False) ->
     return shortest_paths(g, root, weight=weight, relaxer="critical" if longest else "shortest", negative="allow", local_edges=0)
 
 
-def all_pairs(g: Graph, *, weight=None) -> DataFrame:
-    """(src, dst, distance) of all pairs that are joined, by squaring distances; a vertex is at 0 from itself.
+def all_pairs(g: Graph, *, weight=None, relaxer: str = "shortest") -> DataFrame:
+    """(src, dst, distance, hops, parent, pred_edge_id) of all pairs that are joined, by squaring; a vertex is at 0 from itself.
 
-    Raises NegativeCycleError where a vertex gets nearer to itself than 0.
+    parent and pred_edge_id are the last step of a way of least distance and then fewest edges, null where src is dst.
+    ``relaxer="critical"`` gives longest ways and wants an acyclic graph. Raises NegativeCycleError where a vertex gets
+    nearer to itself than 0.
     """
-    arcs = _arcs(g, weight).groupBy("src", "dst").agg(F.min("w").alias("distance"))
-    own = g.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"))
-    now = cut(arcs.union(own).groupBy("src", "dst").agg(F.min("distance").alias("distance")), "pairs")
+    if relaxer not in ("shortest", "critical"):
+        raise GraphError(f"all pairs are not found by the relaxer {relaxer!r}")
+    if relaxer == "critical" and not is_dag(g):
+        raise NegativeCycleError("longest paths want an acyclic graph")
+    sign = 1.0 if relaxer == "shortest" else -1.0
+    edge, vertex = g.edges.schema["edge_id"].dataType, g.vertices.schema["id"].dataType
+    step = F.struct((F.col("w") * sign).alias("d"), F.lit(1).alias("h"), F.col("e_ord").alias("o"), F.col("edge_id").alias("e"), F.col("src").alias("p"))
+    arcs = _arcs(g, weight)
+    none = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("h"), F.lit(None).cast(arcs.schema["e_ord"].dataType).alias("o"), F.lit(None).cast(edge).alias("e"), F.lit(None).cast(vertex).alias("p"))
+    own = g.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), none.alias("x"))
+    now = Stored(arcs.select("src", "dst", step.alias("x")).union(own).groupBy("src", "dst").agg(F.min("x").alias("x")), "pairs")
     reach, n = 1, g.vertices.count()
     while True:
-        if not now.where("src = dst and distance < 0").isEmpty():
+        if not now.df.where("src = dst and x.d < 0").isEmpty():
             raise NegativeCycleError("the graph has a negative cycle")
         if reach >= n:
-            return now
-        after = now.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("distance").alias("more"))
-        joined = now.join(after, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
-        nxt = cut(joined, "pairs")
-        if nxt.count() == now.count() and nxt.exceptAll(now).isEmpty():
-            return nxt
-        now, reach = nxt, 2 * reach
+            break
+        after = now.df.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("x").alias("y"))
+        last = F.when(F.col("y.e").isNull(), F.col("x")).otherwise(F.col("y"))
+        both = F.struct((F.col("x.d") + F.col("y.d")).alias("d"), (F.col("x.h") + F.col("y.h")).alias("h"), last["o"].alias("o"), last["e"].alias("e"), last["p"].alias("p"))
+        joined = now.df.join(after, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg(F.min(both).alias("x"))
+        nxt = Stored(joined, "pairs")
+        same = nxt.df.count() == now.df.count() and nxt.df.exceptAll(now.df).isEmpty()
+        now.drop()
+        now = nxt
+        if same:
+            break
+        reach *= 2
+    return now.df.select("src", "dst", (F.col("x.d") * sign).alias("distance"), F.col("x.h").alias("hops"), F.col("x.p").alias("parent"), F.col("x.e").alias("pred_edge_id"))
+
+
+def all_pairs_paths(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(src, dst, path) of edge ids for pairs of ``all_pairs``, those of wanted (src, dst) alone if given; no row for a vertex itself."""
+    tree = found.select(F.struct("src", "dst").alias("id"), F.when(F.col("parent").isNotNull(), F.struct("src", F.col("parent").alias("dst"))).alias("parent"), "pred_edge_id")
+    targets = None if wanted is None else wanted.select(F.struct("src", "dst").alias("id"))
+    return paths_to(tree, targets).select("id.src", "id.dst", "path")
 
 
 def paths_to(found: DataFrame, targets: DataFrame | None = None, *, rounds: int = 64) -> DataFrame:

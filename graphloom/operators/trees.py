@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.durable import cut
+from ..plans.durable import Stored, cut, replaced
 from .components import labels_of
 
 
@@ -17,9 +17,10 @@ def minimum_spanning_forest(g: Graph, *, weight=None) -> DataFrame:
     """
     e = g.edges.where("src <> dst").withColumn("w", (F.lit(1.0) if weight is None else weight).cast("double"))
     e = cut(e.select("edge_id", "ord", "src", "dst", "w"), "weighted")
-    trees = cut(g.vertices.select("id", F.col("id").alias("label")), "trees")
+    forest = Stored(g.vertices.select("id", F.col("id").alias("label")), "trees")
     chosen: DataFrame | None = None
     while True:
+        trees = forest.df
         a, b = (trees.select(F.col("id").alias(f"{x}_i"), F.col("label").alias(f"{x}_l")) for x in "ab")
         out = e.join(a, F.col("src") == F.col("a_i")).join(b, F.col("dst") == F.col("b_i")).where("a_l <> b_l")
         key = F.struct("w", "ord", "edge_id", "a_l", "b_l")
@@ -30,7 +31,7 @@ def minimum_spanning_forest(g: Graph, *, weight=None) -> DataFrame:
         ids = picked.select("edge_id")
         chosen = ids if chosen is None else chosen.union(ids)
         merged = labels_of(trees.select(F.col("label").alias("id")).distinct(), picked.select(F.col("a_l").alias("a"), F.col("b_l").alias("b")))
-        trees = cut(trees.join(merged.select(F.col("id").alias("_l"), F.col("label").alias("_n")), F.col("label") == F.col("_l")).select("id", F.col("_n").alias("label")), "trees")
+        forest = replaced(forest, trees.join(merged.select(F.col("id").alias("_l"), F.col("label").alias("_n")), F.col("label") == F.col("_l")).select("id", F.col("_n").alias("label")), "trees")
     return e.limit(0) if chosen is None else e.join(chosen.distinct(), "edge_id", "left_semi")
 
 
@@ -39,16 +40,15 @@ def pagerank(g: Graph, *, damping: float = 0.85, tolerance: float = 1e-323, roun
     n = g.vertices.count()
     out = g.edges.groupBy(F.col("src").alias("_s")).agg(F.count("*").alias("_n"))
     arcs = cut(g.edges.join(out, F.col("src") == F.col("_s")).groupBy("src", "dst").agg((F.count("*") / F.first("_n")).alias("p")), "shares")
-    now = cut(g.vertices.select("id", F.lit(1.0 / max(1, n)).alias("rank")), "ranks")
+    now = Stored(g.vertices.select("id", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("old")), "ranks")
     for _ in range(rounds):
-        into = now.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
-        nxt = now.join(into, F.col("id") == F.col("dst"), "left").select("id", F.col("rank").alias("old"), ((1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        nxt = cut(nxt, "ranks")
-        moved = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"] or 0.0
-        now = nxt.select("id", "rank")
+        into = now.df.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
+        nxt = now.df.join(into, F.col("id") == F.col("dst"), "left").select("id", ((1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        now = replaced(now, nxt, "ranks")
+        moved = now.df.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"] or 0.0
         if moved <= tolerance:
             break
-    return now
+    return now.df.select("id", "rank")
 
 
 def rank_sums(ranks: DataFrame) -> DataFrame:

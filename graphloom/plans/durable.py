@@ -73,6 +73,14 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return Stored(df, name).df
 
 
+def replaced(old: Stored | None, df: DataFrame, name: str) -> Stored:
+    """df stored, after which the table that it was made from goes."""
+    new = Stored(df, name)
+    if old is not None:
+        old.drop()
+    return new
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows numbered densely from 0 in the given order, by a range sort and per-partition counts, not by one task."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

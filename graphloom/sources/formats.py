@@ -42,7 +42,8 @@ def read_corpus(spark: SparkSession, paths: str | Sequence[str]) -> Graph:
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
     nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string").load(paths).select(name.alias("graph_id"), F.col("_id").alias("id"))
     links = spark.read.format("xml").option("rowTag", "edge").schema("_id string, _source string, _target string").load(paths)
-    links = links.select(name.alias("graph_id"), F.col("_source").alias("src"), F.col("_target").alias("dst"), F.monotonically_increasing_id().alias("edge_id"))
+    links = links.select(name.alias("graph_id"), F.col("_source").alias("src"), F.col("_target").alias("dst"), F.monotonically_increasing_id().alias("_m"))
+    links = numbered(links, ["_m"], "edge_id").drop("_m")
     number = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).cast("long"), F.lit(0))
     return Graph.of(nodes.withColumn("ord", number), links.withColumn("ord", F.col("edge_id")))
 
@@ -204,45 +205,51 @@ def document(lines: DataFrame) -> str:
 
 def read_xml(spark: SparkSession, path: str, *, node: str = "node", edge: str = "edge", id_: str = "id", source: str = "source", target: str = "target", attributes: str = "", **flags) -> Graph:
     """XML with an element a vertex and an edge, names and attributes given; ``attributes`` is DDL of edge attributes."""
-    v = spark.read.format("xml").option("rowTag", node).schema(f"_{id_} string").load(path).select(F.col(f"_{id_}").alias("id"))
+    v = spark.read.format("xml").option("rowTag", node).schema(f"_{id_} string").load(path).select(F.col(f"_{id_}").alias("id"), F.monotonically_increasing_id().alias("_m"))
     extra = ", ".join(f"_{a.strip()}" for a in attributes.split(",") if a.strip())
     e = spark.read.format("xml").option("rowTag", edge).schema(", ".join(x for x in (f"_{source} string, _{target} string", extra) if x)).load(path)
-    e = e.select(F.monotonically_increasing_id().alias("edge_id"), F.col(f"_{source}").alias("src"), F.col(f"_{target}").alias("dst"), *(F.col(c).alias(c[1:]) for c in e.columns if c not in (f"_{source}", f"_{target}")))
-    return Graph.of(v.withColumn("ord", F.monotonically_increasing_id()), e, **flags)
+    e = e.select(F.monotonically_increasing_id().alias("_m"), F.col(f"_{source}").alias("src"), F.col(f"_{target}").alias("dst"), *(F.col(c).alias(c[1:]) for c in e.columns if c not in (f"_{source}", f"_{target}")))
+    return Graph.of(numbered(v, ["_m"], "ord").drop("_m"), numbered(e, ["_m"], "edge_id").drop("_m"), **flags)
 
 
 def xml_lines(g: Graph, *, graph: str = "graph", node: str = "node", edge: str = "edge") -> DataFrame:
     """(part, ord, line) with elements <node id> and <edge id source target> of the names given."""
     spark = g.vertices.sparkSession
     q = lambda c: F.concat(F.lit('"'), _xml_text(F.col(c)), F.lit('"'))
-    nodes = g.vertices.select(F.lit(1).alias("part"), F.col("ord").cast("string").alias("ord"), F.concat(F.lit(f"<{node} id="), q("id"), F.lit(" />")).alias("line"))
-    edges = g.edges.select(F.lit(2).alias("part"), F.col("ord").cast("string").alias("ord"), F.concat(F.lit(f"<{edge} id="), q("edge_id"), F.lit(" source="), q("src"), F.lit(" target="), q("dst"), F.lit(" />")).alias("line"))
-    ends = spark.createDataFrame([(0, "", f"<{graph}>"), (3, "", f"</{graph}>")], "part int, ord string, line string")
+    v, e = numbered(g.vertices, ["ord", "id"], "_n"), numbered(g.edges, ["ord", "edge_id"], "_n")
+    nodes = v.select(F.lit(1).alias("part"), F.col("_n").alias("ord"), F.concat(F.lit(f"<{node} id="), q("id"), F.lit(" />")).alias("line"))
+    edges = e.select(F.lit(2).alias("part"), F.col("_n").alias("ord"), F.concat(F.lit(f"<{edge} id="), q("edge_id"), F.lit(" source="), q("src"), F.lit(" target="), q("dst"), F.lit(" />")).alias("line"))
+    ends = spark.createDataFrame([(0, 0, f"<{graph}>"), (3, 0, f"</{graph}>")], "part int, ord long, line string")
     return ends.union(nodes).union(edges)
 
 
 def dgml_elements(g: Graph, colours: DataFrame | None = None) -> DataFrame:
     """(kind, id, source, target, label, background): Node and Link rows; colours (id, colour 0 to 2) fill nodes."""
-    v = g.vertices.select("id")
+    return _dgml(g, colours).drop("ord")
+
+
+def _dgml(g: Graph, colours: DataFrame | None) -> DataFrame:
+    v = numbered(g.vertices, ["ord", "id"], "_n").select("id", "_n")
+    e = numbered(g.edges, ["ord", "edge_id"], "_n")
     back = F.lit(None).cast("string")
     if colours is not None:
         v = v.join(colours.select("id", "colour"), "id", "left")
         back = F.when(F.col("colour") == 0, "White").when(F.col("colour") == 1, "LightGray").when(F.col("colour") == 2, "Black")
     none = F.lit(None).cast("string")
-    nodes = v.select(F.lit("Node").alias("kind"), F.col("id").cast("string").alias("id"), none.alias("source"), none.alias("target"), F.col("id").cast("string").alias("label"), back.alias("background"))
-    links = g.edges.select(F.lit("Link"), none, F.col("src").cast("string"), F.col("dst").cast("string"), F.col("edge_id").cast("string"), none)
+    nodes = v.select(F.lit("Node").alias("kind"), F.col("id").cast("string").alias("id"), none.alias("source"), none.alias("target"), F.col("id").cast("string").alias("label"), back.alias("background"), F.col("_n").alias("ord"))
+    links = e.select(F.lit("Link"), none, F.col("src").cast("string"), F.col("dst").cast("string"), F.col("edge_id").cast("string"), none, "_n")
     return nodes.union(links)
 
 
 def dgml_lines(g: Graph, colours: DataFrame | None = None) -> DataFrame:
     """(part, ord, line) of a DGML document."""
     spark = g.vertices.sparkSession
-    e = dgml_elements(g, colours)
+    e = _dgml(g, colours)
     at = lambda n, c: F.coalesce(F.concat(F.lit(f' {n}="'), _xml_text(F.col(c)), F.lit('"')), F.lit(""))
     line = F.concat(F.lit("<"), F.col("kind"), at("Id", "id"), at("Source", "source"), at("Target", "target"), at("Label", "label"), at("Background", "background"), F.lit(" />"))
-    body = e.select(F.when(F.col("kind") == "Node", 1).otherwise(3).alias("part"), F.concat_ws(">", "id", "source", "target", "label").alias("ord"), line.alias("line"))
-    frame = [(0, "", '<DirectedGraph xmlns="http://schemas.microsoft.com/vs/2009/dgml"><Nodes>'), (2, "", "</Nodes><Links>"), (4, "", "</Links></DirectedGraph>")]
-    return spark.createDataFrame(frame, "part int, ord string, line string").union(body)
+    body = e.select(F.when(F.col("kind") == "Node", 1).otherwise(3).alias("part"), "ord", line.alias("line"))
+    frame = [(0, 0, '<DirectedGraph xmlns="http://schemas.microsoft.com/vs/2009/dgml"><Nodes>'), (2, 0, "</Nodes><Links>"), (4, 0, "</Links></DirectedGraph>")]
+    return spark.createDataFrame(frame, "part int, ord long, line string").union(body)
 
 
 # ---- DOT and drawing models -------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from ..graph import Graph
 
 
 class Star:
-    """Tables of a folder and the graphs made of them; edge ids are made of the ends, so they hold at any size."""
+    """Tables of a folder and the graphs made of them; edge ids are made of the ends."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -81,7 +81,8 @@ class Star:
         dot = F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
         pairs = e.join(o, (F.col("label") == F.col("l")) & (F.col("vec_id") < F.col("dst"))).select(F.col("vec_id").alias("src"), "dst", (dot / (F.col("norm") * F.col("m"))).alias("cosine"))
         v = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"))
-        return Graph.of(v, _edge_ids(pairs.where(F.col("cosine") > least)), directed=False)
+        ids = F.concat_ws(">", "src", "dst")
+        return Graph.of(v, pairs.where(F.col("cosine") > least).select(ids.alias("edge_id"), ids.alias("ord"), "src", "dst", "cosine"), directed=False)
 
     def dups(self) -> Graph:
         """Documents of equal text, each tied to the next by id."""
@@ -98,6 +99,6 @@ class Star:
 
 
 def _edge_ids(e: DataFrame) -> DataFrame:
-    """Edges of unique whole-number ends get src * 2**20 + dst as identity and order."""
+    """Edges of unique ends below 2**20, as nations are, get src * 2**20 + dst as identity and order."""
     key = F.col("src") * (1 << 20) + F.col("dst")
     return e.select(key.alias("edge_id"), key.alias("ord"), *e.columns)
