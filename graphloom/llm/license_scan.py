@@ -1,16 +1,17 @@
 """Licence scans by a positional rare-token index.
 
-Document frequencies of the licence vocabulary are counted over all documents. The index posts each template under its
-words of highest IDF, with their positions. A document's postings are intersected by relative position: a template is a
-candidate at a place where its rare words stand at the distances they have in the template, all of them for an exact
-phrase and two at least for a sentence. Candidates are verified: the share of template words in place is the score, and
-the key phrase must stand whole. Every occurrence of a rare word is looked up, so no place is missed.
+Document frequencies of the licence vocabulary are counted over all documents. The index posts each template, by place in
+it, under the ``RARE`` words of its key phrase that have the highest IDF. Of each file the licence words that have
+postings are looked up; each posting votes for the place where the template would start, and where all of a template's
+postings agree by relative position, it is a candidate. Candidates are verified: the key phrase must stand whole, and
+the template's words must be met, as a bag, by ``LEAST`` of their number in as many words from the start on; that share
+is the score. As the key phrase must stand whole, no place that verification would accept is missed. Cost follows the
+postings that are met, not the number of templates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM_TABLE, words
+from .license_texts import BASE, PARAGRAPHS, SENTENCES, Template
 
-RARE, LEAST = 3, 0.75
-
-
-class Template(NamedTuple):
-    """A licence sentence; its key phrase must stand whole. Without one the whole template must."""
-
-    label: str
-    text: str
-    key: str = ""
-
-
-#: Phrases whose places are counted.
-BASE = (
-    Template("mit", "under the mit license"),
-    Template("apache-2", "apache license version 2"),
-    Template("cc-by-nc", "cc by nc"),
-)
-MORE = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license", "required by applicable law or agreed to in writing"),
-    Template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    Template("lgpl-3", "gnu lesser general public license version 3", "lesser general public license version 3"),
-    Template("agpl-3", "gnu affero general public license version 3", "affero general public license version 3"),
-    Template("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    Template("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    Template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
+MORE = (*SENTENCES, *PARAGRAPHS)
+RARE, LEAST, AT_ONCE = 3, 0.75, 4096
 
 
 def _split(text: str) -> list[str]:
@@ -62,46 +31,68 @@ def _split(text: str) -> list[str]:
 
 
 class Index:
-    """Templates as word ids, each with its rare words' positions."""
+    """Templates as word ids, and the postings of their key phrases' rarest words: a word's lie together."""
 
     def __init__(self, base: Sequence[Template], more: Sequence[Template], frequency: dict[str, int]):
         self.templates = [*base, *more]
         self.n_base = len(base)
         vocabulary = sorted({w for t in self.templates for w in _split(t.text)})
         self.ids = {w.encode(): i for i, w in enumerate(vocabulary, 1)}
-        self.words, self.rare, self.keys = [], [], []
-        for t in self.templates:
-            found = _split(t.text)
-            self.words.append(np.array([self.ids[w.encode()] for w in found]))
-            by_idf = sorted(range(len(found)), key=lambda q: (frequency.get(found[q], 0), q))
-            self.rare.append(by_idf[:RARE])
-            key = _split(t.key)
-            at = next((i for i in range(len(found) - len(key) + 1) if found[i : i + len(key)] == key), None) if key else 0
-            if at is None:
+        self.words, self.keys, self.votes, postings = [], [], [], []
+        for n, t in enumerate(self.templates):
+            found, key = _split(t.text), _split(t.key) or _split(t.text)
+            at = next((i for i in range(len(found) - len(key) + 1) if found[i : i + len(key)] == key), None)
+            if at is None or not key:
                 raise ValueError(f"the key phrase of {t.label} does not stand in its template")
-            self.keys.append((at, len(key) if key else len(found)))
+            self.words.append(np.array([self.ids[w.encode()] for w in found]))
+            self.keys.append((at, len(key)))
+            by_idf = sorted(range(at, at + len(key)), key=lambda q, found=found: (frequency.get(found[q], 0), q))[:RARE]
+            self.votes.append(len(by_idf))
+            postings += [(self.words[n][q], n, q) for q in by_idf]
         self.longest = max((len(w) for w in self.words), default=0)
-
-    def search(self, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Verified starts in ``text`` of template n, and their scores; text has ``longest`` zeros at both ends."""
-        template, rare = self.words[n], self.rare[n]
-        exact = not self.templates[n].key
-        at = [np.flatnonzero(text == template[q]) - q for q in rare]
-        if exact:
-            starts = at[0]
-            for q in rare[1:]:
-                starts = starts[text[starts + q] == template[q]]
-        else:
-            starts, votes = np.unique(np.concatenate(at), return_counts=True)
-            starts = starts[votes >= min(2, len(rare))]
-        starts = starts[(starts >= 0) & (starts + len(template) <= len(text))]
-        if not len(starts):
-            return starts, np.empty(0)
-        equal = text[starts[:, None] + np.arange(len(template))] == template
-        score = equal.mean(1)
-        first, size = self.keys[n]
-        good = equal[:, first : first + size].all(1) & (score >= (1.0 if exact else LEAST))
-        return starts[good], score[good]
+        word, self.template, self.place = (np.array(x, np.int64) for x in zip(*sorted(postings))) if postings else (np.empty(0, np.int64),) * 3
+        self.gap = len(vocabulary) + 1
+        self.first = np.searchsorted(word, np.arange(len(vocabulary) + 3))
+
+    def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, start): where all of a template's postings agree."""
+        many = np.diff(self.first)
+        at = np.flatnonzero(many[text])
+        n = many[text[at]]
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[text[at]], n)
+        start = np.repeat(at, n) - self.place[row]
+        vote = self.template[row] * len(text) + start
+        found, votes = np.unique(vote[start >= 0], return_counts=True)
+        template, start = found // len(text), found % len(text)
+        agreed = votes == np.array(self.votes, np.int64)[template]
+        return template[agreed], start[agreed]
+
+    def search(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, verified starts, scores); text has ``longest`` times ``gap`` at both ends and between files."""
+        template, start = self.candidates(text)
+        for n in np.unique(template).tolist():
+            (first, size), own = self.keys[n], self.words[n]
+            starts = start[template == n]
+            starts = starts[starts + len(own) <= len(text)]
+            whole = text[starts[:, None] + np.arange(first, first + size)] == own[first : first + size]
+            starts = starts[whole.all(1)]
+            score = np.ones(len(starts)) if size == len(own) else np.concatenate([np.empty(0), *(self._overlap(text, starts[i : i + AT_ONCE], n) for i in range(0, len(starts), AT_ONCE))])
+            yield n, starts[score >= LEAST], score[score >= LEAST]
+
+    def _overlap(self, text: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """The share of a template's words, as a bag, among as many words of the file that has its key phrase."""
+        own, (first, size) = self.words[n], self.keys[n]
+        seen = text[starts[:, None] + np.arange(len(own))]
+        # a gap between files parts what is before or behind it from the key phrase
+        gap = seen == self.gap
+        apart = np.zeros(gap.shape, bool)
+        apart[:, first + size :] = np.maximum.accumulate(gap[:, first + size :], 1)
+        apart[:, :first] = np.maximum.accumulate(gap[:, first - 1 :: -1], 1)[:, ::-1] if first else False
+        kinds, bag = np.unique(own, return_counts=True)
+        place = np.minimum(np.searchsorted(kinds, seen), len(kinds) - 1)
+        same = (kinds[place] == seen) & ~apart
+        counts = np.bincount((np.arange(len(starts))[:, None] * len(kinds) + place)[same], minlength=len(starts) * len(kinds)).reshape(-1, len(kinds))
+        return np.minimum(counts, bag).sum(1) / len(own)
 
 
 def _ids(texts: list[bytes | None], get) -> list[np.ndarray]:
@@ -135,7 +126,7 @@ RESULT = T.StructType(
 
 def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap = np.zeros(index.longest, np.int64)
+        gap = np.full(index.longest, index.gap)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -147,8 +138,7 @@ def _scan(index: Index):
                 n_base, score = np.zeros(n, np.int64), np.zeros(n)
                 low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 labels: list[tuple[set[str], set[str]]] = [(set(), set()) for _ in ids]
-                for k, template in enumerate(index.templates):
-                    starts, scores = index.search(text, k)
+                for k, starts, scores in index.search(text):
                     if not len(starts):
                         continue
                     doc = np.maximum(np.searchsorted(begins, starts + index.keys[k][0], side="right") - 1, 0)
@@ -158,7 +148,7 @@ def _scan(index: Index):
                         np.minimum.at(low, doc, starts - begins[doc])
                         np.maximum.at(high, doc, starts - begins[doc])
                     for d in np.unique(doc).tolist():
-                        labels[d][k >= index.n_base].add(template.label)
+                        labels[d][k >= index.n_base].add(index.templates[k].label)
                 some = n_base > 0
                 columns = [
                     part.column(0), pa.array(lengths), pa.array(n_base), pa.array(low, mask=~some), pa.array(high, mask=~some),
@@ -173,7 +163,8 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", b
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score), a row a row; labels are sorted arrays.
 
     n_base counts all places of base phrases, overlapping ones included; first_word and last_word are the smallest and
-    largest word they start at, null without any. score is the best template's share of words in place, 0 without one.
+    largest word they start at, null without any. score is the best verified template's share of words, 0 without one. base
+    phrases must stand whole; more are licence sentences and paragraphs, a table of any length that a worker can hold.
     A null or empty text has no words. Repeated rows and null keys are scanned row by row; equal IDFs are taken in
     order of position; an empty table gives an empty result; other columns are not read.
     """
