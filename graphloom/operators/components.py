@@ -187,6 +187,13 @@ def is_eulerian(g: Graph) -> bool:
     return labels_of(ends.distinct(), pairs).select("label").distinct().limit(2).count() == 1
 
 
+def components_with_edges(g: Graph) -> str:
+    """How many components of the simple undirected graph have edges: ``none``, ``one`` or ``many``."""
+    pairs = cut(g.simple_undirected(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ("none", "one", "many")[labels_of(ends, pairs).select("label").distinct().limit(2).count()]
+
+
 def euler_path_count(g: Graph) -> int:
     """0 with fewer edges than vertices; 1 with no odd vertex; 0 with an odd number of them; else half of them."""
     if g.edges.count() < g.vertices.count():

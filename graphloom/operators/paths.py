@@ -278,6 +278,36 @@ def paths_to(found: DataFrame, targets: DataFrame | None = None, *, rounds: int
     return done if targets is None else done.join(targets.select("id"), "id", "left_semi")
 
 
+def leaf_paths(trace: DataFrame) -> DataFrame:
+    """(id, path) of edge ids from the root to each traced vertex that nobody was found from, by a trace (id, parent, pred_edge_id)."""
+    return paths_to(trace, trace.select("id").join(trace.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti"))
+
+
+def edge_paths(found: DataFrame, *, ends_only: bool = False) -> DataFrame:
+    """(edge_id, path): the edges from the first one to each edge of an edge trace (edge_id, parent_edge_id), both included.
+
+    ``ends_only`` keeps the edges from which no edge was found. Raises if predecessors form a cycle.
+    """
+    tree = found.select(F.col("edge_id").alias("id"), F.col("parent_edge_id").alias("parent"), F.col("parent_edge_id").alias("pred_edge_id"))
+    above = paths_to(tree).withColumnRenamed("id", "edge_id")
+    own = found.select("edge_id").join(above, "edge_id", "left")
+    kind = own.schema["path"].dataType.simpleString()
+    whole = own.select("edge_id", F.concat(F.coalesce("path", F.array().cast(kind)), F.array("edge_id")).alias("path"))
+    if not ends_only:
+        return whole
+    return whole.join(found.select(F.col("parent_edge_id").alias("edge_id")).where("edge_id is not null").distinct(), "edge_id", "left_anti")
+
+
+def merged_edge_paths(found: DataFrame) -> DataFrame:
+    """(edge_id, path): as edge_paths of the ends, each path starting where it leaves those of earlier ends (by order_no)."""
+    whole = cut(edge_paths(found, ends_only=True), "ways")
+    order = found.select("edge_id", "order_no")
+    each = whole.join(order, "edge_id").select("edge_id", "order_no", F.posexplode("path").alias("i", "step"))
+    first = each.groupBy("step").agg(F.min_by("edge_id", "order_no").alias("owner"))
+    own = each.join(first, "step").where(F.col("edge_id") == F.col("owner"))
+    return own.groupBy("edge_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "step"))), lambda x: x["step"]).alias("path"))
+
+
 def predecessor_cost(found: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, cost): the sum of weights (edge_id, w) along each vertex's predecessors; the root costs 0."""
     each = paths_to(found).select("id", F.explode("path").alias("edge_id")).join(weights, "edge_id").groupBy("id").agg(F.sum("w").alias("cost"))

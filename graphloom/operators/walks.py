@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import GraphError
 from ..graph import Graph
 from ..plans.durable import cut, numbered
+from . import exact
 
 
 def _uniform(seed: int, *columns) -> Column:
@@ -97,3 +98,26 @@ def explore(start: DataFrame, expand: Callable[[DataFrame], DataFrame], *, verte
         front = cut(moves.where("kind = 'tree'").select(F.col("dst").alias("id"), F.lit(k + 1).alias("depth")), "front")
         seen = cut(seen.union(front), "seen")
         k += 1
+
+
+def implicit_dfs(start: DataFrame, expand: Callable[[DataFrame], DataFrame], root, *, max_depth: int | None = None, order: str = "dst", **options) -> DataFrame:
+    """The depth-first trace from root of a graph that ``expand`` makes, as exact.dfs_trace has it.
+
+    What is within reach of start (id), which holds the root, is explored in rounds, breadth first, and then traced; a
+    vertex's transitions go by the column ``order``. Raises where the bounds of explore leave something out.
+    """
+    return exact.dfs_trace(_explored(start, expand, order, **options), root, max_depth=max_depth)
+
+
+def implicit_edge_dfs(start: DataFrame, expand: Callable[[DataFrame], DataFrame], root, *, max_depth: int | None = None, order: str = "dst", **options) -> DataFrame:
+    """As implicit_dfs over edges as states: exact.edge_dfs of what ``expand`` makes, with the ends of each edge."""
+    g = _explored(start, expand, order, **options)
+    return exact.edge_dfs(g, root, max_depth=max_depth).join(g.edges.select("edge_id", "src", "dst"), "edge_id")
+
+
+def _explored(start: DataFrame, expand: Callable[[DataFrame], DataFrame], order: str, **options) -> Graph:
+    v, e, whole = explore(start, expand, **options)
+    if not whole:
+        raise GraphError("the exploration was cut off by its bounds")
+    e = numbered(e.select("src", "dst"), ["src", order], "edge_id")
+    return Graph.of(v.select("id", F.col("id").alias("ord")), e.select("edge_id", F.col("edge_id").alias("ord"), "src", "dst"))

@@ -52,13 +52,19 @@ def _clear() -> None:
             _delete(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is dropped with the driver."""
+    path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    _left[path] = (spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
 class Stored:
     """A table written once: recomputation after executor loss starts from it. It stays as long as the driver lives."""
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-        _left[self.path] = (spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+        self.path = scratch(spark, name)
         with _shuffles_end(spark):
             df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)

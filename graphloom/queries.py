@@ -497,7 +497,7 @@ def _(s):
 @_query("all_pairs", f"""WITH {TRADE}, p0 AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, n::DOUBLE AS w FROM trade UNION ALL SELECT id, id, 0 FROM v) GROUP BY 1, 2), """
     + ", ".join(f"p{k + 1} AS MATERIALIZED (SELECT a.src, b.dst, min(a.w + b.w) AS w FROM p{k} a JOIN p{k} b ON a.dst = b.src GROUP BY 1, 2)" for k in range(5)) + " SELECT src, dst, w AS distance FROM p5")
 def _(s):
-    return paths.all_pairs(s.trade(), weight=F.col("n"))
+    return paths.all_pairs(s.trade(), weight=F.col("n")).select("src", "dst", "distance")
 
 
 @_query("predecessor_path", f"""WITH RECURSIVE {GEO}, w AS (SELECT 'W' AS id, '' AS path, 0 AS depth UNION ALL SELECT dst, path || '/' || src || '>' || dst, depth + 1 FROM w JOIN geo ON src = id)

@@ -252,6 +252,11 @@ def dgml_lines(g: Graph, colours: DataFrame | None = None) -> DataFrame:
     return spark.createDataFrame(frame, "part int, ord long, line string").union(body)
 
 
+def read_dgml(spark: SparkSession, path: str, **flags) -> Graph:
+    """A DGML file's nodes and links."""
+    return read_xml(spark, path, node="Node", edge="Link", id_="Id", source="Source", target="Target", **flags)
+
+
 # ---- DOT and drawing models -------------------------------------------------------------------------------------
 
 
@@ -259,19 +264,58 @@ def dot_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
 
 
-def dot_lines(g: Graph, *, name: str = "G", vertex_label: Column | None = None, edge_label: Column | None = None) -> DataFrame:
-    """(part, ord, line) of a DOT document; vertices are ordinals, labels are Columns over the frames."""
+def _dot_list(values: dict[str, str | int | float | bool]) -> str:
+    """Attributes as DOT writes them: truth values and numbers plain, texts quoted."""
+    plain = lambda x: str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    return ", ".join(f"{k}={plain(v)}" for k, v in values.items())
+
+
+def _dot_columns(columns: dict[str, Column]) -> Column:
+    """`` [k="v", ...]`` of the attributes that are not null; nothing where all are."""
+    parts = [F.concat(F.lit(f'{k}="'), dot_escape(c), F.lit('"')) for k, c in columns.items()]
+    if not parts:
+        return F.lit("")
+    text = F.concat_ws(", ", *parts)
+    return F.when(text == "", "").otherwise(F.concat(F.lit(" ["), text, F.lit("]")))
+
+
+def dot_lines(
+    g: Graph, *, name: str = "G", vertex_label: Column | None = None, edge_label: Column | None = None, vertex: dict[str, Column] | None = None, edge: dict[str, Column] | None = None,
+    graph_attributes: dict | None = None, vertex_defaults: dict | None = None, edge_defaults: dict | None = None, clusters: DataFrame | None = None,
+) -> DataFrame:
+    """(part, ord, line) of a DOT document; vertices are ordinals, labels and other attributes Columns over the frames.
+
+    An attribute that is null is not written. ``clusters`` (cluster, id) puts vertices into subgraphs, each vertex into
+    one at most, in order of the clusters' names.
+    """
     spark = g.vertices.sparkSession
-    label = lambda c: F.lit("") if c is None else F.concat(F.lit(' [label="'), dot_escape(c), F.lit('"]'))
+    of_vertex, of_edge = (({} if c is None else {"label": c}) | (more or {}) for c, more in ((vertex_label, vertex), (edge_label, edge)))
     v = numbered(g.vertices, ["ord", "id"], "_n")
-    nodes = v.select(F.lit(1).alias("part"), F.col("_n").alias("ord"), F.concat(F.col("_n").cast("string"), label(vertex_label), F.lit(";")).alias("line"))
+    line = F.concat(F.col("_n").cast("string"), _dot_columns(of_vertex), F.lit(";"))
+    nodes = v.select(F.lit(1).alias("part"), F.col("_n").alias("ord"), line.alias("line"))
+    if clusters is not None:
+        one = clusters.groupBy(F.col("id").alias("_i")).agg(F.min("cluster").alias("_c"))
+        names = numbered(one.select("_c").distinct(), ["_c"], "_k")
+        held = v.join(one, F.col("id") == F.col("_i"), "left").join(names.withColumnRenamed("_c", "_d"), F.col("_c") == F.col("_d"), "left")
+        size = v.count() + 2
+        inside = F.col("_k").isNotNull()
+        nodes = held.select(F.when(inside, F.lit(1)).otherwise(F.lit(2)).alias("part"), F.when(inside, F.col("_k") * size + F.col("_n") + 1).otherwise(F.col("_n")).alias("ord"), line.alias("line"))
+        heads = names.select(F.lit(1), F.col("_k") * size, F.concat(F.lit("subgraph cluster"), (F.col("_k") + 1).cast("string"), F.lit(' { label="'), dot_escape(F.col("_c")), F.lit('";')))
+        nodes = nodes.union(heads).union(names.select(F.lit(1), F.col("_k") * size + size - 1, F.lit("}")))
     at = v.select("id", "_n")
     e = numbered(g.edges, ["ord", "edge_id"], "_k").join(at.toDF("_a", "_s"), F.col("src") == F.col("_a")).join(at.toDF("_b", "_d"), F.col("dst") == F.col("_b"))
     arrow = " -> " if g.directed else " -- "
-    edges = e.select(F.lit(2).alias("part"), F.col("_k").alias("ord"), F.concat(F.col("_s").cast("string"), F.lit(arrow), F.col("_d").cast("string"), label(edge_label), F.lit(";")).alias("line"))
+    edges = e.select(F.lit(2 if clusters is None else 3).alias("part"), F.col("_k").alias("ord"), F.concat(F.col("_s").cast("string"), F.lit(arrow), F.col("_d").cast("string"), _dot_columns(of_edge), F.lit(";")).alias("line"))
     title = name if re.fullmatch(r"[A-Za-z_]\w*", name) else '"' + name.replace('"', '\\"') + '"'
-    ends = spark.createDataFrame([(0, 0, f"{'digraph' if g.directed else 'graph'} {title} {{"), (3, 0, "}")], "part int, ord long, line string")
-    return ends.union(nodes).union(edges)
+    head = [f"{'digraph' if g.directed else 'graph'} {title} {{"]
+    head += [f"{_dot_list(graph_attributes)};"] if graph_attributes else []
+    head += [f"{kind} [{_dot_list(d)}];" for kind, d in (("node", vertex_defaults), ("edge", edge_defaults)) if d]
+    frame = [(0, i, x) for i, x in enumerate(head)] + [(9, 0, "}")]
+    return spark.createDataFrame(frame, "part int, ord long, line string").union(nodes).union(edges)
+
+
+#: The renderers' common look.
+RENDERED = {"vertex_defaults": {"fontname": "Tahoma", "fontsize": 8.25, "shape": "box", "style": "filled", "fillcolor": "lightyellow"}, "edge_defaults": {"fontname": "Tahoma", "fontsize": 8.25}}
 
 
 def condensation_dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -281,6 +325,13 @@ def condensation_dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return dot_lines(Graph.of(v, e), vertex_label=F.concat_ws("-", F.col("n_vertices").cast("string"), F.col("n_edges").cast("string")), edge_label=F.col("n_edges"))
 
 
+def edge_merge_dot(vertices: DataFrame, merged: DataFrame) -> DataFrame:
+    """DOT lines of an edge-merge condensation: vertices (id, ord) by name, merged edges (src, dst, edge_ids) by number and list."""
+    e = merged.select(F.xxhash64("src", "dst", "edge_ids").alias("edge_id"), F.struct("src", "dst", "edge_ids").alias("ord"), "src", "dst", "edge_ids")
+    each = F.array_join(F.transform("edge_ids", lambda x: F.concat(F.lit("  "), x.cast("string"), F.lit("\n"))), "")
+    return dot_lines(Graph.of(vertices, e), vertex_label=F.col("id").cast("string"), edge_label=F.concat(F.size("edge_ids").cast("string"), F.lit("\n"), each), **RENDERED)
+
+
 def drawing_model(g: Graph, *, label: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label) and edges (source, target, source_label, target_label), ids as strings."""
     text = F.col("id").cast("string") if label is None else label

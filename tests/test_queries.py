@@ -9,13 +9,14 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graphloom import queries
+from graphloom import queries, row_queries
 
 SF = "/root/testdata/sf0.001"
 #: What runs in seconds together; the driver holds all of them at a larger size.
 SOME = [
     "adjacent_degree", "add_edges_no_parallel", "merge_vertex", "undirected_view", "csr_adjacency", "path_checks", "reversed_edge_augment", "augment_multi_source_sink", "balance_edges", "bfs_tree",
-    "critical_path", "all_pairs", "condensation_strong", "edge_merge_condensation", "common_ancestors", "minimum_spanning_forest", "pagerank", "dfs_order", "maximal_cliques", "petri_step",
+    "critical_path", "condensation_strong", "edge_merge_condensation", "common_ancestors", "minimum_spanning_forest", "pagerank", "dfs_order", "maximal_cliques", "petri_step",
+    "dfs_class_rows", "merged_edge_paths", "implicit_dfs", "all_pairs_paths", "colour_rows", "round_robin_walk", "tree_to_the_root", "edge_merge_ways", "dot_attributes", "dgml_round_trip",
 ]
 
 
@@ -29,9 +30,10 @@ def db():
 
 @pytest.mark.parametrize("name", SOME)
 def test_query_matches_sql(spark, db, name):
-    df = queries.QUERIES[name](spark, SF)
+    every, sql = queries.QUERIES | row_queries.QUERIES, queries.SQL | row_queries.SQL
+    df = every[name](spark, SF)
     cols = sorted(df.columns)
-    rel = db.sql(queries.SQL[name])
+    rel = db.sql(sql[name])
     assert sorted(rel.columns) == cols
     plain = lambda row: tuple(float(x) if isinstance(x, float) else x for x in row)
     got = sorted((plain(r) for r in df.select(*cols).collect()), key=repr)
