@@ -33,7 +33,8 @@ from .trusted import held_out, texts_of, trusted_keys
 
 QUANTILE, LEAST = 0.998, 30
 HOT = 1 << 17  #: words whose weights go to every worker
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, KNOWN_WORDS = 500_000, 1 << 18  #: what a worker holds at once: words of a block, hashes it remembers
+PARTS = 2  #: parts of the documents that are scored one after another
 UNIT = 4096.0
 SPARE_BITS = 16
 EDGE = 0  # opens and closes a text
@@ -134,7 +135,7 @@ def _count(side: int):
     """Texts to rows PAIRS: a block's bigrams and their counts, by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
+        known, held, size = WordHashes(KNOWN_WORDS), [], 0
 
         def flush() -> pa.RecordBatch:
             v, w = np.concatenate([s[:-1] for s in held]), np.concatenate([s[1:] for s in held])
@@ -390,7 +391,7 @@ def _ask(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, held, docs, size = WordHashes(), [], [], 0
+        known, held, docs, size = WordHashes(KNOWN_WORDS), [], [], 0
         block = TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -463,24 +464,29 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, sizes, fresh, total)], names=["id", "n", "fresh", "units"])
 
 
-def score(docs: DataFrame, trusted: DataFrame, *, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, *, hot: int = HOT, parts: int = PARTS) -> DataFrame:
     """(id, n, nats, fresh), stored: words, log-probability and distinct bigrams of each document of docs (id, t).
 
-    ids are not null, trusted has distinct ids g. The bigrams of a text are one more than its words: its edges count."""
+    ids are not null, trusted has distinct ids g. The bigrams of a text are one more than its words: its edges count.
+    Documents are dealt by id to ``parts`` that are scored one after another, so that only one part's keys are on disk."""
     model = Model(docs, trusted, hot)
-    # in the order of keys, so that a task that is run again gives the same blocks
-    asked = docs.select("id", "t").sortWithinPartitions("id", F.xxhash64("t")).mapInArrow(_ask(model), ROW)
-    met = model.rows.union(asked).repartition(model.cells, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_meet, ROW)
-    blocks = met.repartition(model.cells, "block").sortWithinPartitions("block", "kind")
-    parts = blocks.mapInArrow(_add, "id long, n long, fresh long, units long")
-    found = parts.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("units") / F.lit(UNIT)).alias("nats"), F.sum("fresh").alias("fresh"))
-    out = Stored(found, "scores").df
+    scored: DataFrame | None = None
+    for p in range(parts):
+        some = docs.select("id", "t").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
+        # in the order of keys, so that a task that is run again gives the same blocks
+        asked = some.sortWithinPartitions("id", F.xxhash64("t")).mapInArrow(_ask(model), ROW)
+        met = model.rows.union(asked).repartition(model.cells, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_meet, ROW)
+        blocks = met.repartition(model.cells, "block").sortWithinPartitions("block", "kind")
+        sums = blocks.mapInArrow(_add, "id long, n long, fresh long, units long").groupBy("id")
+        found = Stored(sums.agg(F.sum("n").alias("n"), (F.sum("units") / F.lit(UNIT)).alias("nats"), F.sum("fresh").alias("fresh")), "scores").df
+        scored = found if scored is None else scored.union(found)
     model.drop()
-    return out
+    assert scored is not None
+    return scored
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, hot: int = HOT
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, hot: int = HOT, parts: int = PARTS
 ) -> DataFrame:
     """(key, n_words, perplexity, threshold, repeats, most_repeats, kept) of each document that has a key; keys are whole numbers.
 
@@ -491,11 +497,13 @@ def classify(
     that of all trusted documents. A null, empty or blank text has no words, perplexity null, and is not kept. Without
     trusted documents there are no limits and every document with words is kept. Rows that repeat a key are judged
     together, as one text of their largest language; rows with a null key are left out; an empty table gives an empty
-    result. hot: the most words whose weights are sent to every worker, which changes no result. docs is read twice.
+    result. hot, the most words whose weights are sent to every
+    worker, and parts, one after another in which documents are scored, change no result. docs is read once for the model
+    and once for each part.
     """
     rows = docs.select(docs[f"`{key}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("t"), docs[f"`{lang}`"].alias("lang")).where("id is not null")
     good, held = trusted_keys(labels, "long"), held_out("g")
-    scored = score(rows.select("id", "t"), good.where(~held), hot=hot)
+    scored = score(rows.select("id", "t"), good.where(~held), hot=hot, parts=parts)
     judged = rows.groupBy("id").agg(F.max("lang").alias("lang")).join(scored.hint("merge"), "id")
     some = F.col("n") > 0
     judged = judged.withColumns({"loss": F.when(some, -F.col("nats") / (F.col("n") + 1)), "repeats": F.when(some, 1 - F.col("fresh") / (F.col("n") + 1))})

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Stored
+
 STEPS = 1024  #: steps of a measure to 1
 
 
@@ -26,6 +28,7 @@ def with_limit(judged: DataFrame, trusted: DataFrame, measure: str, quantile: fl
     size = F.floor(F.log2(F.col("n") + 1)).cast("int")
     judged = judged.withColumn("_size", size)
     bins = trusted.where(F.col(measure).isNotNull()).withColumn("_size", size).groupBy("lang", "_size", units(measure).alias("_u")).agg(F.count("*").alias("_c"))
+    bins = Stored(bins, "steps").df
     for name, cols in (("_both", ["lang", "_size"]), ("_by_size", ["_size"]), ("_by_lang", ["lang"]), ("_every", [])):
         every = W.partitionBy(*cols, F.lit(0))
         counts = bins.groupBy(*cols, "_u").agg(F.sum("_c").alias("_c"))

@@ -50,8 +50,8 @@ def test_scores_match_whatever_the_layout(spark):
     trusted = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "g long")
     score = plain([texts[i] for i in range(0, 80, 2)])
     runs = [
-        {r["id"]: (r["n"], r["nats"], r["fresh"]) for r in lm.score(docs.repartition(n), trusted, hot=hot).collect()}
-        for n, hot in ((1, lm.HOT), (16, lm.HOT), (200, 0), (5, 7))
+        {r["id"]: (r["n"], r["nats"], r["fresh"]) for r in lm.score(docs.repartition(n), trusted, hot=hot, parts=parts).collect()}
+        for n, hot, parts in ((1, lm.HOT, 1), (16, lm.HOT, 2), (200, 0, 3), (5, 7, 2))
     ]
     assert all(r == runs[0] for r in runs)
     assert len(runs[0]) == len(texts)
@@ -72,9 +72,17 @@ def test_all_trusted_words_are_known(spark):
         assert abs(r["nats"] - score(texts[r["id"]])) < 1e-3 * (1 + r["n"]), r
 
 
-def _limit(values, quantile):
-    steps = sorted(round(x * STEPS) for x in values)
-    return steps[math.ceil(len(steps) * quantile) - 1] if steps else None
+def limits(of, seen, n, lang, quantile, least):
+    """For each document the limit, in steps, of its class among the seen ones, by sorting."""
+    size = lambda i: int(math.log2(n[i] + 1))
+    out = {}
+    for i in of:
+        for like in (lambda j: (size(j), lang[j]), size, lambda j: lang[j], lambda j: 0):
+            some = sorted(round(of[j] * STEPS) for j in seen if j in of and like(j) == like(i))
+            if len(some) >= least:
+                break
+        out[i] = some[math.ceil(len(some) * quantile) - 1] if some else None
+    return out
 
 
 @pytest.mark.parametrize("quantile", [0.5, 0.998])
@@ -89,21 +97,13 @@ def test_verdicts_are_those_of_plain_quantiles(spark, quantile):
     good = {i for i in range(900) if i % 10}
     score = plain([texts[i] for i in sorted(good - held)])
     n = [len(t.split()) for t in texts]
-    loss, again = [-score(t) / (k + 1) for t, k in zip(texts, n)], [repeats(t) for t in texts]
-    size = [int(math.log2(k + 1)) for k in n]
-
-    def limit(of, seen, i):
-        for like in ((size, lang), (size,), (lang,)):
-            some = [of[j] for j in seen if all(x[j] == x[i] for x in like)]
-            if len(some) >= lm.LEAST:
-                return _limit(some, quantile)
-        return _limit([of[j] for j in seen], quantile)
-
+    loss, again = ({i: f(t) for i, t in enumerate(texts)} for f in (lambda t: -score(t) / (len(t.split()) + 1), repeats))
+    most, worst = limits(loss, held, n, lang, quantile, lm.LEAST), limits(again, good, n, lang, quantile, lm.LEAST)
     got = {r["doc_id"]: r for r in lm.classify(docs.repartition(4), labels, quantile=quantile).collect()}
     assert len(got) == len(texts)
     differ = 0
     for i in range(len(texts)):
-        a, b = limit(loss, held, i), limit(again, good, i)
+        a, b = most[i], worst[i]
         assert abs(math.log(got[i]["threshold"]) * STEPS - a) <= 2 and abs(got[i]["most_repeats"] * STEPS - b) < 0.1
         near = abs(loss[i] * STEPS - a) <= 2  # sums are rounded
         differ += not near and got[i]["kept"] != (loss[i] * STEPS <= a and round(again[i] * STEPS) <= b)
