@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import Stored
 
-__all__ = ["ALNUM_TABLE", "SPACE_LOWER_TABLE", "SPACE_TABLE", "Stored", "WordHashes", "free_name", "mix", "partitions", "pick", "words"]
+__all__ = ["ALNUM_TABLE", "SPACE_LOWER_TABLE", "SPACE_TABLE", "Stored", "WordHashes", "apart", "free_name", "mix", "partitions", "pick", "words"]
 
 #: Words of the contamination and licence operators: after lower-casing A-Z these bytes part words.
 ALNUM_TABLE = bytes(
@@ -63,6 +63,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def apart(key: str, *names: str) -> list[str]:
+    """A result's column names beside its key's: one that clashes with the key, whatever its case, gets ``_``."""
+    return [n + "_" * (n.lower() == key.lower()) for n in names]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns cannot clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

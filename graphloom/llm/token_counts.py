@@ -1,8 +1,9 @@
 """Token counts by a whole-token shortcut.
 
 Offline (on the driver, once) every vocabulary string is run through the merges alone; those that come out as the one
-token they are, and that the pre-tokeniser leaves in one piece, are proven whole. Counting then splits a text into
-pre-tokens, counts the proven ones directly and merges only the rest, whose counts a worker remembers up to a bound.
+token they are are proven whole. Counting then splits a text into pre-tokens, counts the proven ones directly and merges only
+the rest, whose counts a worker remembers up to a bound. Plain texts are split by one pattern and looked up as they
+stand; others are split by the library's pre-tokeniser and looked up as it spells them, by the same proof.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import apart
+
 MEMO = 1 << 19
 #: The byte-level pre-tokeniser's pattern over the characters of _PLAIN, whose classes are the same in
 #: every Unicode version. Texts with any other character go to the library's own pre-tokeniser.
@@ -57,44 +61,54 @@ class Counter:
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.back = {c: b for b, c in self.alphabet.items()}
         self.whole = self._prove() if whole is None else whole
-        self.memo: dict[str, int] = dict.fromkeys(self.whole, 1)
+        self.memo: dict[str, int] = {}
+        self.spelt: dict[str, int] = {}
+        self._forget()
 
     def _prove(self) -> frozenset[str]:
-        back = {c: b for b, c in self.alphabet.items()}
-        proven = []
-        for s in self.tokenizer.get_vocab(with_added_tokens=False):
-            try:
-                text = bytes(back[c] for c in s).decode()
-            except (KeyError, UnicodeDecodeError):
-                continue
-            if _PRETOKEN.findall(text) == [text] and not _NOT_PLAIN.search(text) and [t.value for t in self.model.tokenize(s)] == [s]:
-                proven.append(text)
-        return frozenset(proven)
+        """The vocabulary strings, as the tokenizer spells them, that encode alone as the one token they are."""
+        return frozenset(s for s in self.tokenizer.get_vocab(with_added_tokens=False) if [t.value for t in self.model.tokenize(s)] == [s])
+
+    def _plain(self, spelt: str) -> str | None:
+        """The text of a proven string where the pattern leaves it in one piece."""
+        try:
+            text = bytes(self.back[c] for c in spelt).decode()
+        except (KeyError, UnicodeDecodeError):
+            return None
+        return text if _PRETOKEN.findall(text) == [text] and not _NOT_PLAIN.search(text) else None
+
+    def _forget(self) -> None:
+        """Back to what is proven."""
+        for memo, known in ((self.spelt, self.whole), (self.memo, filter(None, map(self._plain, self.whole)))):
+            memo.clear()
+            memo.update(dict.fromkeys(known, 1))
 
     def _merge(self, mapped: str) -> int:
         return len(self.model.tokenize(mapped))
 
-    def _rest(self, piece: str) -> int:
-        n = self._merge("".join([self.alphabet[b] for b in piece.encode()]))
+    def _rest(self, memo: dict[str, int], piece: str, mapped: str) -> int:
+        n = self._merge(mapped)
         if len(piece) <= 64:
-            if len(self.memo) >= MEMO + len(self.whole):
-                self.memo = dict.fromkeys(self.whole, 1)
-            self.memo[piece] = n
+            if len(self.memo) + len(self.spelt) >= MEMO + 2 * len(self.whole):
+                self._forget()
+            memo[piece] = n
         return n
 
     def _segment(self, text: str) -> int:
         if _NOT_PLAIN.search(text):
-            return sum(self._merge(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
-        total = 0
+            total = 0
+            for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+                total += self.spelt.get(piece) or self._rest(self.spelt, piece, piece)
+            return total
         pieces = _PRETOKEN.findall(text)
         counts = list(map(self.memo.get, pieces))
         if None in counts:
             for i, n in enumerate(counts):
                 if n is None:
-                    counts[i] = self.memo.get(pieces[i]) or self._rest(pieces[i])
-        total += sum(counts)
-        return total
+                    counts[i] = self.memo.get(pieces[i]) or self._rest(self.memo, pieces[i], "".join([self.alphabet[b] for b in pieces[i].encode()]))
+        return sum(counts)
 
     def count(self, text: str) -> int:
         if not text:
@@ -105,12 +119,18 @@ class Counter:
         return len(parts) - 1 + sum(self._segment(p) for p in parts if p)
 
 
+@lru_cache(maxsize=1)
+def _counter(config: str, whole: frozenset[str]) -> Counter:
+    """A worker keeps its counter, and what it remembers, from task to task."""
+    return Counter(config, whole)
+
+
 def count_tokens(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of each row's whole text.
 
     tokenizer_json is a path on the driver; its content goes to the workers, so they need no such file, and its size is
     that of the vocabulary whatever the input. A null or empty text has 0 bytes and 0 tokens; repeated rows and null
-    keys are counted row by row; an empty table gives an empty result; other columns are not read.
+    keys are counted row by row; an empty table gives an empty result; other columns are not read. A result column that clashes with the key gets ``_``.
     """
     with open(tokenizer_json, encoding="utf-8") as f:
         config = f.read()
@@ -119,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id", t
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*proven.value)
+        counter = _counter(*proven.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -128,4 +148,4 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, *, key: str = "doc_id", t
                 tokens = [counter.count(t.decode()) if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["k", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return rows.mapInArrow(run, schema).toDF(key, *apart(key, "n_bytes", "n_tokens"))
