@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, words
+from .common import ALNUM_TABLE, apart, words
 from .license_texts import BASE, PARAGRAPHS, SENTENCES, Template
 
 MORE = (*SENTENCES, *PARAGRAPHS)
@@ -166,11 +166,12 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", b
     largest word they start at, null without any. score is the best verified template's share of words, 0 without one. base
     phrases must stand whole; more are licence sentences and paragraphs, a table of any length that a worker can hold.
     A null or empty text has no words. Repeated rows and null keys are scanned row by row; equal IDFs are taken in
-    order of position; an empty table gives an empty result; other columns are not read.
+    order of position; an empty table gives an empty result; other columns are not read. A result column that clashes
+    with the key gets ``_``.
     """
     rows = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("t"))
     vocabulary = sorted({w for t in (*base, *more) for w in _split(t.text)})
     counted = rows.select("t").mapInArrow(_frequencies(vocabulary), T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.LongType())]))
     frequency = {r["w"]: r["n"] for r in counted.groupBy("w").agg(F.sum("n").alias("n")).collect()}  # a row a licence word
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *RESULT.fields])
-    return rows.mapInArrow(_scan(Index(base, more, frequency)), schema).withColumnRenamed("k", key)
+    return rows.mapInArrow(_scan(Index(base, more, frequency)), schema).toDF(key, *apart(key, *RESULT.names))

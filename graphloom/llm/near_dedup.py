@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import linked
-from .common import SPACE_LOWER_TABLE, Stored, WordHashes, mix, words
+from .common import SPACE_LOWER_TABLE, Stored, WordHashes, apart, mix, words
 
 SHINGLE, PERCENT = 5, 75
 GROUPS, ROWS, PIVOT_ROUNDS, LOOK_BACK = 14, 3, 4, 32
@@ -139,7 +139,8 @@ def near_duplicates(
 
     Texts that differ must have keys that differ. A null or empty text, or one of white space, has no shingles and is
     linked with nothing. Rows that repeat a key and text are each returned, with one component. A row with a null key is
-    its own component, null, and kept. An empty table gives an empty result; other columns are not read.
+    its own component, null, and kept. An empty table gives an empty result; other columns are not read. A result column
+    that clashes with the key gets ``_``.
     """
     rows_in = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].alias("t"))
     kind = rows_in.schema["id"].dataType
@@ -200,4 +201,5 @@ def near_duplicates(
     rep = classes.df.join(labels.df, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("component_id"))
     classed = sigs.df.where("n > 0 and id is not null").select("id", "n", "h1", "h2").join(rep, ["n", "h1", "h2"]).select("id", "n", "component_id")
     alone = sigs.df.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return classed.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = classed.union(alone).select("id", "n", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.toDF(key, *apart(key, "n_shingles", "component_id", "kept"))
