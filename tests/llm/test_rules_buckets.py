@@ -4,9 +4,12 @@ import collections
 import math
 import random
 
-from graphloom.llm.quality_rules import BUCKET_BITS, apply_rules
+from graphloom.llm.quality_rules import BUCKET_BITS, LEAST, apply_rules
+from graphloom.llm.thresholds import STEPS
 from graphloom.llm.trusted import held_out
 
+from test_language_model import limits
+
 
 def test_scores_are_those_of_whole_words(spark):
     """3000 words and their pairs meet in few buckets, so nearly every score is that of counts by word."""
@@ -28,3 +31,30 @@ def test_scores_are_those_of_whole_words(spark):
         found = [logs[0](x) - logs[2](x) for x in w] + [logs[1](x) - logs[3](x) for x in zip(w, w[1:])]
         right += abs(r["score"] - sum(found) / len(found)) < 1e-6
     assert right > 40
+
+
+def test_verdicts_are_those_of_plain_quantiles(spark):
+    """Of documents that pass the base rules, those whose score reaches the quantile of held-out trusted ones of their class."""
+    rng = random.Random(8)
+    plain = [" ".join(f"w{int(rng.paretovariate(0.8)) % 500}" for _ in range(rng.randint(55, 140))) for _ in range(700)]
+    odd = [" ".join(rng.choice([f"w{rng.randint(0, 499)}", f"bad{rng.randint(0, 9)}"]) for _ in range(80)) for _ in range(30)]
+    texts = plain + odd + ["short text", "", None]
+    lang = ["en" if i % 3 else None for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(700) if i % 8], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"] for r in labels.where(held_out("doc_id")).collect()}
+    quantile = 0.05
+    rows = {r["doc_id"]: r for r in apply_rules(docs, labels, quantile=quantile).collect()}
+    n = {i: len((t or "").split()) for i, t in enumerate(texts)}
+    loss = {i: -r["score"] for i, r in rows.items() if r["score"] is not None}
+    most = limits(loss, {i for i in held if not rows[i]["base_failed"]}, n, lang, 1 - quantile, LEAST)
+    near = 0
+    for i, r in rows.items():
+        if i not in loss:
+            assert r["base_failed"] and not r["kept"]
+            continue
+        near += abs(-r["score"] * STEPS - most[i]) < 0.6
+        assert abs(-r["threshold"] * STEPS - most[i]) <= 1
+        if abs(-r["score"] * STEPS - most[i]) >= 0.6:
+            assert r["kept"] == (not r["base_failed"] and -r["score"] * STEPS <= most[i]), i
+    assert near < 60 and not any(rows[i]["kept"] for i in range(700, 730)) and sum(rows[i]["kept"] for i in range(700)) > 200
