@@ -20,6 +20,8 @@ from .order import is_dag
 ROWS = "id {id}, distance double, hops int, parent {id}, pred_edge_id {edge}"
 #: What relaxing an edge makes of a distance, and whether less is better: by name.
 RELAXERS = {"shortest": (lambda d, w: d + w, True), "critical": (lambda d, w: d + w, False), "prim": (lambda d, w: w, True)}
+#: Rounds whose betterments are kept apart.
+FOLD = 8
 UNREACHED = {"dijkstra": 1.7976931348623157e308, "bellman_ford": float("inf")}
 
 
@@ -29,27 +31,50 @@ def _arcs(g: Graph, weight) -> DataFrame:
     return Graph(g.vertices, e, g.directed).out_edges().select("edge_id", F.col("ord").alias("e_ord"), "src", "dst", F.col("weight").alias("w"))
 
 
-def _settle(g: Graph, arcs: DataFrame, roots: DataFrame, relaxer: str, rounds: int, beyond: Exception) -> DataFrame:
-    """(id, distance, hops) by relaxing the arcs of what changed in the round before."""
+def _settle(arcs: DataFrame, roots: DataFrame, relaxer: str, rounds: int, beyond: Exception) -> DataFrame:
+    """(id, distance, hops) by relaxing the stored arcs of what the round before has bettered.
+
+    A round writes only what it betters. What is known is one table and the betterments since, which are folded into it
+    every ``FOLD`` rounds; so a deep graph costs a scan a round, and a shuffle of all that is known once in so many.
+    """
     combine, less = RELAXERS[relaxer]
-    start = roots.select("id", F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.lit(True).alias("open"))
-    arcs = cut(arcs, "arcs")
     sign = 1 if less else -1
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        ahead = state.where("open").join(arcs, F.col("id") == F.col("src")).where("src <> dst")
-        met = ahead.groupBy("dst").agg(F.min(F.struct((sign * combine(F.col("distance"), F.col("w"))).alias("d"), (F.col("hops") + 1).alias("h"))).alias("x"))
-        both = state.join(met, F.col("id") == F.col("dst"), "full_outer")
-        old = F.struct((sign * F.col("distance")).alias("d"), F.col("hops").alias("h"))
-        better = F.col("x").isNotNull() & (F.col("id").isNull() | (F.col("x") < old))
-        return both.select(
-            F.coalesce("id", "dst").alias("id"),
-            F.when(better, sign * F.col("x.d")).otherwise(F.col("distance")).alias("distance"),
-            F.when(better, F.col("x.h")).otherwise(F.col("hops")).alias("hops"),
-            F.coalesce(better, F.lit(False)).alias("open"),
-        )
-
-    return supersteps(start, step, "open", rounds=rounds, name="paths", beyond=beyond).select("id", "distance", "hops")
+    arcs = arcs.where("src <> dst")
+    rank = lambda d, h: F.struct((sign * d).alias("d"), h.alias("h"))
+    rows = lambda x, i: [F.col(i).alias("id"), (sign * F.col(f"{x}.d")).alias("distance"), F.col(f"{x}.h").alias("hops")]
+    known = [Stored(roots.select("id", F.lit(0.0).alias("distance"), F.lit(0).alias("hops")), "paths")]
+
+    def all_known() -> DataFrame:
+        every = known[0].df
+        for more in known[1:]:
+            every = every.union(more.df)
+        return every
+
+    def fold() -> None:
+        best = all_known().groupBy("id").agg(F.min(rank(F.col("distance"), F.col("hops"))).alias("x"))
+        whole, old = Stored(best.select(*rows("x", "id")), "paths"), known[:]
+        known[:] = [whole]
+        for table in old:
+            if table is not front:
+                table.drop()
+
+    front = known[0]
+    for _ in range(rounds):
+        ahead = front.df.join(arcs, F.col("id") == F.col("src"))
+        met = ahead.groupBy("dst").agg(F.min(rank(combine(F.col("distance"), F.col("w")), F.col("hops") + 1)).alias("x"))
+        old = all_known().join(met.select("dst"), F.col("id") == F.col("dst")).groupBy("id").agg(F.min(rank(F.col("distance"), F.col("hops"))).alias("y"))
+        better = met.join(old, F.col("dst") == F.col("id"), "left").where("y is null or x < y")
+        now = Stored(better.select(*rows("x", "dst")), "paths")
+        if front not in known:
+            front.drop()
+        front = now
+        if front.df.isEmpty():
+            fold()
+            return known[0].df
+        known.append(front)
+        if len(known) > FOLD:
+            fold()
+    raise beyond
 
 
 def _with_parents(g: Graph, arcs: DataFrame, found: DataFrame, relaxer: str) -> DataFrame:
@@ -86,7 +111,9 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
     if relaxer == "edge_shortest":
         kind = g.vertices.schema["id"].dataType, g.edges.schema["edge_id"].dataType
         return roots.select("id", F.lit(0.0).alias("distance"), F.lit(0).alias("hops"), F.lit(None).cast(kind[0]).alias("parent"), F.lit(None).cast(kind[1]).alias("pred_edge_id"))
-    arcs = _arcs(g, weight)
+    # what edges are made of is worked out once: bounds, rounds and parents read the stored edges
+    g = g.with_edges(cut(_weighted(g, weight).edges.select("edge_id", "ord", "src", "dst", "weight"), "weighted"))
+    arcs = _arcs(g, F.col("weight"))
     if relaxer == "critical" and not is_dag(g):
         raise NegativeCycleError("longest paths want an acyclic graph")
     small = relaxer == "shortest" and fits_one_task(g.edges, local_edges)
@@ -96,10 +123,10 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
             found = shortest.dijkstra(x, root) if negative == "raise" else shortest.bellman_ford(x, root)
             return [(x.ids[v], d, h, None if k is None else x.ids[x.other(k, v)], None if k is None else x.edge_id[k]) for v, (d, h, k) in found.items()]
 
-        found = kernel.run(_weighted(g, weight), solve, ROWS)
+        found = kernel.run(g, solve, ROWS)
     else:
         beyond = NegativeWeightError if negative == "raise" and relaxer == "shortest" else NegativeCycleError
-        found = _settle(g, arcs, roots, relaxer, g.vertices.count() + 1, beyond("a negative cycle is within reach of the root"))
+        found = _settle(arcs, roots, relaxer, g.vertices.count() + 1, beyond("a negative cycle is within reach of the root"))
         if relaxer == "shortest":
             below = found.join(arcs.where("w < 0" if negative == "raise" else "w < 0 and src = dst"), F.col("id") == F.col("src"))
             for r in below.limit(1).collect():
@@ -121,8 +148,8 @@ def bfs(g: Graph, root, *, local_edges: int | None = None) -> DataFrame:
 
 def bfs_from_roots(g: Graph) -> DataFrame:
     """(id, depth) from all vertices without in-edges together; what only cycles lead to is not there."""
-    arcs = _arcs(g, None)
-    return _settle(g, arcs, g.roots().select("id"), "shortest", g.vertices.count() + 1, GraphError("unreachable")).select("id", F.col("hops").alias("depth"))
+    arcs = cut(_arcs(g, None), "arcs")
+    return _settle(arcs, g.roots().select("id"), "shortest", g.vertices.count() + 1, GraphError("unreachable")).select("id", F.col("hops").alias("depth"))
 
 
 def restarted_paths(g: Graph, *, weight=None) -> DataFrame:
