@@ -90,11 +90,18 @@ class Local:
 Kernel = Callable[[Local], Iterable[tuple]]
 
 
-def _bounded(v: DataFrame, e: DataFrame, key: str, max_vertices: int, max_edges: int) -> None:
+def _bounded(v: DataFrame, e: DataFrame, by: str | None, max_vertices: int, max_edges: int) -> None:
     """Counts both frames in one job, before anything is gathered."""
+    if by is None:  # one graph: two counts, nothing to group
+        found = v.agg(F.count("*").alias("n")).withColumn("of", F.lit(0)).union(e.agg(F.count("*")).withColumn("of", F.lit(1))).collect()
+        for r in found:
+            most, what = ((max_vertices, "vertices"), (max_edges, "edges"))[r["of"]]
+            if r["n"] > most:
+                raise errors.GraphTooLargeError(f"the graph has {r['n']} {what}; the bound is {most}")
+        return
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = v.select(key, one.alias("v"), none.alias("e")).union(e.select(key, none, one))
-    sizes = both.groupBy(key).agg(F.sum("v").alias("v"), F.sum("e").alias("e")).where((F.col("v") > max_vertices) | (F.col("e") > max_edges))
+    both = v.select(by, one.alias("v"), none.alias("e")).union(e.select(by, none, one))
+    sizes = both.groupBy(by).agg(F.sum("v").alias("v"), F.sum("e").alias("e")).where((F.col("v") > max_vertices) | (F.col("e") > max_edges))
     for r in sizes.limit(1).collect():
         n, most, what = (r["v"], max_vertices, "vertices") if r["v"] > max_vertices else (r["e"], max_edges, "edges")
         raise errors.GraphTooLargeError(f"graph {r[0]!r} has {n} {what}; the bound is {most}")
@@ -110,7 +117,7 @@ def run(graph: Graph, kernel: Kernel, schema: str, *, by: str | None = None, max
     key = by or "graph"
     if by is None:
         v, e = v.withColumn(key, F.lit(0)), e.withColumn(key, F.lit(0))
-    _bounded(v, e, key, max_vertices, max_edges)
+    _bounded(v, e, by, max_vertices, max_edges)
     columns = [key, "edge_id", "ord", "src", "dst", *(["weight"] if "weight" in e.columns else [])]
     out = T._parse_datatype_string(schema.format(id=v.schema["id"].dataType.simpleString(), edge=e.schema["edge_id"].dataType.simpleString()))
     if by is not None:

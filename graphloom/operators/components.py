@@ -132,6 +132,15 @@ def strong_trace(g: Graph) -> DataFrame:
     return kernel.run(g, structure.strong_components, "id {id}, component long, root {id}, discover_time long")
 
 
+def strong_steps(g: Graph) -> DataFrame:
+    """(step, id, component) of the depth-first search for strong components; a kernel.
+
+    Each vertex comes twice: when it is discovered, with the number of components complete by then, and with its own
+    component when that is complete, last discovered first.
+    """
+    return kernel.run(g, structure.strong_steps, "step long, id {id}, component long")
+
+
 def component_graphs(g: Graph, components: DataFrame) -> Graph:
     """The graph with a ``component`` column on vertices and on edges whose ends share one."""
     v = g.vertices.join(components, "id")

@@ -375,8 +375,7 @@ def ranked_paths(g: Graph, source, target, k: int = 3, *, weight=None, strict: b
     ``keep`` is a Column over (cost, path) that filters what is returned.
     """
     g.require(source, target)
-    weighted = g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")))
-    rows = kernel.run(weighted, lambda x: shortest.ranked_paths(x, source, target, k, strict=strict), "rank int, cost double, path array<{edge}>")
+    rows = kernel.run(_weighted(g, weight), lambda x: shortest.ranked_paths(x, source, target, k, strict=strict), "rank int, cost double, path array<{edge}>")
     return rows if keep is None else rows.where(keep)
 
 
@@ -387,8 +386,10 @@ def k_shortest(g: Graph, source, target, k: int, **options) -> DataFrame:
     return ranked_paths(g, source, target, k, strict=True, **options)
 
 
-def ranked_deviations(g: Graph, source, target, count: int = 3, **options) -> DataFrame:
-    """count > 1 paths; empty where there is none."""
+def ranked_deviations(g: Graph, source, target, count: int = 3, *, weight=None, keep=None) -> DataFrame:
+    """(rank, cost, path): count > 1 loopless paths by cost, from the tree of shortest ways to the target; empty where there is none."""
     if count <= 1:
         raise GraphError("count must be over 1")
-    return ranked_paths(g, source, target, count, strict=False, **options)
+    g.require(source, target)
+    rows = kernel.run(_weighted(g, weight), lambda x: shortest.deviations(x, source, target, count), "rank int, cost double, path array<{edge}>")
+    return rows if keep is None else rows.where(keep)

@@ -275,6 +275,12 @@ def _(s):
     return e.select("src", "dst", (F.coalesce("y", F.lit(False)) | F.coalesce("z", F.lit(False))).alias("covered"))
 
 
+@_query("strong_component_steps", f"""WITH RECURSIVE {_SIZES} SELECT 2 * k - depth AS step, id, k - depth AS component FROM z
+  UNION ALL SELECT 2 * k - depth + 2 * size - 1, id, k - depth + size - 1 FROM z""")
+def _(s):
+    return components.strong_steps(s.geo())
+
+
 @_query("edge_components", f"WITH RECURSIVE {T3}, {_NEAR}, r AS (SELECT a, b FROM near UNION SELECT r.a, near.b FROM r JOIN near ON r.b = near.a), l AS (SELECT DISTINCT a, (SELECT min(b) FROM r q WHERE q.a = r.a) AS m FROM r) SELECT CASE count(DISTINCT m) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS answer FROM l")
 def _(s):
     return s.spark.range(1).select(F.lit(components.components_with_edges(s.trade3())).alias("answer"))
@@ -368,6 +374,16 @@ def _(s):
     return formats.read_graphml(s.spark, formats.document(formats.graphml_lines(s.trade3()))).edges.select("src", "dst", "n")
 
 
+@_query("graphml_lines", f"""WITH {T3}, e AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS k, min(n) OVER () AS least FROM t3)
+  SELECT '<node id="' || id || '"></node>' AS line FROM v UNION ALL SELECT '<edge id="' || k || '" source="' || src || '" target="' || dst || '">' || CASE WHEN n = least THEN '' ELSE '<data key="edge_n">' || n || '</data>' END || '</edge>' FROM e
+  UNION ALL SELECT '<key id="edge_n" for="edge" attr.name="n" attr.type="long"><default>' || min(n) || '</default></key>' FROM t3
+  UNION ALL SELECT '<graph id="G" edgedefault="directed" parse.nodes="' || (SELECT count(*) FROM v) || '" parse.edges="' || (SELECT count(*) FROM t3) || '" parse.order="nodesfirst" parse.nodeids="free" parse.edgeids="free">'""")
+def _(s):
+    g = s.trade3()
+    least = g.edges.agg(F.min("n").alias("n")).first()["n"]
+    return formats.graphml_lines(g, defaults={"edge_n": least}).where("line like '<node%' or line like '<edge%' or line like '<key%' or line like '<graph id%'").select("line")
+
+
 @_query("parquet_round_trip", f"WITH {T3} SELECT src, dst, n FROM t3")
 def _(s):
     path = scratch(s.spark, "parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,12 +71,19 @@ def _value(kind: str, text: str | None):
         raise FormatError(f"{text!r} is no {kind}") from None
 
 
-def parse_graphml(text: str, *, legacy: bool = False) -> tuple[bool, dict, list[tuple], list[tuple], dict[str, dict[str, str]]]:
+def parse_graphml(text: str, *, legacy: bool = False, problem: Callable[[str], None] | None = None) -> tuple[bool, dict, list[tuple], list[tuple], dict[str, dict[str, str]]]:
     """(directed, graph data, nodes (id, data), edges (id, source, target, data), declared kinds by scope); strict.
 
     One graph without nesting, hyperedges or ports; unique ids; ends that exist; data of a declared key once, by type.
-    ``legacy`` drops a DOCTYPE and takes documents without namespace or edgedefault, which are directed.
+    ``legacy`` drops a DOCTYPE and takes documents without namespace or edgedefault, which are directed. What is wrong
+    raises FormatError, or goes to ``problem`` where the rest can still be read.
     """
+
+    def bad(message: str) -> None:
+        if problem is None:
+            raise FormatError(message)
+        problem(message)
+
     if legacy:
         text = re.sub(r"<!DOCTYPE[^>\[]*(\[.*?\])?\s*>", "", text, count=1, flags=re.S)
     elif "<!DOCTYPE" in text or "<!ENTITY" in text:
@@ -97,45 +104,57 @@ def parse_graphml(text: str, *, legacy: bool = False) -> tuple[bool, dict, list[
         base = kind.removesuffix("[]")
         defaults = k.findall(f"{space}default")
         if not id_ or id_ in keys or base not in TYPES or k.get("for", "all") not in ("all", "graph", "node", "edge") or len(defaults) > 1:
-            raise FormatError(f"bad key {id_!r}")
-        keys[id_] = {"name": k.get("attr.name", id_), "kind": kind, "for": k.get("for", "all"), "default": defaults[0].text if defaults else None, "has": bool(defaults)}
+            bad(f"bad key {id_!r}")
+            continue
+        value = None
+        try:
+            value = _value(kind, defaults[0].text) if defaults else None
+        except FormatError as e:
+            bad(str(e))
+        keys[id_] = {"name": k.get("attr.name", id_), "kind": kind, "for": k.get("for", "all"), "value": value, "has": bool(defaults)}
 
     def data(x: ET.Element, scope: str) -> dict:
         mine = {i: k for i, k in keys.items() if k["for"] in ("all", scope)}
-        out = {k["name"]: _value(k["kind"], k["default"]) for k in mine.values() if k["has"]}
+        out = {k["name"]: k["value"] for k in mine.values() if k["has"]}
         seen = set()
         for d in x.findall(f"{space}data"):
             k = mine.get(d.get("key"))
             if k is None or d.get("key") in seen:
-                raise FormatError(f"data of key {d.get('key')!r} is not declared here or comes twice")
+                bad(f"data of key {d.get('key')!r} is not declared here or comes twice")
+                continue
             seen.add(d.get("key"))
-            out[k["name"]] = _value(k["kind"], d.text)
+            try:
+                out[k["name"]] = _value(k["kind"], d.text)
+            except FormatError as e:
+                bad(str(e))
         return out
 
     graph = graphs[0]
     way = graph.get("edgedefault", "directed" if legacy else None)
     if way not in ("directed", "undirected"):
-        raise FormatError("edgedefault must be directed or undirected")
+        bad("edgedefault must be directed or undirected")
     nodes, edges, ids, edge_ids = [], [], set(), set()
     for x in graph:
         tag = x.tag.removeprefix(space)
         if tag == "node":
             id_ = x.get("id")
             if not id_ or id_ in ids or any(c.tag != f"{space}data" for c in x):
-                raise FormatError(f"bad node {id_!r}")
+                bad(f"bad node {id_!r}")
+                continue
             ids.add(id_)
             nodes.append((id_, data(x, "node")))
         elif tag == "edge":
             a, b, id_ = x.get("source"), x.get("target"), x.get("id")
             if id_ is not None and id_ in edge_ids or x.get("directed") not in (None, "true" if way == "directed" else "false") or any(c.tag != f"{space}data" for c in x):
-                raise FormatError(f"bad edge {id_!r}")
+                bad(f"bad edge {id_!r}")
+                continue
             edge_ids.add(id_)
             edges.append((id_ if id_ is not None else str(len(edges)), a, b, data(x, "edge")))
         elif tag not in ("data", "desc"):
-            raise FormatError(f"{tag} is not read")
+            bad(f"{tag} is not read")
     for id_, a, b, _ in edges:
         if a not in ids or b not in ids:
-            raise FormatError(f"edge {id_!r} has an end that is no node")
+            bad(f"edge {id_!r} has an end that is no node")
     scoped = {s: {k["name"]: k["kind"] for k in keys.values() if k["for"] in ("all", s)} for s in ("graph", "node", "edge")}
     return way == "directed", data(graph, "graph"), nodes, edges, scoped
 
@@ -152,12 +171,13 @@ def read_graphml(spark: SparkSession, text: str, *, legacy: bool = False) -> Gra
 
 
 def validate_graphml(text: str, *, legacy: bool = False) -> list[str]:
-    """What is wrong with a document; nothing if it can be read."""
+    """All that is wrong with a document, in its order; nothing if it can be read."""
+    found: list[str] = []
     try:
-        parse_graphml(text, legacy=legacy)
+        parse_graphml(text, legacy=legacy, problem=found.append)
     except FormatError as e:
-        return [str(e)]
-    return []
+        found.append(str(e))
+    return found
 
 
 def _kind_of(spark_type: str) -> str | None:
@@ -169,14 +189,26 @@ def _xml_text(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def graphml_lines(g: Graph, *, name: str = "G") -> DataFrame:
-    """(part, ord, line) of a GraphML document, to be written in order; ids are ordinals, null data are left out."""
+def graphml_lines(g: Graph, *, name: str = "G", defaults: dict[str, object] | None = None) -> DataFrame:
+    """(part, ord, line) of a GraphML document, to be written in order; ids are ordinals, null data are left out.
+
+    The graph element tells the numbers of nodes and edges. ``defaults`` are values of attributes by ``node_name`` or
+    ``edge_name``: they are declared with their keys, and data equal to them are left out.
+    """
+    known = defaults or {}
     spark = g.vertices.sparkSession
     v = numbered(g.vertices, ["ord", "id"], "_n")
     cols = {"node": [(f.name, _kind_of(f.dataType.simpleString())) for f in g.vertices.schema if f.name not in ("id", "ord")], "edge": [(f.name, _kind_of(f.dataType.simpleString())) for f in g.edges.schema if f.name not in ("edge_id", "ord", "src", "dst")]}
     head = ['<?xml version="1.0" encoding="utf-8"?>', f'<graphml xmlns="{NAMESPACE}">']
-    head += [f"<key id={quoteattr(f'{s}_{c}')} for=\"{s}\" attr.name={quoteattr(c)} attr.type=\"{k}\" />" for s in cols for c, k in cols[s] if k]
-    head.append(f"<graph id={quoteattr(name)} edgedefault=\"{'directed' if g.directed else 'undirected'}\">")
+    for s in cols:
+        for c, k in cols[s]:
+            if k:
+                start, value = f"<key id={quoteattr(f'{s}_{c}')} for=\"{s}\" attr.name={quoteattr(c)} attr.type=\"{k}\"", known.get(f"{s}_{c}")
+                text = str(value).lower() if isinstance(value, bool) else str(value)
+                head.append(f"{start} />" if value is None else f"{start}><default>{escape(text)}</default></key>")
+    way = "directed" if g.directed else "undirected"
+    counts = f'parse.nodes="{v.count()}" parse.edges="{g.edges.count()}" parse.order="nodesfirst" parse.nodeids="free" parse.edgeids="free"'
+    head.append(f'<graph id={quoteattr(name)} edgedefault="{way}" {counts}>')
 
     def data(scope: str) -> Column:
         parts = []
@@ -184,6 +216,8 @@ def graphml_lines(g: Graph, *, name: str = "G") -> DataFrame:
             if k:
                 x = F.col(f"`{c}`")
                 text = F.array_join(F.transform(x, lambda y: y.cast("string")), " ") if k.endswith("[]") else x
+                if known.get(f"{scope}_{c}") is not None:
+                    text = F.when(x.eqNullSafe(F.lit(known[f"{scope}_{c}"])), F.lit(None)).otherwise(text)
                 parts.append(F.coalesce(F.concat(F.lit(f'<data key="{escape(f"{scope}_{c}")}">'), _xml_text(text), F.lit("</data>")), F.lit("")))
         return F.concat(*parts) if parts else F.lit("")
 

@@ -58,3 +58,16 @@ def test_xml_dgml_dot(spark, tmp_path):
     assert formats.read_parquet(spark, str(tmp_path / "p"), directed=False).equals(g)
     nodes, links = formats.drawing_model(g)
     assert nodes.count() == 2 and links.first()["source_label"] == "1"
+
+
+def test_validation_tells_every_error():
+    from graphloom.sources.formats import NAMESPACE, validate_graphml
+
+    text = (
+        f'<graphml xmlns="{NAMESPACE}"><key id="k" for="node" attr.name="k" attr.type="int"/><key id="k" for="node"/><graph edgedefault="sideways">'
+        '<node id="a"><data key="k">x</data></node><node id="a"/><node id="b"><data key="q">1</data></node><edge source="a" target="z"/><hyperedge/></graph></graphml>'
+    )
+    found = validate_graphml(text)
+    assert len(found) == 7 and all(any(part in m for m in found) for part in ("bad key", "edgedefault", "no int", "bad node", "'q'", "hyperedge", "no node"))
+    assert validate_graphml(f'<graphml xmlns="{NAMESPACE}"><graph edgedefault="directed"><node id="a"/></graph></graphml>') == []
+    assert len(validate_graphml("<graphml")) == 1

@@ -108,6 +108,26 @@ def test_random_paths_match_enumeration(spark):
         for t in [v for v in simple if v]:
             got = [r["cost"] for r in paths.k_shortest(g, 0, t, 6, weight=F.col("weight")).orderBy("rank").collect()]
             assert got == sorted(simple[t])[:6]
+            near = [r["cost"] for r in paths.ranked_deviations(g, 0, t, 6, weight=F.col("weight")).orderBy("rank").collect()]
+            assert near == got
+
+
+def test_a_star(spark):
+    g = graph(spark, [("s", "a", 1), ("a", "t", 5), ("s", "b", 2), ("b", "t", 3), ("t", "far", 1)])
+    ways = lambda h, target="t": values(paths.a_star(g, "s", weight=F.col("weight"), heuristic=h, target=target))
+    assert ways(F.lit(0.0))["t"] == 5 and "far" not in ways(F.lit(0.0))
+    assert ways(F.when(F.col("id") == "t", 0.0).when(F.col("id") == "b", 3.0).otherwise(4.0))["t"] == 5
+    # an estimate that is too high hides the better way until the target is settled
+    assert ways(F.when(F.col("id") == "b", 100.0).otherwise(0.0))["t"] == 6
+    assert ways(F.lit(0.0), None) == {"s": 0, "a": 1, "b": 2, "t": 5, "far": 6}
+    with pytest.raises(NegativeWeightError):
+        paths.a_star(graph(spark, [(0, 1, -1)]), 0, weight=F.col("weight"), heuristic=F.lit(0.0))
+
+
+def test_deep_paths_fold(spark):
+    g = graph(spark, [(i, i + 1, 1) for i in range(21)] + [(0, 20, 25), (5, 12, 9)])
+    want = {i: i for i in range(22)}
+    assert values(paths.shortest_paths(g, 0, weight=F.col("weight"), local_edges=0)) == want
 
 
 def test_orders(spark):
