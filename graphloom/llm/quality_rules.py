@@ -3,8 +3,9 @@
 Words and word pairs are hashed to 2 ** ``bits`` buckets each (a parameter; few buckets average the weight of rare
 words away); the raw multinomial counts every document, the target
 one every document labelled of quality 1 and not toxic but a held-out tenth. A document's score is the mean of
-log(target / raw) over its n-grams. It is kept when the score reaches a low quantile of the held-out documents of like
-language and length. Counts travel as packed runs of ``PART`` buckets; the weights, one number a bucket, go to every
+log(target / raw) over its n-grams, and its worst word's is told beside it: a few words that the corpus has and the
+target never has do not move a mean. It is kept when both reach a low quantile of the held-out documents of like language
+and length. Counts travel as packed runs of ``PART`` buckets; the weights, one number a bucket, go to every
 worker.
 """
 
@@ -111,7 +112,7 @@ def _by_text(table: np.ndarray, joined: np.ndarray, starts: np.ndarray, sizes: n
     return sums[starts + sizes] - sums[starts]
 
 
-RESULT = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "score": T.DoubleType()}
+RESULT = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "score": T.DoubleType(), "worst": T.DoubleType()}
 
 
 def _measure(weights, bits: int):
@@ -130,11 +131,12 @@ def _measure(weights, bits: int):
                 for t in texts:
                     lines = [x for x in t.split(b"\n") if x.strip()]
                     dups.append(len(lines) - len(set(lines)))
-                score = [float(weight[_grams(_short(h), bits)].mean()) if len(h) else None for h in hashed]
+                ratios = [weight[_grams(_short(h), bits)] for h in hashed]
+                score, worst = [float(r.mean()) if len(r) else None for r in ratios], [float(r[:n].min()) if n else None for r, n in zip(ratios, lengths)]
                 columns = [
                     part.column(0), part.column(2), pa.array(lengths),
                     pa.array(_by_text(_CHARS, joined, starts, sizes)), pa.array(_by_text(_SYMBOLS, joined, starts, sizes)), pa.array(dups, pa.int64()),
-                    pa.array(repeated_words(np.concatenate(hashed) if hashed else np.empty(0, np.uint64), lengths)), pa.array(score, pa.float64()),
+                    pa.array(repeated_words(np.concatenate(hashed) if hashed else np.empty(0, np.uint64), lengths)), pa.array(score, pa.float64()), pa.array(worst, pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", *RESULT])
 
@@ -145,7 +147,7 @@ def apply_rules(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold, base_failed, kept), a row a row.
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold, worst, worst_threshold, base_failed, kept), a row a row.
 
     A null or empty text has no words: score null, base_failed. Without target documents there is no threshold and the
     base measures alone decide. Repeated rows are judged alike; rows with a null key are judged but never target; an
@@ -168,12 +170,14 @@ def apply_rules(
         logs.append(np.log(c) - np.log(np.repeat([c[:half].sum(), c[half:].sum()], half)))
     weights = spark.sparkContext.broadcast(logs[0] - logs[1])
     measured = T.StructType([T.StructField("id", kind), T.StructField("lang", lang_kind), *(T.StructField(k, t) for k, t in RESULT.items())])
-    judged = Stored(rows.mapInArrow(_measure(weights, bits), measured), "measures").df.withColumn("n", F.col("n_words")).withColumn("loss", -F.col("score"))
+    judged = Stored(rows.mapInArrow(_measure(weights, bits), measured), "measures").df.withColumn("n", F.col("n_words")).withColumns({"loss": -F.col("score"), "flaw": -F.col("worst")})
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     seen = judged.where(~base).join(good.where(held).hint("merge"), F.col("id") == F.col("g"), "left_semi")
     judged = with_limit(judged, seen, "loss", 1 - quantile, LEAST, "limit")
-    verdict = F.coalesce(units("loss") <= units("limit"), F.lit(True))
+    judged = with_limit(judged, seen, "flaw", 1 - quantile, int(1 / quantile), "most")  # one word's ratio hangs little on the class
+    verdict = F.coalesce(units("loss") <= units("limit"), F.lit(True)) & F.coalesce(units("flaw") <= units("most"), F.lit(True))
     return judged.select(
-        F.col("id").alias(key), *(c for c in RESULT if c != "score"), F.round("score", 9).alias("score"), F.round(-F.col("limit"), 9).alias("threshold"),
+        F.col("id").alias(key), *(c for c in RESULT if c not in ("score", "worst")), F.round("score", 9).alias("score"), F.round(-F.col("limit"), 9).alias("threshold"),
+        F.round("worst", 9).alias("worst"), F.round(-F.col("most"), 9).alias("worst_threshold"),
         base.alias("base_failed"), (~base & verdict).alias("kept"),
     )

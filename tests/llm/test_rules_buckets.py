@@ -29,7 +29,7 @@ def test_scores_are_those_of_whole_words(spark):
     for r in apply_rules(docs, labels).collect():
         w = texts[r["doc_id"]].split()
         found = [logs[0](x) - logs[2](x) for x in w] + [logs[1](x) - logs[3](x) for x in zip(w, w[1:])]
-        right += abs(r["score"] - sum(found) / len(found)) < 1e-6
+        right += abs(r["score"] - sum(found) / len(found)) < 1e-6 and abs(r["worst"] - min(found[: len(w)])) < 1e-6
     assert right > 40
 
 
@@ -47,14 +47,17 @@ def test_verdicts_are_those_of_plain_quantiles(spark):
     rows = {r["doc_id"]: r for r in apply_rules(docs, labels, quantile=quantile).collect()}
     n = {i: len((t or "").split()) for i, t in enumerate(texts)}
     loss = {i: -r["score"] for i, r in rows.items() if r["score"] is not None}
-    most = limits(loss, {i for i in held if not rows[i]["base_failed"]}, n, lang, 1 - quantile, LEAST)
+    flaw = {i: -rows[i]["worst"] for i in loss}
+    seen = {i for i in held if not rows[i]["base_failed"]}
+    most, flaws = limits(loss, seen, n, lang, 1 - quantile, LEAST), limits(flaw, seen, n, lang, 1 - quantile, int(1 / quantile))
     near = 0
     for i, r in rows.items():
         if i not in loss:
             assert r["base_failed"] and not r["kept"]
             continue
-        near += abs(-r["score"] * STEPS - most[i]) < 0.6
-        assert abs(-r["threshold"] * STEPS - most[i]) <= 1
-        if abs(-r["score"] * STEPS - most[i]) >= 0.6:
-            assert r["kept"] == (not r["base_failed"] and -r["score"] * STEPS <= most[i]), i
-    assert near < 60 and not any(rows[i]["kept"] for i in range(700, 730)) and sum(rows[i]["kept"] for i in range(700)) > 200
+        close = min(abs(loss[i] * STEPS - most[i]), abs(flaw[i] * STEPS - flaws[i])) < 0.6
+        near += close
+        assert abs(-r["threshold"] * STEPS - most[i]) <= 1 and abs(-r["worst_threshold"] * STEPS - flaws[i]) <= 1
+        if not close:
+            assert r["kept"] == (not r["base_failed"] and loss[i] * STEPS <= most[i] and flaw[i] * STEPS <= flaws[i]), i
+    assert near < 200 and not any(rows[i]["kept"] for i in range(700, 730)) and sum(rows[i]["kept"] for i in range(700)) > 200
