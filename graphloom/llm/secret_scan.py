@@ -1,8 +1,8 @@
 """Secret scans by a trigram inverted index. DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived, case folded. One scan gives the postings
-(trigram, document) of the trigrams that any rule asks for; a clause's candidates are the documents in all of its
-postings. Candidates are then verified by the expression itself. Rules of which no trigram is mandatory have every
+(trigram, document) of the trigrams that any rule asks for, of the documents that some clause's rarest trigram leads to;
+a clause's candidates are the documents in all of its postings. Candidates are then verified by the expression itself. Rules of which no trigram is mandatory have every
 document as candidate.
 """
 
@@ -131,11 +131,27 @@ def trigram_query(pattern: str) -> Clauses:
     return [c for c in dict.fromkeys(found) if not any(o < c for o in found)]
 
 
-def postings(rows: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """(k, tri): which of the trigrams a document holds, by their numbers."""
+#: Letters from the commonest on: a clause is led by the trigram of its that is likely the rarest.
+_COMMON = "etaoinshrdlucmfpgwybvkxqjz"
+
+
+def _lead(clause: frozenset[str]) -> str:
+    return max(sorted(clause), key=lambda t: sum(_COMMON.find(c) % 40 for c in t))
+
+
+def _held(low: Column, trigrams: Sequence[str], number: dict[str, int]) -> Column:
     # contains() on the folded text: no window of characters is made a row
-    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    return rows.select("k", F.lower("t").alias("low")).select("k", F.explode(held).alias("tri"))
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(number[t])) for t in trigrams)))
+
+
+def postings(rows: DataFrame, clauses: Sequence[frozenset[str]], number: dict[str, int]) -> DataFrame:
+    """(k, tri): which trigrams a document holds, by their numbers; of documents that hold a clause's leading one at least.
+
+    Without its leading trigram no clause can be met, so most texts are searched for those alone.
+    """
+    leads = sorted({_lead(c) for c in clauses})
+    led = rows.select("k", F.lower("t").alias("low")).select("k", "low", F.explode(F.slice(_held(F.col("low"), leads, number), 1, 1)).alias("lead"))
+    return led.select("k", F.explode(_held(F.col("low"), list(number), number)).alias("tri"))
 
 
 def _spans(text: Column, rule: Rule, at: int) -> Column:
@@ -169,7 +185,8 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ru
     number = {t: i for i, t in enumerate(trigrams)}
     clauses = [(n, a, number[t], len(c)) for n, q in enumerate(queries) if q for a, c in enumerate(q) for t in sorted(c)]
     asked = F.broadcast(spark.createDataFrame(clauses, "rule int, clause int, p int, need int"))  # bounded by the rules
-    index = Stored(postings(rows.where("k is not null and t is not null"), trigrams).distinct(), "postings").df
+    demanded = [c for q in queries if q for c in q]
+    index = Stored(postings(rows.where("k is not null and t is not null"), demanded, number).distinct(), "postings").df
     met = index.join(asked, F.col("tri") == F.col("p")).groupBy("k", "rule", "clause").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c = need")
     candidates = met.groupBy(F.col("k").alias("c_k")).agg(F.collect_set("rule").alias("rules"))
     looked = rows.join(candidates, F.col("k") == F.col("c_k"), "left")
