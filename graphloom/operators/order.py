@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,44 @@ def peel(g: Graph, *, local_edges: int | None = None) -> tuple[DataFrame, DataFr
     if fits_one_task(g.edges, local_edges):
         found = cut(kernel.run(g, structure.peel, "id {id}, layer int"), "layers")
         return found, g.vertices.select("id").join(found.select("id"), "id", "left_anti")
-    left, arcs = Stored(g.vertices.select("id"), "left"), Stored(g.edges.select("src", "dst"), "arcs")
-    layers: DataFrame | None = None
+    arcs = cut(g.edges.select("src", "dst"), "arcs")
+    into = cut(arcs.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("n")), "degrees")
+    front = Stored(g.vertices.select("id").join(into, F.col("id") == F.col("v"), "left_anti").select("id", F.lit(0).alias("layer")), "layers")
+    layers, taken = [front], []
     k = 0
-    while True:
-        free = cut(left.df.join(arcs.df.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(k)), "free")
-        if free.isEmpty():
-            empty = left.df.limit(0).withColumn("layer", F.lit(0))
-            return (empty if layers is None else layers), left.df
-        layers = free if layers is None else layers.union(free)
-        gone = free.select(F.col("id").alias("_g"))
-        left = replaced(left, left.df.join(gone, F.col("id") == F.col("_g"), "left_anti"), "left")
-        arcs = replaced(arcs, arcs.df.join(gone, F.col("src") == F.col("_g"), "left_anti"), "arcs")
+    while not front.df.isEmpty():
+        # only what the round takes away is written; a vertex is free when as many in-edges went as it had
         k += 1
+        gone = Stored(front.df.join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.count("*").alias("c")), "taken")
+        taken = _folded([*taken, gone], lambda every: every.groupBy("dst").agg(F.sum("c").alias("c")))
+        met = _union(taken).join(gone.df.select(F.col("dst").alias("t")), F.col("dst") == F.col("t"), "left_semi").groupBy("dst").agg(F.sum("c").alias("c"))
+        front = Stored(met.join(into, (F.col("dst") == F.col("v")) & (F.col("c") == F.col("n"))).select(F.col("dst").alias("id"), F.lit(k).alias("layer")), "layers")
+        layers = _folded([*layers, front], lambda every: every)
+    for table in taken:
+        table.drop()
+    found = _union(layers)
+    return found, g.vertices.select("id").join(found.select("id"), "id", "left_anti")
+
+
+#: Rounds whose tables are kept apart.
+FOLD = 8
+
+
+def _union(tables: list[Stored]) -> DataFrame:
+    every = tables[0].df
+    for more in tables[1:]:
+        every = every.union(more.df)
+    return every
+
+
+def _folded(tables: list[Stored], merge: Callable[[DataFrame], DataFrame]) -> list[Stored]:
+    """The tables, or, if they are too many, all but the last as one; the last is still read apart."""
+    if len(tables) <= FOLD:
+        return tables
+    whole = Stored(merge(_union(tables[:-1])), "folded")
+    for old in tables[:-1]:
+        old.drop()
+    return [whole, tables[-1]]
 
 
 def is_dag(g: Graph, *, local_edges: int | None = None) -> bool:

@@ -125,6 +125,9 @@ def test_a_star(spark):
 
 
 def test_deep_paths_fold(spark):
+    g = graph(spark, [(i, i + 1) for i in range(19)] + [(0, 5), (3, 17), (19, 20), (20, 19), (20, 21)])
+    layers, left = order.peel(g, local_edges=0)
+    assert values(layers, value="layer") == {i: i for i in range(19)} and {r["id"] for r in left.collect()} == {19, 20, 21}
     g = graph(spark, [(i, i + 1, 1) for i in range(21)] + [(0, 20, 25), (5, 12, 9)])
     want = {i: i for i in range(22)}
     assert values(paths.shortest_paths(g, 0, weight=F.col("weight"), local_edges=0)) == want
