@@ -47,3 +47,16 @@ def test_clusters(spark):
     counts = lambda x: {r["cluster"]: (r["n_vertices"], r["n_edges"]) for r in x.counts().collect()}
     assert counts(c) == {"top": (3, 2), "mid": (2, 1), "low": (2, 1)}
     assert counts(c.remove(spark.createDataFrame([("mid", 1)], "cluster string, id long"))) == {"top": (2, 0), "mid": (1, 0), "low": (1, 0)}
+
+
+def test_only_a_local_master_may_do_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+    from graphloom.plans.durable import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("local[4]", None)).startswith("file:///") and shared_dir(session("spark://a:1", "hdfs://b/c/")) == "hdfs://b/c"
+    for master in ("spark://a:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
