@@ -361,7 +361,9 @@ def _(s):
     g = s.trade()
     t = exact.random_tree(g, 0, seed=5).join(g.edges.select("edge_id", F.col("src").alias("a"), F.col("dst").alias("b")), "edge_id", "left")
     real = t.where("successor is not null and a = id and b = successor").select("id", F.col("successor").alias("parent"), F.col("edge_id").alias("pred_edge_id"))
-    there = paths.paths_to(real).select(F.col("id").alias("i"), F.lit(True).alias("y"))
+    # the first edge of a way from the top of its tree tells which vertex is the top
+    tops = g.edges.where("dst = 0").select(F.col("edge_id").alias("top"))
+    there = paths.paths_to(real).join(tops, F.col("path")[0] == F.col("top")).select(F.col("id").alias("i"), F.lit(True).alias("y"))
     met = t.join(there, F.col("id") == F.col("i"), "left")
     return met.select("id", (F.coalesce("y", F.lit(False)) | ((F.col("id") == 0) & F.col("successor").isNull())).alias("reaches"))
 
