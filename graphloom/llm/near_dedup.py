@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import linked
+from ..plans.durable import replaced
 from .common import SPACE_LOWER_TABLE, Stored, WordHashes, apart, mix, words
 
 SHINGLE, PERCENT = 5, 75
@@ -167,10 +168,12 @@ def near_duplicates(
     close = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
     for turn in range(pivot_rounds + 1):
-        own = buckets.df.join(labels.df.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
+        own = buckets.df.withColumn("label", F.col("id")) if not turn else buckets.df.select("id", "n", "bucket").join(labels.df.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
         if turn:
+            # a bucket whose members share a label has no more links to give; what it held goes
             open_ = own.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select(F.col("bucket").alias("k"))
-            own = own.join(open_, F.col("bucket") == F.col("k")).drop("k")
+            buckets = replaced(buckets, own.join(open_, F.col("bucket") == F.col("k")).drop("k"), "buckets")
+            own = buckets.df
         if turn < pivot_rounds:
             order = F.xxhash64("id", F.lit(turn)) if not turn else F.xxhash64("id", "bucket", F.lit(turn))
             pivot = own.groupBy("bucket").agg(*(F.min_by(c, order).alias(f"p_{c}") for c in ("id", "n", "label"))).withColumnRenamed("bucket", "k")
