@@ -28,7 +28,7 @@ from .common import Stored
 from .token_counts import byte_alphabet
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
-MEMO = 300_000  #: chunks and pieces that a worker remembers
+MEMO, PIECES = 450_000, 150_000  #: chunks and pieces of chunks that a worker remembers
 
 #: A lower-casing word tokenizer's normaliser and splitter. Chunks of ASCII and precomposed Latin letters
 #: (without the added tokens' opening) are split here by the same pattern and merged by the tokenizer's model, pieces
@@ -86,8 +86,9 @@ class Encoder(dict):
         """Exact for tokenizers that drop white space: no token spans a space or line feed."""
         if not text:
             return b""
-        if len(self) + len(self.pieces) > MEMO:
+        if len(self) > MEMO:
             self.clear()
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
