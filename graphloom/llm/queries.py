@@ -97,6 +97,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6(), "op11_ngram_jaccard_join": oracles.OP11}
