@@ -63,6 +63,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON x = d.doc_id
 """
 
+OP12 = """
+WITH o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, pos, md5(md5(r) || md5(x)) AS k, strlen(x) AS bytes FROM o),
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS b),
+crc AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, s: xor(c >> 8, b[1 + (xor(c, s) & 255)]))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t), bits),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, crc % 9 AS h FROM crc),
+lent AS (SELECT c.conv_id, t.pos, k, bytes FROM c JOIN t ON t.conv_id = base AND pos < h),
+got AS (SELECT conv_id, count(*) AS got FROM lent GROUP BY conv_id),
+rebuilt AS (FROM lent UNION ALL SELECT conv_id, pos - h + coalesce(got, 0), k, bytes FROM t JOIN c USING (conv_id) LEFT JOIN got USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, pos + 1 AS depth, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS key, bytes FROM rebuilt UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+u AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM p),
+node AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, min(up) AS up FROM u GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, key)),
+sums AS (SELECT a.depth, a.key, sum((n_convs - 1) * w.bytes)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves FROM whole w JOIN p a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY ALL),
+ends AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id) JOIN p USING (conv_id, depth) GROUP BY ALL)
+SELECT w.conv_id, w.depth, m.conv_id AS parent_conv_id, w.n_convs, w.n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole w JOIN sums USING (depth, key) LEFT JOIN ends USING (depth, key) LEFT JOIN node m ON m.depth = w.depth - 1 AND m.key = w.up
+"""
+
 
 def _spans(kinds: list[tuple[str, str, int, int]]) -> str:
     parts = []

@@ -103,6 +103,12 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import mixed_families, placed_turns, prefix_trie
+
+    return prefix_trie(*mixed_families(placed_turns(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
     "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6(), "op11_ngram_jaccard_join": oracles.OP11}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6(), "op11_ngram_jaccard_join": oracles.OP11, "op12_conversation_trie": oracles.OP12}
