@@ -84,6 +84,22 @@ SELECT w.conv_id, w.depth, m.conv_id AS parent_conv_id, w.n_convs, w.n_children,
 FROM whole w JOIN sums USING (depth, key) LEFT JOIN ends USING (depth, key) LEFT JOIN node m ON m.depth = w.depth - 1 AND m.key = w.up
 """
 
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lowered()}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, w[i:i + k - 1] AS g, k FROM p, unnest([1, 2, 3]) s(k), unnest(range(1, len(w) - k + 2)) u(i)),
+f AS (SELECT lang, g, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10 OR k = 1),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, s.i, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c, unnest(range(1, k)) s(i) JOIN f x ON x.lang = c.lang AND x.g = c.g[:i] JOIN f y ON y.lang = c.lang AND y.g = c.g[i + 1:]),
+best AS (SELECT lang, g, k, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, i := i)) AS b FROM cut GROUP BY ALL),
+inner_ AS (SELECT lang, unnest([g[:2], g[2:]]) AS g, a AS longer FROM c WHERE k = 3),
+most AS (SELECT lang, g, max(longer) AS longer FROM inner_ GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, b.b.l AS l, b.b.r AS r, b.b.score AS score FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 
 def _spans(kinds: list[tuple[str, str, int, int]]) -> str:
     parts = []

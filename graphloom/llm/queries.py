@@ -109,6 +109,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*mixed_families(placed_turns(_table(spark, sf_dir, "conversations"))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6(), "op11_ngram_jaccard_join": oracles.OP11, "op12_conversation_trie": oracles.OP12}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": oracles.OP1, "op2_line_dedup": oracles.OP2, "op5_near_dedup": oracles.OP5, "op6_secret_scan": oracles.op6(), "op11_ngram_jaccard_join": oracles.OP11, "op12_conversation_trie": oracles.OP12, "op13_collocations": oracles.OP13}
