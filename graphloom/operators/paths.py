@@ -87,6 +87,14 @@ def _with_parents(g: Graph, arcs: DataFrame, found: DataFrame, relaxer: str) ->
     return found.join(first, F.col("id") == F.col("t"), "left").select("id", "distance", "hops", F.col("x.src").alias("parent"), F.col("x.edge_id").alias("pred_edge_id"))
 
 
+def _no_farther(found: DataFrame, target) -> DataFrame:
+    """The rows within the target's distance, none where it is out of reach; all without a target."""
+    if target is None:
+        return found
+    limit = found.where(F.col("id") == F.lit(target)).select(F.col("distance").alias("_limit"))
+    return found.join(F.broadcast(limit), F.col("distance") <= F.col("_limit")).drop("_limit")  # one row
+
+
 def _root_rows(g: Graph, root) -> DataFrame:
     if root is None:
         raise GraphError("a root is needed")
@@ -135,8 +143,7 @@ def shortest_paths(g: Graph, root, *, weight=None, relaxer: str = "shortest", ta
                 raise NegativeCycleError("a negative cycle is within reach of the root")
     if target is not None:
         g.require(target)
-        limit = found.where(F.col("id") == F.lit(target)).select(F.col("distance").alias("_limit"))
-        found = found.join(F.broadcast(limit), F.col("distance") <= F.col("_limit")).drop("_limit")  # one row
+        found = _no_farther(found, target)
     return found if small else _with_parents(g, arcs, found, relaxer)
 
 
@@ -191,12 +198,11 @@ def _from(x: kernel.Local, s: int, done: set[int]) -> dict[int, float]:
 
 
 def a_star(g: Graph, root, *, weight=None, heuristic=None, target=None, local_edges: int | None = None) -> DataFrame:
-    """As shortest_paths; ``heuristic`` is a Column over the vertices, an estimate of what lies between each and the target.
+    """As shortest_paths, row by row; ``heuristic`` is a Column over the vertices, an estimate of what lies between each and the target.
 
-    Vertices are settled by distance plus estimate and reopened when a shorter way to one is found; with a target the
-    search ends when that is settled, and only what was settled until then is returned. So an estimate that is too high
-    can give a longer way to the target, as such a search does. Graphs beyond the bound of one task, and a search without
-    an estimate, are solved as shortest_paths does, whose distances no estimate makes worse.
+    In one task vertices are taken by distance plus estimate and opened again when a shorter way to one is found, until
+    none is open; so an estimate that is too high costs time and no way is missed. Graphs beyond the bound of one task,
+    and a search without an estimate, are solved by shortest_paths.
     """
     if heuristic is None or not fits_one_task(g.edges, local_edges):
         return shortest_paths(g, root, weight=weight, target=target, local_edges=local_edges)
@@ -204,10 +210,10 @@ def a_star(g: Graph, root, *, weight=None, heuristic=None, target=None, local_ed
     guided = Graph(g.vertices.withColumn("value", heuristic.cast("double")), _weighted(g, weight).edges, g.directed)
 
     def solve(x: kernel.Local):
-        for v, (d, h, k) in shortest.a_star(x, root, target).items():
+        for v, (d, h, k) in shortest.a_star(x, root).items():
             yield x.ids[v], d, h, None if k is None else x.ids[x.other(k, v)], None if k is None else x.edge_id[k]
 
-    return kernel.run(guided, solve, ROWS)
+    return _no_farther(kernel.run(guided, solve, ROWS), target)
 
 
 def best_first(g: Graph, root, target, *, weight=None) -> DataFrame:

@@ -117,8 +117,15 @@ def test_a_star(spark):
     ways = lambda h, target="t": values(paths.a_star(g, "s", weight=F.col("weight"), heuristic=h, target=target))
     assert ways(F.lit(0.0))["t"] == 5 and "far" not in ways(F.lit(0.0))
     assert ways(F.when(F.col("id") == "t", 0.0).when(F.col("id") == "b", 3.0).otherwise(4.0))["t"] == 5
-    # an estimate that is too high hides the better way until the target is settled
-    assert ways(F.when(F.col("id") == "b", 100.0).otherwise(0.0))["t"] == 6
+    # whatever the estimate, consistent or not or too high, and whatever the size: the rows of shortest_paths
+    golden = graph(spark, [("s", "a", 3), ("s", "b", 1), ("b", "a", 1), ("a", "t", 1), ("t", "far", 1), ("far", "s", 0)])
+    small = graph(spark, [(0, 1, 1), (1, 2, 1), (0, 2, 5), (2, 3, 1)])
+    for x, root, target in ((golden, "s", "t"), (small, 0, 2)):
+        for h in (F.lit(0.0), F.when(F.col("id").cast("string").isin("b", "1"), 9.0).otherwise(0.0), F.hash("id").cast("double")):
+            want = sorted(paths.shortest_paths(x, root, weight=F.col("weight"), target=target).collect())
+            for local in (None, 0):
+                assert sorted(paths.a_star(x, root, weight=F.col("weight"), heuristic=h, target=target, local_edges=local).collect()) == want
+    assert {r["id"]: r["distance"] for r in paths.a_star(small, 0, weight=F.col("weight"), heuristic=F.when(F.col("id") == 1, 9.0).otherwise(0.0), target=2).collect()} == {0: 0, 1: 1, 2: 2}
     assert ways(F.lit(0.0), None) == {"s": 0, "a": 1, "b": 2, "t": 5, "far": 6}
     with pytest.raises(NegativeWeightError):
         paths.a_star(graph(spark, [(0, 1, -1)]), 0, weight=F.col("weight"), heuristic=F.lit(0.0))
