@@ -15,7 +15,11 @@ from ..errors import GraphError, GraphTooLargeError
 from ..graph import Graph
 from ..kernels import optimise, search, walks
 from ..kernels.run import Local, run
+from ..plans.iterate import fits_one_task
+from .flow import push_relabel
 
+#: Edges up to which augmenting paths in one task are quicker than supersteps.
+FLOW_LOCAL_EDGES = 20_000
 MAX_TOUR, MAX_HAMILTON, MAX_CLIQUE_VERTICES, MAX_BISECT = 16, 400, 5000, 3000
 
 
@@ -50,10 +54,16 @@ def tree_leaves(trace: DataFrame) -> DataFrame:
     return trace.join(trace.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti").select("id")
 
 
-def max_flow(g: Graph, source, sink, *, capacity=None, by: str | None = None) -> DataFrame:
-    """(edge_id, flow, residual, in_cut)."""
+def max_flow(g: Graph, source, sink, *, capacity=None, by: str | None = None, local_edges: int = FLOW_LOCAL_EDGES) -> DataFrame:
+    """(edge_id, flow, residual, in_cut): a largest flow, and the edges of the least cut next to the source.
+
+    Graphs beyond ``local_edges`` edges are solved by pushing and relabelling in supersteps. Value and cut are the same
+    either way; which of several largest flows is found is not.
+    """
     g.require(source, sink)
     c = g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if capacity is None else capacity).cast("double")))
+    if by is None and not fits_one_task(c.edges, local_edges):
+        return push_relabel(c, source, sink)
     return run(c, lambda x: optimise.max_flow(x, source, sink), "edge_id {edge}, flow double, residual double, in_cut boolean", by=by)
 
 
