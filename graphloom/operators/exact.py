@@ -16,6 +16,7 @@ from ..graph import Graph
 from ..kernels import optimise, search, walks
 from ..kernels.run import Local, run
 from ..plans.iterate import fits_one_task
+from .cliques import peeled_cliques
 from .flow import push_relabel
 
 #: Edges up to which augmenting paths in one task are quicker than supersteps.
@@ -149,11 +150,16 @@ def euler_trails(g: Graph, *, by: str | None = None) -> DataFrame:
     return run(g, lambda x: [(t, i, x.edge_id[k]) for t, p in enumerate(optimise.trails(x)) for i, k in enumerate(p)], "trail int, position long, edge_id {edge}", by=by)
 
 
-def maximal_cliques(g: Graph, *, by: str | None = None) -> DataFrame:
-    """(clique): all maximal cliques of the simple undirected graph, members in order."""
+def maximal_cliques(g: Graph, *, by: str | None = None, local_vertices: int = MAX_CLIQUE_VERTICES) -> DataFrame:
+    """(clique): all maximal cliques of the simple undirected graph, members in order.
+
+    A graph of more than ``local_vertices`` vertices is peeled and solved vertex by vertex.
+    """
+    if by is None and g.vertices.limit(local_vertices + 1).count() > local_vertices:
+        return peeled_cliques(g)
 
     def solve(x: Local):
-        _guard(x, MAX_CLIQUE_VERTICES, "clique search")
+        _guard(x, MAX_CLIQUE_VERTICES, "clique search of one of many graphs")
         for c in optimise.maximal_cliques(x):
             yield ([x.ids[v] for v in c],)
 

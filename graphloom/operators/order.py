@@ -135,10 +135,36 @@ def common_ancestors(g: Graph, root, pairs: DataFrame) -> DataFrame:
     else:
         found = kernel.run(g, lambda x: search.rows(x, search.dfs(x, root)[0]), search.ROWS)
         below = g.with_edges(found.where("parent is not null").select(F.col("pred_edge_id").alias("edge_id"), F.col("order_no").alias("ord"), F.col("parent").alias("src"), F.col("id").alias("dst")))
-    depth = cut(found.select("id", "depth"), "depth")
-    up = _reach(below).select(F.col("dst").alias("v"), F.col("src").alias("a")).union(depth.select(F.col("id").alias("v"), F.col("id").alias("a")))
-    up = cut(up.join(depth, F.col("a") == F.col("id")).select("v", "a", "depth"), "ancestors")
-    left = pairs.join(up, F.col("source") == F.col("v")).select("source", "target", "a", "depth")
-    right = up.select(F.col("v").alias("w"), F.col("a").alias("b"))
-    met = left.join(right, (F.col("target") == F.col("w")) & (F.col("a") == F.col("b"))).groupBy("source", "target").agg(F.max_by("a", "depth").alias("ancestor"))
-    return pairs.join(met, ["source", "target"], "left").select("source", "target", "ancestor")
+    up = below.edges.join(found.select(F.col("id").alias("_r")), F.col("src") == F.col("_r"), "left_semi").groupBy(F.col("dst").alias("v")).agg(F.first("src").alias("up"))
+    return _lifted(up, Stored(found.select("id", "depth"), "depth").df, pairs)
+
+
+def _lifted(parent: DataFrame, depth: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Deepest common ancestors by tables of the ancestors 1, 2, 4, ... steps up: a join a table for each pair, up and down.
+
+    No table holds more than one ancestor a vertex.
+    """
+    most = depth.agg(F.max("depth")).first()[0] or 0
+    tables = [Stored(parent.select("v", "up"), "up")]
+    while 2 ** len(tables) <= most:
+        last = tables[-1].df
+        tables.append(Stored(last.join(last.select(F.col("v").alias("m"), F.col("up").alias("top")), F.col("up") == F.col("m")).select("v", F.col("top").alias("up")), "up"))
+    a, b = (depth.select(F.col("id").alias(f"{x}_i"), F.col("depth").alias(f"{x}_d")) for x in "ab")
+    known = pairs.select("source", "target").distinct().join(a, F.col("source") == F.col("a_i")).join(b, F.col("target") == F.col("b_i"))
+    deep = F.col("a_d") >= F.col("b_d")
+    now = known.select("source", "target", F.when(deep, F.col("source")).otherwise(F.col("target")).alias("x"), F.when(deep, F.col("target")).otherwise(F.col("source")).alias("y"), F.abs(F.col("a_d") - F.col("b_d")).alias("gap"))
+    now = Stored(now, "pairs")
+    jump = lambda k, of: tables[k].df.select(F.col("v").alias(f"v_{of}"), F.col("up").alias(f"up_{of}"))
+    for k in reversed(range(len(tables))):  # the deeper end comes up to the other's depth
+        goes = F.col("gap").bitwiseAND(1 << k) > 0
+        met = now.df.join(jump(k, "x"), (F.col("x") == F.col("v_x")) & goes, "left")
+        now = replaced(now, met.select("source", "target", F.coalesce("up_x", "x").alias("x"), "y", "gap"), "pairs")
+    for k in reversed(range(len(tables))):  # both come up as long as they stay apart
+        met = now.df.join(jump(k, "x"), F.col("x") == F.col("v_x"), "left").join(jump(k, "y"), F.col("y") == F.col("v_y"), "left")
+        apart = F.col("up_x").isNotNull() & F.col("up_y").isNotNull() & (F.col("up_x") != F.col("up_y")) & (F.col("x") != F.col("y"))
+        now = replaced(now, met.select("source", "target", F.when(apart, F.col("up_x")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("up_y")).otherwise(F.col("y")).alias("y"), "gap"), "pairs")
+    met = now.df.join(jump(0, "x"), (F.col("x") == F.col("v_x")) & (F.col("x") != F.col("y")), "left")
+    found = Stored(pairs.join(met.select("source", "target", F.coalesce("up_x", "x").alias("ancestor")), ["source", "target"], "left").select("source", "target", "ancestor"), "ancestors").df
+    for table in (now, *tables):
+        table.drop()
+    return found
