@@ -253,6 +253,9 @@ class Join:
         sets = held.join(least, F.col("name_") == F.col("name")).select(F.monotonically_increasing_id().alias("node"), "name", "rep", "n", "prefix")
         self.sets = Stored(sets, "sets")
         self.buckets = self._buckets(frequent)
+        # prefixes have done their work
+        self.rows = replaced(self.rows, self.rows.df.drop("prefix"), "rows")
+        self.sets = replaced(self.sets, self.sets.df.drop("prefix"), "named-sets")
 
     def _buckets(self, frequent: int) -> Stored:
         """(key, node, n, room, index) for the keys of two sets at least, one of them by its index prefix."""
@@ -263,7 +266,15 @@ class Join:
         busy = keyed.df.groupBy("key").agg(F.count("*").alias("c"), F.max("index").alias("any")).where("c > 1 and any").select(F.col("key").alias("k"))
         buckets = Stored(keyed.df.join(busy, F.col("key") == F.col("k")).drop("k"), "buckets")
         keyed.drop()
-        return buckets
+        # what has no partner that is near in size and leaves room enough meets nobody: each row as a probe key, or as an index key
+        small, large = (x.select(F.col("key").alias("k"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "room"))) for x in (buckets.df.where("index"), buckets.df))
+        of = lambda less, more: (F.col("key") == F.col("k")) & (F.col("node") != F.col("o_node")) & self._may(F.col(less), F.col(more))
+        met = buckets.df.join(small, of("o_n", "n"), "left_semi").union(buckets.df.where("index").join(large, of("n", "o_n"), "left_semi"))
+        return replaced(buckets, met.distinct(), "buckets")
+
+    def _may(self, less, more):
+        """Whether a set of ``less`` tokens and one of ``more``, no smaller, can be linked by a key with such room."""
+        return (less <= more) & self.close(less, more) & ((100 + self.percent) * F.least("room", "o_room") >= self.percent * (less + more))
 
     def full_sets(self) -> Stored:
         """(node, set) of the sets in a bucket. A sieve on ids keeps other texts from being read in whole and dealt."""
@@ -278,8 +289,8 @@ class Join:
         made = self.rows_in.where("id is not null").select("id", "t", F.xxhash64("id").alias("h"))
         fields = [("id", kind), ("name_", T.BinaryType()), ("set", T.ArrayType(T.LongType()))]
         made = made.mapInArrow(_full_sets(self.size, sieve), T.StructType([T.StructField(*f) for f in fields]))
-        # rows that repeat a key: those of other texts go here, those of the same text below
-        found = made.join(wanted.df, (F.col("id") == F.col("rep")) & (F.col("name_") == F.col("name"))).groupBy("node").agg(F.first("set").alias("set"))
+        # rows that repeat a key: those of other texts go here, those of the same text where they are
+        found = made.join(wanted.df, (F.col("id") == F.col("rep")) & (F.col("name_") == F.col("name"))).groupBy("id", "name_").agg(F.first("node").alias("node"), F.first("set").alias("set")).select("node", "set")
         stored = Stored(found, "full-sets")
         sieve.destroy()
         wanted.drop()
@@ -300,12 +311,11 @@ class Join:
         With labels only pairs of different ones. Joined by key; a hot key's side is split by the join as any skew is.
         """
         more = ["label"] if labelled else []
-        small = buckets.where("index").select(F.col("key").alias("k"), *(F.col(c).alias(f"i_{c}") for c in ("node", "n", "room", *more)))
-        ok = (F.col("key") == F.col("k")) & (F.col("i_node") != F.col("node")) & (F.col("i_n") <= F.col("n")) & self.close(F.col("i_n"), F.col("n"))
-        ok = ok & ((100 + self.percent) * F.least("i_room", "room") >= self.percent * (F.col("i_n") + F.col("n")))
+        small = buckets.where("index").select(F.col("key").alias("k"), *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "room", *more)))
+        ok = (F.col("key") == F.col("k")) & (F.col("o_node") != F.col("node")) & self._may(F.col("o_n"), F.col("n"))
         if labelled:
-            ok = ok & (F.col("i_label") != F.col("label"))
-        return buckets.join(small, ok).select(F.least("node", "i_node").alias("a"), F.greatest("node", "i_node").alias("b")).distinct()
+            ok = ok & (F.col("o_label") != F.col("label"))
+        return buckets.join(small, ok).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
