@@ -492,7 +492,7 @@ def classify(
 
     Trusted are the documents labelled of quality 1 and not toxic. A class is a language (null being one) and the
     binary order of magnitude of the number of words; one with fewer than ``LEAST`` trusted documents takes the
-    limit of its length, then of its language, then of all. kept: perplexity is at most ``threshold``, the quantile of
+    limit of its language, then of its length, then of all. kept: perplexity is at most ``threshold``, the quantile of
     held-out trusted documents, and repeats, the share of bigrams met before in the document, at most ``most_repeats``,
     that of all trusted documents. A null, empty or blank text has no words, perplexity null, and is not kept. Without
     trusted documents there are no limits and every document with words is kept. Rows that repeat a key are judged
@@ -510,7 +510,7 @@ def classify(
     trusted = judged.join(good.hint("merge"), F.col("id") == F.col("g"), "left").withColumn("role", F.when(F.col("g").isNull(), 0).when(held, 2).otherwise(1))
     judged = Stored(trusted.select("id", "lang", "n", "loss", "repeats", "role"), "losses").df
     judged = with_limit(judged, judged.where("role = 2 and n > 0"), "loss", quantile, LEAST, "limit")
-    judged = with_limit(judged, judged.where("role > 0 and n > 0"), "repeats", quantile, LEAST, "most")
+    judged = with_limit(judged, judged.where("role > 0 and n > 0"), "repeats", quantile, LEAST, "most", tail=False)
     within = lambda x, most: F.coalesce(units(x) <= units(most), F.lit(True))
     return judged.select(
         F.col("id").alias(key), F.col("n").alias("n_words"), F.round(F.exp("loss"), 6).alias("perplexity"), F.round(F.exp("limit"), 6).alias("threshold"),

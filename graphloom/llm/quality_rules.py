@@ -3,14 +3,15 @@
 Words and word pairs are hashed to 2 ** ``bits`` buckets each (a parameter; few buckets average the weight of rare
 words away); the raw multinomial counts every document, the target
 one every document labelled of quality 1 and not toxic but a held-out tenth. A document's score is the mean of
-log(target / raw) over its n-grams, and its worst word's is told beside it: a few words that the corpus has and the
-target never has do not move a mean. It is kept when both reach a low quantile of the held-out documents of like language
+log(target / raw) over its n-grams, so normalised by length, and beside it the mean over the worst ``worst_share`` of its
+words: a few words that the corpus has and the target never has do not move the whole mean. It is kept when both reach a low quantile of the held-out documents of like language
 and length. Counts travel as packed runs of ``PART`` buckets; the weights, one number a bucket, go to every
 worker.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ BUCKET_BITS = 20  # up to 32
 PART, BLOCK_GRAMS = 4096, 1_000_000
 ALPHA, QUANTILE, LEAST = 1.0, 0.002, 30
 MIN_WORDS, MOST_REPEATED = 50, 50
+WORST_SHARE = 0.05
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHARS = np.array([not (b == 32 or 9 <= b <= 13 or b & 0xC0 == 0x80) for b in range(256)], np.int64)
 _SYMBOLS = np.array([chr(b) in "#*$%&|<>" for b in range(256)], np.int64)
@@ -115,7 +117,13 @@ def _by_text(table: np.ndarray, joined: np.ndarray, starts: np.ndarray, sizes: n
 RESULT = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "score": T.DoubleType(), "worst": T.DoubleType()}
 
 
-def _measure(weights, bits: int):
+def _worst(ratios: np.ndarray, share: float) -> float:
+    """The mean ratio of the worst share of a text's words, one at least."""
+    k = max(1, math.ceil(len(ratios) * share))
+    return float(np.partition(ratios, k - 1)[:k].mean())
+
+
+def _measure(weights, bits: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, weight = WordHashes(), weights.value
         for batch in batches:
@@ -132,7 +140,7 @@ def _measure(weights, bits: int):
                     lines = [x for x in t.split(b"\n") if x.strip()]
                     dups.append(len(lines) - len(set(lines)))
                 ratios = [weight[_grams(_short(h), bits)] for h in hashed]
-                score, worst = [float(r.mean()) if len(r) else None for r in ratios], [float(r[:n].min()) if n else None for r, n in zip(ratios, lengths)]
+                score, worst = [float(r.mean()) if len(r) else None for r in ratios], [_worst(r[:n], share) if n else None for r, n in zip(ratios, lengths)]
                 columns = [
                     part.column(0), part.column(2), pa.array(lengths),
                     pa.array(_by_text(_CHARS, joined, starts, sizes)), pa.array(_by_text(_SYMBOLS, joined, starts, sizes)), pa.array(dups, pa.int64()),
@@ -145,7 +153,7 @@ def _measure(weights, bits: int):
 
 def apply_rules(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED,
-    bits: int = BUCKET_BITS,
+    bits: int = BUCKET_BITS, worst_share: float = WORST_SHARE,
 ) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, threshold, worst, worst_threshold, base_failed, kept), a row a row.
 
@@ -170,11 +178,11 @@ def apply_rules(
         logs.append(np.log(c) - np.log(np.repeat([c[:half].sum(), c[half:].sum()], half)))
     weights = spark.sparkContext.broadcast(logs[0] - logs[1])
     measured = T.StructType([T.StructField("id", kind), T.StructField("lang", lang_kind), *(T.StructField(k, t) for k, t in RESULT.items())])
-    judged = Stored(rows.mapInArrow(_measure(weights, bits), measured), "measures").df.withColumn("n", F.col("n_words")).withColumns({"loss": -F.col("score"), "flaw": -F.col("worst")})
+    judged = Stored(rows.mapInArrow(_measure(weights, bits, worst_share), measured), "measures").df.withColumn("n", F.col("n_words")).withColumns({"loss": -F.col("score"), "flaw": -F.col("worst")})
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     seen = judged.where(~base).join(good.where(held).hint("merge"), F.col("id") == F.col("g"), "left_semi")
     judged = with_limit(judged, seen, "loss", 1 - quantile, LEAST, "limit")
-    judged = with_limit(judged, seen, "flaw", 1 - quantile, int(1 / quantile), "most")  # one word's ratio hangs little on the class
+    judged = with_limit(judged, seen, "flaw", 1 - quantile, LEAST, "most")
     verdict = F.coalesce(units("loss") <= units("limit"), F.lit(True)) & F.coalesce(units("flaw") <= units("most"), F.lit(True))
     return judged.select(
         F.col("id").alias(key), *(c for c in RESULT if c not in ("score", "worst")), F.round("score", 9).alias("score"), F.round(-F.col("limit"), 9).alias("threshold"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import quality_lm as lm
-from graphloom.llm.thresholds import STEPS
+from graphloom.llm.thresholds import STEPS, with_limit
 from graphloom.llm.trusted import held_out
 
 
@@ -72,16 +72,19 @@ def test_all_trusted_words_are_known(spark):
         assert abs(r["nats"] - score(texts[r["id"]])) < 1e-3 * (1 + r["n"]), r
 
 
-def limits(of, seen, n, lang, quantile, least):
+def limits(of, seen, n, lang, quantile, least, tail=True):
     """For each document the limit, in steps, of its class among the seen ones, by sorting."""
     size = lambda i: int(math.log2(n[i] + 1))
     out = {}
     for i in of:
-        for like in (lambda j: (size(j), lang[j]), size, lambda j: lang[j], lambda j: 0):
+        for like in (lambda j: (size(j), lang[j]), lambda j: lang[j], size, lambda j: 0):
             some = sorted(round(of[j] * STEPS) for j in seen if j in of and like(j) == like(i))
-            if len(some) >= least:
+            if len(some) >= (least if tail else max(least, math.ceil(1 / (1 - quantile) - 1e-9))):
                 break
-        out[i] = some[math.ceil(len(some) * quantile) - 1] if some else None
+        at = lambda q: some[math.ceil(len(some) * q) - 1]
+        out[i] = at(quantile) if some else None
+        if some and tail and quantile > 0.9 and len(some) * (1 - quantile) < 1 - 1e-9:  # too few for the quantile
+            out[i] = math.floor(at(0.9) + (at(0.9) - at(0.5)) * math.log(0.1 / (1 - quantile)) / math.log(5))
     return out
 
 
@@ -98,7 +101,7 @@ def test_verdicts_are_those_of_plain_quantiles(spark, quantile):
     score = plain([texts[i] for i in sorted(good - held)])
     n = [len(t.split()) for t in texts]
     loss, again = ({i: f(t) for i, t in enumerate(texts)} for f in (lambda t: -score(t) / (len(t.split()) + 1), repeats))
-    most, worst = limits(loss, held, n, lang, quantile, lm.LEAST), limits(again, good, n, lang, quantile, lm.LEAST)
+    most, worst = limits(loss, held, n, lang, quantile, lm.LEAST), limits(again, good, n, lang, quantile, lm.LEAST, False)
     got = {r["doc_id"]: r for r in lm.classify(docs.repartition(4), labels, quantile=quantile).collect()}
     assert len(got) == len(texts)
     differ = 0
@@ -126,3 +129,14 @@ def test_classes_and_awkward_rows(spark):
     assert lm.classify(docs.limit(0), labels).count() == 0
     free = lm.classify(docs, labels.limit(0)).where("n_words > 0")
     assert free.where(F.expr("not kept or threshold is not null")).count() == 0
+
+
+def test_languages_of_like_length_have_limits_of_their_own(spark):
+    """German here is spread more than English; each is held against its own, and one odd document makes no limit."""
+    rng = random.Random(2)
+    rows = [(i, "en" if i % 2 else "de", 100, 1.0 + rng.random() * (0.1 if i % 2 else 2.0)) for i in range(160)] + [(160, "en", 100, 9.0), (161, "fr", 7, 1.05)]
+    df = spark.createDataFrame(rows, "id long, lang string, n long, loss double").repartition(3)
+    got = {r["id"]: r["m"] for r in with_limit(df, df.where("lang <> 'fr'"), "loss", 0.998, 30, "m").collect()}
+    want = limits({r[0]: r[3] for r in rows}, range(161), [r[2] for r in rows], [r[1] for r in rows], 0.998, 30)
+    assert all(abs(got[i] * STEPS - want[i]) < 1e-6 for i in got)
+    assert got[1] < 1.3 < 3 < got[0] < 9 and got[161] < 9 and len({got[i] for i in (0, 1, 161)}) == 3

@@ -72,7 +72,7 @@ def test_quality(spark, awkward, docs):
     n = {i: sum(len(t.split()) for t in ts) for i, ts in texts.items()}
     loss = {i: -sum(map(score, ts)) / (n[i] + 1) for i, ts in texts.items() if n[i]}
     again = {i: 1 - sum(round((1 - repeats(t)) * (len(t.split()) + 1)) for t in ts) / (n[i] + 1) for i, ts in texts.items() if n[i]}
-    most, worst = limits(loss, held, n, lang, QUANTILE, LEAST), limits(again, good, n, lang, QUANTILE, LEAST)
+    most, worst = limits(loss, held, n, lang, QUANTILE, LEAST), limits(again, good, n, lang, QUANTILE, LEAST, False)
     got = stage("quality_classifier")(spark, docs, folder)
     assert got.columns == docs.columns
     kept, before = _rows(got), _rows(docs)
