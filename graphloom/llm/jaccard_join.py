@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 4, 85
 #: Bits of the table of counts: 2 ** 24 counts, of which a byte each reaches the tasks, whatever the input.
 ORDER_BITS = 24
 #: A token in the prefixes of more sets than this is frequent; the sieve of sets to verify has so many bits.
-FREQUENT, SIEVE_BITS, PIVOT_ROUNDS, SEEN = 16, 24, 2, 100_000
+FREQUENT, SIEVE_BITS, PIVOT_ROUNDS, SEEN = 16, 24, 1, 100_000
 _BLOCK = 16
 _STEP, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
