@@ -32,7 +32,9 @@ SHINGLE, PERCENT = 4, 85
 #: Bits of the table of counts: 2 ** 24 counts, of which a byte each reaches the tasks, whatever the input.
 ORDER_BITS = 24
 #: A token in the prefixes of more sets than this is frequent; the sieve of sets to verify has so many bits.
-FREQUENT, SIEVE_BITS, PIVOT_ROUNDS, SEEN = 16, 24, 1, 100_000
+FREQUENT, SIEVE_BITS, PIVOT_ROUNDS = 16, 24, 1
+#: What a task remembers: words with their hashes, and names of sets.
+KNOWN_WORDS, SEEN = 300_000, 100_000
 _BLOCK = 16
 _STEP, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -110,7 +112,7 @@ def name_of(s: np.ndarray) -> bytes:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], size: int, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = WordHashes()
+    hashes = WordHashes(KNOWN_WORDS)
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
@@ -301,6 +303,9 @@ class Join:
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose full sets are similar enough, with ``common`` and ``both``."""
+        # few pairs are sent to the sets; for many, the sets are dealt by node, as the next join wants them
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+        sets = sets.join(asked, F.col("node") == F.col("asked"), "left_semi")
         left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return met.where(100 * F.col("common") >= self.percent * (F.col("both") - F.col("common")))
