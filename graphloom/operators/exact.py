@@ -18,6 +18,7 @@ from ..kernels.run import Local, run
 from ..plans.iterate import fits_one_task
 from .cliques import peeled_cliques
 from .flow import push_relabel
+from .tours import cheapest_tour
 
 #: Edges up to which augmenting paths in one task are quicker than supersteps.
 FLOW_LOCAL_EDGES = 20_000
@@ -113,12 +114,17 @@ def cut_cost(g: Graph, sides: DataFrame) -> DataFrame:
     return g.edges.join(a, F.col("src") == F.col("_i")).join(b, F.col("dst") == F.col("_j")).where("_a <> _b").agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("cut"))
 
 
-def best_tour(g: Graph, *, weight=None, by: str | None = None) -> DataFrame:
-    """(cost, path): one row; cost is infinite and path null where no tour is."""
+def best_tour(g: Graph, *, weight=None, by: str | None = None, local_vertices: int = MAX_TOUR) -> DataFrame:
+    """(cost, path): one row; cost is infinite and path null where no tour is.
+
+    A graph of more than ``local_vertices`` vertices is searched by branch and bound over a stored frontier.
+    """
     w = g.with_edges(g.edges.withColumn("weight", (F.lit(1.0) if weight is None else weight).cast("double")))
+    if by is None and g.vertices.limit(local_vertices + 1).count() > local_vertices or local_vertices == 0:
+        return cheapest_tour(w)
 
     def solve(x: Local):
-        _guard(x, MAX_TOUR, "a tour")
+        _guard(x, MAX_TOUR, "a tour of one of many graphs")
         cost, path = optimise.best_tour(x)
         yield cost, None if path is None else [x.edge_id[k] for k in path]
 

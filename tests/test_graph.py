@@ -290,8 +290,7 @@ def test_tours_cliques_bisection(spark):
     assert exact.is_hamiltonian(ring).first()[0] and not exact.is_hamiltonian(graph(spark, [(0, 1), (1, 2)])).first()[0]
     with pytest.raises(GraphTooLargeError):
         run(ring, lambda x: [], "n int", max_vertices=3)
-    with pytest.raises(Exception, match="GraphTooLarge|bounded"):
-        exact.best_tour(graph(spark, [(i, i + 1) for i in range(30)])).collect()
+    assert math.isinf(exact.best_tour(graph(spark, [(i, i + 1) for i in range(30)])).first()["cost"])
 
 
 def test_traces(spark):
