@@ -96,6 +96,28 @@ def assign(costs: DataFrame, *, by: str = "problem_id") -> DataFrame:
     return costs.select(by, "agent", "task", "cost").groupBy(by).applyInPandas(solve, schema)
 
 
+def assign_steps(costs: DataFrame, *, by: str = "problem_id") -> DataFrame:
+    """(by, no, step, starred, primed, covered_agents, covered_tasks): how the covering method comes to each assignment, a row a step.
+
+    step is the number of what was done (``optimise.ASSIGNMENT_STEPS``); starred at the last one, ``end``, is a cheapest
+    assignment of (agent, task).
+    """
+    pair = "array<struct<agent: int, task: int>>"
+    schema = f"{by} {costs.schema[by].dataType.simpleString()}, no int, step int, starred {pair}, primed {pair}, covered_agents array<int>, covered_tasks array<int>"
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.pivot(index="agent", columns="task", values="cost").sort_index().sort_index(axis=1)
+        agents, tasks = table.index.tolist(), table.columns.tolist()
+        named = lambda at: [{"agent": int(agents[i]), "task": int(tasks[j])} for i, j in at]
+        out = [
+            (key[0], no, step, named(star), named(prime), [int(agents[i]) for i in down], [int(tasks[j]) for j in across])
+            for no, (step, star, prime, down, across, _) in enumerate(optimise.assignment_steps(table.to_numpy(dtype=float).tolist()))
+        ]
+        return pd.DataFrame(out, columns=[by, "no", "step", "starred", "primed", "covered_agents", "covered_tasks"])
+
+    return costs.select(by, "agent", "task", "cost").groupBy(by).applyInPandas(solve, schema)
+
+
 def bisect(g: Graph, *, rounds: int = 10, by: str | None = None) -> DataFrame:
     """(id, side, cut): side 0 or 1, cut the weight between them (``weight`` or 1 an edge)."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NonAcyclicGraphError
@@ -113,6 +113,20 @@ def transitive_closure(g: Graph) -> DataFrame:
     return _reach(g)
 
 
+def closure_graph(g: Graph, *, edge_id: Column | None = None) -> Graph:
+    """The acyclic graph with all its own edges, parallel ones and attributes included, and one more for each pair that only longer walks join.
+
+    New edges have no attributes; their ``edge_id`` and ``ord`` are made of ``src`` and ``dst`` (a hash of them by default)
+    and cast to the types of the others.
+    """
+    pair = g.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    new = transitive_closure(g).join(pair, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_anti")
+    made = F.xxhash64("src", "dst") if edge_id is None else edge_id
+    kinds = g.edges.schema
+    more = new.select(made.cast(kinds["edge_id"].dataType).alias("edge_id"), made.cast(kinds["ord"].dataType).alias("ord"), "src", "dst")
+    return g.with_edges(g.edges.unionByName(more, allowMissingColumns=True))
+
+
 def transitive_reduction(g: Graph) -> DataFrame:
     """The edges whose pair no longer walk joins; parallel copies of a needed edge stay."""
     far = transitive_closure(g)

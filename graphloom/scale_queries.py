@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .operators import euler, exact, paths, trees
+from .operators import euler, exact, order, paths, trees
 from .operators.cliques import peeled_cliques
 from .operators.flow import push_relabel
 from .plans.durable import cut
-from .queries import GEO, SESSION, SUPPLY, T3
+from .queries import DAG, GEO, SESSION, SUPPLY, T3, TRADE
 from .sources.star import Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,29 @@ def _(s):
     return peeled_cliques(s.knn()).select(F.array_join("clique", ",").alias("clique"))
 
 
+@_query("closure_edges", f"WITH RECURSIVE {DAG}, w AS (SELECT src, dst FROM dag UNION SELECT w.src, dag.dst FROM w JOIN dag ON w.dst = dag.src) SELECT src, dst, n % 2 AS copy, n FROM dag UNION ALL SELECT src, dst, 1 - n % 2, n FROM dag UNION ALL SELECT src, dst, NULL, NULL FROM (FROM w EXCEPT SELECT src, dst FROM dag)")
+def _(s):
+    """Every edge twice, with its weight, and one edge more for each pair that only longer walks join."""
+    g = s.trade3_dag()
+    twice = g.edges.withColumn("copy", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return order.closure_graph(g.with_edges(twice)).edges.select("src", "dst", "copy", "n")
+
+
+@_query("assignment_ends", f"WITH {TRADE}, c AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_nationkey AS k FROM nation), m AS (SELECT a.r, a.i, b.i AS j, coalesce(n, 0) AS n FROM c a JOIN c b ON a.r = b.r LEFT JOIN trade ON src = a.k AND dst = b.k), p AS (SELECT a.r, a.n + b.n + d.n + e.n + f.n AS cost FROM m a JOIN m b ON a.r = b.r AND a.i = 0 AND b.i = 1 AND b.j <> a.j JOIN m d ON d.r = a.r AND d.i = 2 AND d.j NOT IN (a.j, b.j) JOIN m e ON e.r = a.r AND e.i = 3 AND e.j NOT IN (a.j, b.j, d.j) JOIN m f ON f.r = a.r AND f.i = 4 AND f.j NOT IN (a.j, b.j, d.j, e.j)) SELECT r AS problem_id, 5 AS step, 5 AS chosen, min(cost)::DOUBLE AS cost FROM p GROUP BY r")
+def _(s):
+    """Each region's trade among its five nations: the last step of the covering method, and what its choice costs."""
+    from pyspark.sql import Window as W
+
+    n = s.table("nation").select(F.col("n_regionkey").cast("long").alias("r"), F.col("n_nationkey").cast("long").alias("k"), (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("i"))
+    pairs = n.join(n.select(F.col("r").alias("r2"), F.col("k").alias("k2"), F.col("i").alias("j")), F.col("r") == F.col("r2"))  # 25 a region
+    trade = s.trade().edges.select("src", "dst", "n")
+    costs = cut(pairs.join(trade, (F.col("k") == F.col("src")) & (F.col("k2") == F.col("dst")), "left").select(F.col("r").alias("problem_id"), F.col("i").alias("agent"), F.col("j").alias("task"), F.coalesce("n", F.lit(0)).cast("double").alias("cost")), "costs")
+    last = exact.assign_steps(costs).groupBy("problem_id").agg(F.max_by(F.struct("step", "starred"), "no").alias("x"))
+    chosen = last.select(F.col("problem_id").alias("p"), "x.step", F.explode("x.starred").alias("c"))
+    met = chosen.join(costs, (F.col("p") == F.col("problem_id")) & (F.col("c.agent") == F.col("agent")) & (F.col("c.task") == F.col("task")))
+    return met.groupBy("problem_id", "step").agg(F.count("*").alias("chosen"), F.sum("cost").alias("cost"))
+
+
 # ---- what earlier forms left out --------------------------------------------------------------------------------
 
 
