@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .graph import Graph
 from .operators import euler, exact, order, paths, trees
 from .operators.cliques import peeled_cliques
+from .operators.factories import Transitions
 from .operators.flow import push_relabel
 from .plans.durable import cut
 from .queries import DAG, GEO, SESSION, SUPPLY, T3, TRADE
@@ -127,6 +128,25 @@ def _(s):
     return met.groupBy("problem_id", "step").agg(F.count("*").alias("chosen"), F.sum("cost").alias("cost"))
 
 
+_HALVES = "WITH RECURSIVE w AS (SELECT p_partkey::BIGINT + 1 AS root, p_partkey::BIGINT + 1 AS id, 0 AS depth FROM part UNION ALL SELECT root, CASE WHEN id % 2 = 0 THEN id // 2 ELSE 3 * id + 1 END, depth + 1 FROM w WHERE id <> 1)"
+
+
+@_query("implicit_searches", f"{_HALVES} SELECT root, id, depth AS order_no, depth FROM w")
+def _(s):
+    """From one above every part's number along two transition factories, of which one applies, until 1 is met."""
+    made = Transitions(half=lambda v: [v // 2] if v % 2 == 0 else [], up=lambda v: [3 * v + 1] if v % 2 else [])
+    parts = s.table("part").select((F.col("p_partkey") + 1).cast("long").alias("id"))
+    return made.search(parts, until=lambda v: v == 1).select("root", "id", "order_no", "depth")
+
+
+@_query("factory_edges", "SELECT p_partkey::BIGINT AS src, p_partkey::BIGINT // 2 AS dst, 'half' AS factory FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_partkey + k, 'near' FROM part, (SELECT 1 AS k UNION ALL SELECT 2)")
+def _(s):
+    """What three factories, one of them taken out again, make of every part's number."""
+    made = Transitions(half=lambda v: [v // 2] if v % 2 == 0 else [], gone=lambda v: [0], near=lambda v: [v + 1, v + 2])
+    made.remove("gone")
+    return made.out_edges(s.table("part").select(F.col("p_partkey").cast("long").alias("id"))).select("src", "dst", "factory")
+
+
 # ---- what earlier forms left out --------------------------------------------------------------------------------
 
 
