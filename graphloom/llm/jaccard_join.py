@@ -200,7 +200,7 @@ def _prefixes(size: int, percent: int, bits: int, levels_of):
 
 
 def _full_sets(size: int, wanted):
-    """(id, name, set) of the rows whose id passes the sieve; the third column is a hash of the id."""
+    """(of, set): the names and sets of the rows whose id passes the sieve, a set once a task for those it remembers; the third column is a hash of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint64)
@@ -210,9 +210,14 @@ def _full_sets(size: int, wanted):
                 h = batch.column(2).to_numpy() & (len(bits) * 64 - 1)
                 yield batch.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
-        for part, sets in _sets_of(some(), size):
-            columns = [part.column(0), pa.array([name_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "name_", "set"])
+        seen: set[bytes] = set()
+        for _, sets in _sets_of(some(), size):
+            new = {}
+            for s in sets:
+                if len(s) and (name := name_of(s)) not in seen:
+                    new[name] = s
+            seen = seen | new.keys() if len(seen) < SEEN else set(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([s.view(np.int64) for s in new.values()], pa.list_(pa.int64()))], names=["of", "set"])
 
     return run
 
@@ -279,7 +284,7 @@ class Join:
         return (less <= more) & self.close(less, more) & ((100 + self.percent) * F.least("room", "o_room") >= self.percent * (less + more))
 
     def full_sets(self) -> Stored:
-        """(node, set) of the sets in a bucket. A sieve on ids keeps other texts from being read in whole and dealt."""
+        """(of, set): by name the sets in a bucket, perhaps some more and some from several tasks. A sieve on ids keeps other texts from being worked on."""
         members = self.buckets.df.select("node").distinct()
         wanted = Stored(self.sets.df.select("node", "name", "rep").join(members.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left_semi"), "wanted")
         bits = np.zeros((1 << SIEVE_BITS) // 64, np.int64)
@@ -287,12 +292,8 @@ class Join:
         for r in places.groupBy(F.shiftright("h", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect():  # bounded by the sieve's size
             bits[r["at"]] = r["bits"]
         sieve = self.spark.sparkContext.broadcast(bits.tobytes())
-        kind = self.rows_in.schema["id"].dataType
         made = self.rows_in.where("id is not null").select("id", "t", F.xxhash64("id").alias("h"))
-        fields = [("id", kind), ("name_", T.BinaryType()), ("set", T.ArrayType(T.LongType()))]
-        made = made.mapInArrow(_full_sets(self.size, sieve), T.StructType([T.StructField(*f) for f in fields]))
-        # rows that repeat a key: those of other texts go here, those of the same text where they are
-        found = made.join(wanted.df, (F.col("id") == F.col("rep")) & (F.col("name_") == F.col("name"))).groupBy("id", "name_").agg(F.first("node").alias("node"), F.first("set").alias("set")).select("node", "set")
+        found = made.mapInArrow(_full_sets(self.size, sieve), "of binary, set array<bigint>")
         stored = Stored(found, "full-sets")
         sieve.destroy()
         wanted.drop()
@@ -303,11 +304,14 @@ class Join:
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose full sets are similar enough, with ``common`` and ``both``."""
-        # few pairs are sent to the sets; for many, the sets are dealt by node, as the next join wants them
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-        sets = sets.join(asked, F.col("node") == F.col("asked"), "left_semi")
-        left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        ends = [self.sets.df.select(F.col("node").alias(f"_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab"]
+        named = pairs.join(ends[0], F.col("a") == F.col("_a")).join(ends[1], F.col("b") == F.col("_b")).select("a", "b", "name_a", "name_b")
+        # few pairs are sent to the sets; for many, the sets are dealt by name, as the next join wants them
+        asked = named.select(F.explode(F.array("name_a", "name_b")).alias("asked")).distinct()
+        once = sets.join(asked, F.col("of") == F.col("asked"), "left_semi").groupBy("of").agg(F.first("set").alias("set"))
+        left, right = (once.select(F.col("of").alias(f"of_{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
+        met = named.join(left, F.col("name_a") == F.col("of_a")).join(right, F.col("name_b") == F.col("of_b"))
+        met = met.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
         return met.where(100 * F.col("common") >= self.percent * (F.col("both") - F.col("common")))
 
     def candidates(self, buckets: DataFrame, labelled: bool) -> DataFrame:
