@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,6 +295,47 @@ def test_license_scan(spark, docs, texts, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_license_words_of_each_file():
+    """A file's rarest licence words are looked up, no more than its possible templates need, and none where none is possible."""
+    from graphloom.llm.license_scan import RARE, Index, Template
+
+    rng, pool = random.Random(3), [f"w{i}" for i in range(30)]
+    templates = [Template(str(i), " ".join(rng.choices(pool, k=rng.randint(1, 7)))) for i in range(40)]
+    index = Index(templates[:1], templates[1:], {w: rng.randint(0, 9) for w in pool})
+    files = [rng.choices([*pool, "other"], k=rng.randint(0, 60)) for _ in range(50)]
+    files += [t.text.split() for t in templates]
+    ids = [np.array([index.ids.get(w.encode(), 0) for w in f], np.int64) for f in files]
+    gap = np.full(index.longest, index.gap)
+    text = np.concatenate([gap, *(y for x in ids for y in (x, gap))])
+    file = np.concatenate([gap * 0 - 1, *(y for i, x in enumerate(ids) for y in (x * 0 + i, gap * 0 - 1))])
+    may, upto = index.looked_up(text, file, len(files))
+    for i, f in enumerate(files):
+        possible = [n for n, t in enumerate(templates) if set(t.text.split()) <= set(f)]
+        assert np.flatnonzero(may[i]).tolist() == possible
+        need = [sorted({int(index.rank[w]) for w in index.words[n]})[:RARE][-1] for n in possible]
+        assert upto[i] == max(need, default=-1)
+    found = {n: starts.tolist() for n, starts, _ in index.search(text, file, len(files))}
+    for n, own in enumerate(index.words):
+        assert found.get(n, []) == [k for k in range(len(text) - len(own) + 1) if (text[k : k + len(own)] == own).all()]
+
+
+def test_license_table(spark):
+    """Whole texts as templates of a table: changed and short copies, rows without words, texts in which the key alone stands."""
+    from graphloom.llm.license_scan import scan_licenses, templates_of
+
+    rng = random.Random(4)
+    whole = [" ".join(rng.choices([f"{c}{i}" for i in range(400)], k=3000)) for c in "ab"]
+    keys = [" ".join(w.split()[500:506]) for w in whole]
+    table = spark.createDataFrame([("a", whole[0], keys[0]), ("a", whole[0], keys[0]), ("b", whole[1], keys[1]), ("c", "nothing less than this", None), ("d", "...", None), (None, "x", None)], "label string, text string, key string")
+    found = templates_of(table)
+    assert [t.label for t in found] == ["a", "b", "c"]
+    w = whole[0].split()
+    texts = [whole[0], "z " + whole[1] + " z", " ".join(w[:480] + ["new"] * 20 + w[500:]), " ".join(w[:2000]), keys[0], "Nothing less than THIS", whole[0] + " " + whole[1]]
+    rows = scan_licenses(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), more=found).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == [["a"], ["b"], ["a"], [], [], ["c"], ["a", "b"]]
+    assert [r["score"] for r in rows][:2] == [1, 1] and 0.99 < rows[2]["score"] < 1
+
+
 def test_packing(docs, texts, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
