@@ -12,6 +12,7 @@ from .operators import euler, exact, order, paths, trees
 from .operators.cliques import peeled_cliques
 from .operators.factories import Transitions
 from .operators.flow import push_relabel
+from .operators.permutations import hamiltonian_paths
 from .plans.durable import cut
 from .queries import DAG, GEO, SESSION, SUPPLY, T3, TRADE
 from .sources.star import Star
@@ -128,6 +129,28 @@ def _(s):
     return met.groupBy("problem_id", "step").agg(F.count("*").alias("chosen"), F.sum("cost").alias("cost"))
 
 
+# ---- orders of vertices -----------------------------------------------------------------------------------------
+
+
+@_query("region_ways", f"""WITH {TRADE}, k AS (SELECT n_regionkey AS r, n_nationkey::BIGINT AS id FROM nation), c AS (SELECT a.r, src, dst, n FROM trade JOIN k a ON src = a.id JOIN k b ON dst = b.id AND a.r = b.r WHERE src <> dst),
+  e AS (SELECT r, src, dst FROM (SELECT *, sum(n) OVER (PARTITION BY r) AS total, count(*) OVER (PARTITION BY r) AS many FROM c) WHERE 2 * n * many >= total),
+  p AS (SELECT a.r, a.id AS v, b.id AS w, x.id AS x, y.id AS y, z.id AS z, row_number() OVER (PARTITION BY a.r ORDER BY a.id, b.id, x.id, y.id, z.id) - 1 AS no FROM k a JOIN k b ON a.r = b.r AND b.id <> a.id
+    JOIN k x ON a.r = x.r AND x.id NOT IN (a.id, b.id) JOIN k y ON a.r = y.r AND y.id NOT IN (a.id, b.id, x.id) JOIN k z ON a.r = z.r AND z.id NOT IN (a.id, b.id, x.id, y.id))
+  SELECT p.r AS region, no, concat_ws('>', v, w, x, y, z) AS path, EXISTS (SELECT 1 FROM e WHERE src = z AND dst = v) AS closed FROM p
+    JOIN e d ON d.src = v AND d.dst = w JOIN e f ON f.src = w AND f.dst = x JOIN e g ON g.src = x AND g.dst = y JOIN e h ON h.src = y AND h.dst = z""")
+def _(s):
+    """Ways through all nations of a region along trade of at least half the mean of the region, by their numbers among all orders."""
+    n = s.table("nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("ord"))
+    e = s.trade().edges.where("src <> dst").join(n.select("region", F.col("id").alias("a")), F.col("src") == F.col("a"))
+    e = e.join(n.select(F.col("region").alias("r"), F.col("id").alias("b")), (F.col("dst") == F.col("b")) & (F.col("region") == F.col("r")))
+    mean = e.groupBy(F.col("region").alias("q")).agg(F.sum("n").alias("total"), F.count("*").alias("many"))
+    e = e.join(mean, F.col("region") == F.col("q")).where("2 * n * many >= total").select("region", "edge_id", "ord", "src", "dst")
+    return hamiltonian_paths(Graph(n, e), by="region").select("region", "no", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), "closed")
+
+
+# ---- transition factories and assignment -------------------------------------------------------------------------
+
+
 _HALVES = "WITH RECURSIVE w AS (SELECT p_partkey::BIGINT + 1 AS root, p_partkey::BIGINT + 1 AS id, 0 AS depth FROM part UNION ALL SELECT root, CASE WHEN id % 2 = 0 THEN id // 2 ELSE 3 * id + 1 END, depth + 1 FROM w WHERE id <> 1)"
 
 
