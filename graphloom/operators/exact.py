@@ -16,12 +16,15 @@ from ..graph import Graph
 from ..kernels import optimise, search, walks
 from ..kernels.run import Local, run
 from ..plans.iterate import fits_one_task
+from .chains import single_walk
 from .cliques import peeled_cliques
 from .flow import push_relabel
 from .tours import cheapest_tour
 
 #: Edges up to which augmenting paths in one task are quicker than supersteps.
 FLOW_LOCAL_EDGES = 20_000
+#: Edges up to which a single random walk has the whole graph in one task.
+WALK_LOCAL_EDGES = 200_000
 MAX_TOUR, MAX_HAMILTON, MAX_CLIQUE_VERTICES, MAX_BISECT = 16, 400, 5000, 3000
 
 
@@ -199,10 +202,15 @@ def vertex_cover(g: Graph, *, seed: int = 0, by: str | None = None) -> DataFrame
     return run(g, lambda x: [(x.ids[v],) for v in sorted(optimise.cover(x, seed))], "id {id}", by=by)
 
 
-def random_walk(g: Graph, root, *, steps: int = 100, chain: str = "uniform", seed: int = 0, factor: float = 0.2, stop_at=None, by: str | None = None) -> DataFrame:
-    """(step, edge_id, src, dst); ``stop_at`` are edge ids before which the walk ends."""
+def random_walk(g: Graph, root, *, steps: int = 100, chain: str = "uniform", seed: int = 0, factor: float = 0.2, stop_at=None, by: str | None = None, local_edges: int = WALK_LOCAL_EDGES) -> DataFrame:
+    """(step, edge_id, src, dst); ``stop_at`` are edge ids before which the walk ends.
+
+    A graph of more than ``local_edges`` edges is sorted once and walked by a lookup a step; the draws are the same.
+    """
     g.require(root)
     ends = set(stop_at or ())
+    if by is None and not fits_one_task(g.edges, local_edges):
+        return single_walk(g, root, steps=steps, chain=chain, seed=seed, factor=factor, stop_at=ends)
     return run(g, lambda x: walks.walk(x, root, steps, walks.Chain(x, chain, seed, factor), ends.__contains__ if ends else None), "step long, edge_id {edge}, src {id}, dst {id}", by=by)
 
 
