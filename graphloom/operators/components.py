@@ -10,6 +10,7 @@ from ..kernels import run as kernel
 from ..kernels import structure
 from ..plans.durable import Stored, cut, replaced
 from ..plans.iterate import fits_one_task, supersteps
+from . import traces
 from .order import is_dag
 
 
@@ -132,12 +133,18 @@ def strong_trace(g: Graph) -> DataFrame:
     return kernel.run(g, structure.strong_components, "id {id}, component long, root {id}, discover_time long")
 
 
-def strong_steps(g: Graph) -> DataFrame:
-    """(step, id, component) of the depth-first search for strong components; a kernel.
+def strong_steps(g: Graph, *, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(step, id, component) of the depth-first search for strong components; a kernel, but for forests of few levels beyond ``local_edges``.
 
     Each vertex comes twice: when it is discovered, with the number of components complete by then, and with its own
     component when that is complete, last discovered first.
     """
+    if g.directed and not fits_one_task(g.edges, local_edges):
+        found = traces.depth_first(g)  # of a forest each vertex is a component, complete when it is finished
+        if found is not None:
+            seen = found.select(F.col("discover_time").alias("step"), "id", (F.col("order_no") - F.col("depth")).alias("component"))
+            done = found.select(F.col("finish_time").alias("step"), "id", (F.col("order_no") - F.col("depth") + F.col("size") - 1).alias("component"))
+            return seen.union(done)
     return kernel.run(g, structure.strong_steps, "step long, id {id}, component long")
 
 

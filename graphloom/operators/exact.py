@@ -6,6 +6,7 @@ All take ``by``, a column on both frames: then each of its values is a graph of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from ..graph import Graph
 from ..kernels import optimise, search, walks
 from ..kernels.run import Local, run
 from ..plans.iterate import fits_one_task
+from . import traces
 from .chains import single_walk
 from .cliques import peeled_cliques
 from .flow import push_relabel
@@ -37,20 +39,40 @@ def bfs_trace(g: Graph, root=None, *, by: str | None = None) -> DataFrame:
     return run(g, lambda x: search.rows(x, search.bfs(x, root)[0]), search.ROWS, by=by)
 
 
-def bfs_edge_classes(g: Graph, root=None, *, by: str | None = None) -> DataFrame:
+def bfs_edge_classes(g: Graph, root=None, *, by: str | None = None, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(edge_id, class, seq); beyond ``local_edges`` level by level, where the levels are few."""
+    if by is None and not fits_one_task(g.edges, local_edges) and (found := traces.breadth_first_edges(g, root)) is not None:
+        return found
     return run(g, lambda x: search.edge_rows(x, search.bfs(x, root)[1]), search.EDGE_ROWS, by=by)
 
 
-def dfs_trace(g: Graph, root=None, *, all_components: bool = False, max_depth: int | None = None, both_ways: bool = False, by: str | None = None) -> DataFrame:
+def dfs_trace(g: Graph, root=None, *, all_components: bool = False, max_depth: int | None = None, both_ways: bool = False, by: str | None = None, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(id, root, depth, order_no, parent, pred_edge_id, discover_time, finish_time).
+
+    Beyond ``local_edges`` a forest of few levels is traced level by level.
+    """
+    if by is None and not (all_components and root is not None) and not fits_one_task(g.edges, local_edges):
+        found = traces.depth_first(g, root, max_depth=max_depth, both_ways=both_ways)
+        if found is not None:
+            return found.drop("size", "above_edge_id")
     return run(g, lambda x: search.rows(x, search.dfs(x, root, all_components=all_components, max_depth=max_depth, both_ways=both_ways)[0]), search.ROWS, by=by)
 
 
-def dfs_edge_classes(g: Graph, root=None, *, by: str | None = None, **options) -> DataFrame:
+def dfs_edge_classes(g: Graph, root=None, *, by: str | None = None, local_edges: int = traces.LOCAL_EDGES, **options) -> DataFrame:
+    """(edge_id, class, seq); beyond ``local_edges`` a tree of few levels, all of whose edges are of it, is traced level by level."""
+    if by is None and root is not None and set(options) <= {"max_depth"} and not fits_one_task(g.edges, local_edges):
+        found = traces.depth_first(g, root, **options)
+        if found is not None:
+            return found.where("depth > 0").select(F.col("pred_edge_id").alias("edge_id"), F.lit("tree").alias("class"), (F.col("order_no") - 1).alias("seq"))
     return run(g, lambda x: search.edge_rows(x, search.dfs(x, root, **options)[1]), search.EDGE_ROWS, by=by)
 
 
-def edge_dfs(g: Graph, root=None, *, max_depth: int | None = None, by: str | None = None) -> DataFrame:
-    """(edge_id, parent_edge_id, depth, order_no)."""
+def edge_dfs(g: Graph, root=None, *, max_depth: int | None = None, by: str | None = None, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(edge_id, parent_edge_id, depth, order_no); beyond ``local_edges`` a tree of few levels is traced level by level."""
+    if by is None and root is not None and not fits_one_task(g.edges, local_edges):
+        found = traces.depth_first(replace(g, directed=True), root, max_depth=None if max_depth is None else max_depth + 1)
+        if found is not None:
+            return found.where("depth > 0").select(F.col("pred_edge_id").alias("edge_id"), F.col("above_edge_id").alias("parent_edge_id"), (F.col("depth") - 1).alias("depth"), (F.col("order_no") - 1).alias("order_no"))
     return run(g, lambda x: search.edge_dfs(x, root, max_depth=max_depth), "edge_id {edge}, parent_edge_id {edge}, depth int, order_no long", by=by)
 
 

@@ -13,6 +13,7 @@ from ..kernels import run as kernel
 from ..kernels import search, structure
 from ..plans.durable import Stored, cut, replaced
 from ..plans.iterate import fits_one_task
+from . import traces
 
 
 def peel(g: Graph, *, local_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -83,8 +84,12 @@ def layers(g: Graph, *, backward: bool = False, local_edges: int | None = None)
     return found
 
 
-def topological_order(g: Graph, *, allow_cycles: bool = False) -> DataFrame:
-    """(id, position) by depth-first search in order of insertion; a kernel."""
+def topological_order(g: Graph, *, allow_cycles: bool = False, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(id, position) by depth-first search in order of insertion; a kernel, but for forests of few levels beyond ``local_edges``."""
+    if not fits_one_task(g.edges, local_edges):
+        found = traces.depth_first(g)
+        if found is not None:
+            return traces.finished_before(found).select("id", (F.lit(g.vertices.count() - 1) - F.col("rank")).alias("position"))
     return kernel.run(g, lambda x: structure.topological(x, allow_cycles=allow_cycles), "id {id}, position long")
 
 

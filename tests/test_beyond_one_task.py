@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from graphloom.operators import exact
+from graphloom.operators import components, exact, order
 from tests.test_graph import graph
 
 
@@ -25,3 +25,56 @@ def test_walk_by_lookups_is_the_kernels(spark, chain):
 def test_walk_ends_where_nothing_leads_on(spark):
     g = graph(spark, [("a", "b"), ("b", "c")])
     assert [r[3] for r in rows(exact.random_walk(g, "a", steps=9, local_edges=0))] == ["b", "c"]
+
+
+FORESTS = {
+    "tree": [(5, 2), (5, 1), (2, 8), (2, 0), (1, 7), (8, 3)],
+    "forest": [(5, 2), (2, 8), (1, 7), (7, 0), (7, 6)],
+}
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_depth_first_by_levels_is_the_kernels(spark, directed):
+    # some vertices come before those above them, so that a search from all in order starts there
+    g = graph(spark, FORESTS["forest"], vertices=[1, 8, 7, 5, 2, 0, 3, 6, 4], directed=directed)
+    assert rows(exact.dfs_trace(g, local_edges=0)) == rows(exact.dfs_trace(g))
+    assert rows(order.topological_order(g, local_edges=0)) == rows(order.topological_order(g))
+    if directed:
+        assert rows(components.strong_steps(g, local_edges=0)) == rows(components.strong_steps(g))
+    g = graph(spark, FORESTS["tree"], directed=directed)
+    for options in ({"root": 5}, {"root": 5, "max_depth": 1}, {"root": 2, "both_ways": True}):
+        assert rows(exact.dfs_trace(g, local_edges=0, **options)) == rows(exact.dfs_trace(g, **options))
+    assert rows(exact.dfs_edge_classes(g, 5, local_edges=0)) == rows(exact.dfs_edge_classes(g, 5))
+    assert rows(exact.edge_dfs(g, 5, max_depth=1, local_edges=0)) == rows(exact.edge_dfs(g, 5, max_depth=1))
+
+
+def test_traces_by_levels_take_forests_beyond_the_kernel(spark, monkeypatch):
+    from graphloom.kernels import run
+
+    def no(*_, **__):
+        raise AssertionError("a kernel had the whole graph")
+
+    monkeypatch.setattr(exact, "run", no)
+    monkeypatch.setattr(run, "run", no)
+    for directed in (True, False):
+        g = graph(spark, FORESTS["tree"], directed=directed)
+        assert exact.dfs_trace(g, 5, local_edges=0).count() == exact.dfs_trace(g, 5, both_ways=True, local_edges=0).count() == order.topological_order(g, local_edges=0).count() == 7
+        assert exact.dfs_edge_classes(g, 5, local_edges=0).count() == exact.edge_dfs(g, 5, local_edges=0).count() == exact.bfs_edge_classes(g, 5, local_edges=0).select("edge_id").distinct().count() == 6
+    assert components.strong_steps(graph(spark, FORESTS["tree"]), local_edges=0).count() == 14
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_traces_of_other_graphs_are_the_kernels(spark, directed):
+    for edges in ([(0, 1), (1, 2), (2, 0)], [(0, 1), (0, 1)], [(0, 0), (0, 1)], [(0, 1), (2, 1), (0, 2)]):
+        g = graph(spark, edges, directed=directed)
+        assert rows(exact.dfs_trace(g, local_edges=0)) == rows(exact.dfs_trace(g))
+        assert rows(exact.dfs_edge_classes(g, 0, local_edges=0)) == rows(exact.dfs_edge_classes(g, 0))
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_breadth_first_by_levels_is_the_kernels(spark, directed):
+    rng = random.Random(6)
+    for n, m in ((6, 9), (9, 30)):
+        g = graph(spark, [(rng.randrange(n), rng.randrange(n)) for _ in range(m)], vertices=rng.sample(range(n), n), directed=directed)
+        for root in (0, None):
+            assert rows(exact.bfs_edge_classes(g, root, local_edges=0)) == rows(exact.bfs_edge_classes(g, root))
