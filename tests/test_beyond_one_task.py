@@ -78,3 +78,21 @@ def test_breadth_first_by_levels_is_the_kernels(spark, directed):
         g = graph(spark, [(rng.randrange(n), rng.randrange(n)) for _ in range(m)], vertices=rng.sample(range(n), n), directed=directed)
         for root in (0, None):
             assert rows(exact.bfs_edge_classes(g, root, local_edges=0)) == rows(exact.bfs_edge_classes(g, root))
+
+
+def test_least_degree_order_takes_no_pass_a_vertex():
+    import time
+
+    import pandas as pd
+
+    from graphloom.kernels import structure
+    from graphloom.kernels.run import Local
+
+    n = 20_000
+    v = pd.DataFrame({"id": range(n), "ord": range(n)})
+    e = pd.DataFrame({"edge_id": range(1, n), "ord": range(1, n), "src": [0] * (n - 1), "dst": range(1, n)})
+    began = time.process_time()
+    got = list(structure.least_degree_order(Local(v, e, False)))
+    assert time.process_time() - began < 5  # a scan of all that is left for each vertex took 15
+    # the leaves in order; when one is left, the middle comes first among equals
+    assert [i for i, _ in got] == [*range(1, n - 1), 0, n - 1] and [p for _, p in got] == list(range(n))
