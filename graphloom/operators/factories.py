@@ -12,6 +12,8 @@ from ..errors import GraphError
 
 #: From a vertex to the vertices that it leads to.
 Factory = Callable[[object], Iterable[object]]
+#: Rows of searches that a task hands on together, and parts that roots are dealt to for each core.
+ROWS, TASKS_A_CORE = 20_000, 4
 
 
 class Transitions:
@@ -105,8 +107,17 @@ class Transitions:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 types = [batch.schema.field(0).type, batch.schema.field(0).type, pa.int64(), pa.int32(), batch.schema.field(0).type]
+                made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["root", "id", "order_no", "depth", "parent"])
+                rows: list[tuple] = []
                 for root in batch.column(0).to_pylist():
-                    rows = list(one(root))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["root", "id", "order_no", "depth", "parent"])
-
-        return roots.select("id").mapInArrow(run, schema)
+                    for row in one(root):
+                        rows.append(row)
+                        if len(rows) >= ROWS:
+                            yield made(rows)
+                            rows = []
+                if rows:
+                    yield made(rows)
+
+        # a small file of roots is one task's work where it is not dealt
+        dealt = roots.select("id").repartition(TASKS_A_CORE * roots.sparkSession.sparkContext.defaultParallelism)
+        return dealt.mapInArrow(run, schema)

@@ -96,3 +96,12 @@ def test_least_degree_order_takes_no_pass_a_vertex():
     assert time.process_time() - began < 5  # a scan of all that is left for each vertex took 15
     # the leaves in order; when one is left, the middle comes first among equals
     assert [i for i, _ in got] == [*range(1, n - 1), 0, n - 1] and [p for _, p in got] == list(range(n))
+
+
+def test_roots_of_searches_are_dealt(spark):
+    from graphloom.operators.factories import Transitions
+
+    made = Transitions(half=lambda v: [v // 2] if v % 2 == 0 else [], up=lambda v: [3 * v + 1] if v % 2 else [])
+    found = made.search(spark.range(2, 60, 1, 1), until=lambda v: v == 1)
+    assert found.rdd.getNumPartitions() > 1
+    assert {r["root"] for r in found.where("id = 1").collect()} == set(range(2, 60))
