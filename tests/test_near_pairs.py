@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import trees
+from graphloom.operators import cliques, trees
 from graphloom.sources import star
 
 ROWS = "vec_id long, label int, embedding array<float>"
@@ -71,3 +71,13 @@ def test_forest_of_a_dense_graph(spark, monkeypatch):
     parts = [pa.RecordBatch.from_pylist([{"edge_id": i, "ord": i, "src": a, "dst": b, "w": w} for i, a, b, w in edges[k : k + 30]], pa.schema([("edge_id", "int64"), ("ord", "int64"), ("src", "int64"), ("dst", "int64"), ("w", "float64")])) for k in range(0, 600, 30)]
     left = [i for b in trees._thinned(iter(parts)) for i in b["edge_id"].to_pylist()]
     assert want <= set(left) and len(left) == len(set(left)) < 600
+
+
+def test_cliques_are_handed_on_together():
+    pair = pa.struct([("p", pa.int64()), ("q", pa.int64())])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([[2, 3], [3], [4]]), pa.array([[{"p": 2, "q": 3}], None, None], pa.list_(pair)), pa.array([None, [[3]], None], pa.list_(pa.list_(pa.int64())))],
+        names=["v", "later", "edges", "earlier"],
+    )
+    (whole,) = cliques._solve(iter([batch, batch]))
+    assert whole["c"].to_pylist() == [[1, 2, 3], [3, 4]] * 2
