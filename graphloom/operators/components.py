@@ -14,13 +14,26 @@ from . import traces
 from .order import is_dag
 
 
-def linked(links: DataFrame) -> Stored:
+#: Links up to which labels are handed on round by round; of more, neighbours are first made one.
+ROUNDS_LINKS = 1_000_000
+
+
+def linked(links: DataFrame, *, rounds_links: int = ROUNDS_LINKS) -> Stored:
     """(v, c): the least vertex of each component, for the vertices of links (a, b).
 
+    Beyond ``rounds_links`` links each vertex goes by the name of the one around it, or itself, whose hash is least; that
+    leaves about half of the names, so what is moved in all such steps together is in proportion to the links.
+
     Every round a vertex takes the least label around it and then its label's label, so long chains take rounds in the
     logarithm of their length. Labels and links stay in tables; only whether any changed reaches the driver.
     """
-    both = Stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    half = Stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    two_ways = half.df.union(half.df.select("b", "a"))
+    if not fits_one_task(half.df, rounds_links):
+        found = _named(half, two_ways, rounds_links)
+        half.drop()
+        return found
+    both = replaced(half, two_ways, "links")
     now = Stored(both.df.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "labels")
     while True:
         around = both.df.join(now.df, F.col("b") == F.col("v")).groupBy("a").agg(F.min("c").alias("m"))
@@ -36,6 +49,20 @@ def linked(links: DataFrame) -> Stored:
             return now
 
 
+def _named(half: Stored, two_ways: DataFrame, rounds_links: int) -> Stored:
+    """``linked`` of many links (a, b), a < b, by way of the names that neighbours give each other."""
+    name = lambda v: F.struct(F.xxhash64(v).alias("h"), F.col(v).alias("v"))
+    up = Stored(two_ways.groupBy(F.col("a").alias("v")).agg(F.min(name("b")).alias("m")).select("v", F.least(name("v"), "m")["v"].alias("up")), "names")
+    a, b = (up.df.select(F.col("v").alias(f"{x}_v"), F.col("up").alias(f"{x}_up")) for x in "ab")
+    between = half.df.join(a, F.col("a") == F.col("a_v")).select("a_up", "b").join(b, F.col("b") == F.col("b_v")).where("a_up <> b_up")
+    tops = linked(between.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")), rounds_links=rounds_links)
+    top = tops.df.select(F.col("v").alias("t"), F.col("c").alias("t_c"))
+    rooted = replaced(up, up.df.join(top, F.col("up") == F.col("t"), "left").select("v", F.coalesce("t_c", "up").alias("root")), "roots")
+    tops.drop()
+    least = rooted.df.groupBy(F.col("root").alias("r")).agg(F.min("v").alias("c"))
+    return replaced(rooted, rooted.df.join(least, F.col("root") == F.col("r")).select("v", "c"), "labels")
+
+
 def labels_of(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(id, label): the least vertex linked with each, over links (a, b)."""
     return vertices.select("id").join(linked(links).df, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("label"))

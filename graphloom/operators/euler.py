@@ -4,12 +4,19 @@ Edges are paired at each vertex, what comes in with what goes out, so that they
 are made one at the vertices of a spanning forest of vertices and circuits: there each circuit goes on as the next one
 did. As that forest has no cycle, all turns are made at once. Temporary edges make vertices even first; a trail runs
 from one of them to the next. Places along trails come from doubling how far each edge looks ahead.
+
+Components of few edges are walked whole, many in a task, side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import GraphError
 from ..graph import Graph
@@ -18,6 +25,9 @@ from ..plans.iterate import supersteps
 from .components import labels_of, linked
 from .trees import minimum_spanning_forest
 
+#: Edges of a component that a task walks whole, and of those that it takes at once.
+LOCAL_EDGES, _CHUNK = 100_000, 100_000
+
 
 def _within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 within each value of ``by``, by one sort of all rows, so that a value is nobody's single task."""
@@ -110,7 +120,128 @@ def _placed(steps: DataFrame) -> DataFrame:
     return supersteps(start, step, "open", rounds=64, name="places", beyond=GraphError("a list has no end")).select("d", "last", "ahead")
 
 
-def all_trails(g: Graph, start=None) -> DataFrame:
+def _walked(src: list[int], dst: list[int], directed: bool, start: int | None) -> list[list[tuple[int, int]]]:
+    """The fewest trails of one component, edges as (number, 1 if against its direction); temporary edges are numbered on from m."""
+    m, a, b = len(src), list(src), list(dst)
+    if directed:
+        over: dict[int, int] = {}
+        for x, y in zip(a, b):
+            over[x] = over.get(x, 0) + 1
+            over[y] = over.get(y, 0) - 1
+        a += [v for v, n in over.items() for _ in range(-n)]
+        b += [v for v, n in over.items() for _ in range(n)]
+    else:
+        odd: dict[int, None] = {}
+        for v in (v for x, y in zip(a, b) if x != y for v in (x, y)):
+            odd.pop(v) if v in odd else odd.setdefault(v)
+        a += list(odd)[::2]
+        b += list(odd)[1::2]
+    at: dict[int, list[tuple[int, int]]] = {}
+    for k, (x, y) in enumerate(zip(a, b)):
+        at.setdefault(x, []).append((k, 0))
+        if not directed:
+            at.setdefault(y, []).append((k, 1))
+    used, circuit = bytearray(len(a)), []
+    # an edge that is left comes before what was found already, so the circuit is found from its end
+    stack = [(start if start in at else a[0], None)]
+    while stack:
+        v, came = stack[-1]
+        left = at[v]
+        while left and used[left[-1][0]]:
+            left.pop()
+        if left:
+            k, way = left.pop()
+            used[k] = 1
+            stack.append((a[k] if way else b[k], (k, way)))
+        else:
+            stack.pop()
+            if came is not None:
+                circuit.append(came)
+    circuit.reverse()
+    if len(a) == m:
+        return [circuit]
+    first = next(i for i, (k, _) in enumerate(circuit) if k >= m)
+    trails: list[list[tuple[int, int]]] = []
+    for k, way in circuit[first:] + circuit[:first]:
+        if k >= m:
+            trails.append([])
+        else:
+            trails[-1].append((k, way))
+    return [t for t in trails if t]
+
+
+def _walks(directed: bool, start) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trails of edges (label, edge_id, src, dst) that come component by component, each in order."""
+
+    def found(rows: pa.Table) -> pa.Table:
+        ends = pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks]).combine_chunks().dictionary_encode()
+        at, n = ends.indices.to_numpy(), len(rows)
+        from_ = ends.dictionary.index(pa.scalar(start, ends.dictionary.type)).as_py() if start is not None else None
+        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), n]
+        last, place, edge, ways = [], [], [], []
+        for lo, hi in zip(bounds, bounds[1:]):
+            for trail in _walked(at[lo:hi].tolist(), at[n + lo : n + hi].tolist(), directed, from_):
+                last += [lo + trail[-1][0]] * len(trail)
+                place += range(len(trail))
+                edge += [lo + k for k, _ in trail]
+                ways += [way for _, way in trail]
+        edge, ways = np.array(edge, dtype=np.int64), np.array(ways, dtype=np.int64)
+        both = pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks])
+        ids = rows["edge_id"]
+        columns = [ids.take(pa.array(last, pa.int64())), pa.array(place, pa.int64()), ids.take(pa.array(edge)), both.take(pa.array(edge + n * ways)), both.take(pa.array(edge + n * (1 - ways)))]
+        return pa.table(columns, names=["trail", "position", "edge_id", "src", "dst"])
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            # a component may go on in the next batch
+            if n >= _CHUNK and batch["label"][0] != batch["label"][-1]:
+                names = batch["label"].dictionary_encode().indices.to_numpy()
+                whole = int(np.flatnonzero(names != names[-1])[-1]) + 1
+                yield from found(pa.Table.from_batches([*held[:-1], batch.slice(0, whole)])).to_batches()
+                held = [batch.slice(whole)]
+                n = held[0].num_rows
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
+
+    return walks
+
+
+def all_trails(g: Graph, start=None, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(trail, position, edge_id, src, dst): the fewest trails that take every edge once, in the direction they take it.
+
+    As ``_wide_trails``, which takes the components of more than ``local_edges`` edges; the others are walked in tasks.
+    """
+    atoms = (T.IntegralType, T.StringType)
+    if local_edges <= 0 or not all(isinstance(g.edges.schema[c].dataType, atoms) for c in ("edge_id", "src", "dst")):
+        return _wide_trails(g, start)
+    own = Stored(g.edges.select("edge_id", "ord", "src", "dst"), "edges")
+    label = linked(own.df.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = replaced(own, own.df.join(label.df, F.col("src") == F.col("v"), "left").select(F.coalesce("c", "src").alias("label"), "edge_id", "ord", "src", "dst"), "named-edges")
+    label.drop()
+    wide = Stored(named.df.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("l"), "wide")
+    few, many = named.df, None
+    if not wide.df.isEmpty():
+        few = named.df.join(wide.df, F.col("label") == F.col("l"), "left_anti")
+        many = named.df.join(wide.df, F.col("label") == F.col("l"), "left_semi").drop("label")
+    sorted_ = few.repartition("label").sortWithinPartitions("label", "ord", "edge_id").select("label", "edge_id", "src", "dst")
+    kinds = {c: few.schema[c].dataType for c in ("edge_id", "src", "dst")}
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("trail", "position", "edge_id", "src", "dst"), (kinds["edge_id"], T.LongType(), kinds["edge_id"], kinds["src"], kinds["dst"]))])
+    out = Stored(sorted_.mapInArrow(_walks(g.directed, start), schema), "trails").df
+    if many is not None:
+        ends = many.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        out = out.union(_wide_trails(Graph(g.vertices.join(ends, "id", "left_semi"), many, g.directed), start))
+    for table in (named, wide):
+        table.drop()
+    return out
+
+
+def _wide_trails(g: Graph, start=None) -> DataFrame:
     """(trail, position, edge_id, src, dst): the fewest trails that take every edge once, in the direction they take it.
 
     A component whose vertices are even is one closed trail, from ``start`` if that is its vertex, else from its first
