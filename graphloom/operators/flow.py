@@ -1,107 +1,246 @@
 """Maximum flow beyond one task: push and relabel in supersteps.
 
-Heights are exact distances, found by searching backward from the sink through what is left of the capacities. Within a
-phase they stay as they are: level by level from the highest, each vertex pushes what it holds over its arcs that lead
-one level down, and has then nothing more to receive. What is stuck then has a greater distance in the next phase, so the
-phases end. When nothing that is held can reach the sink, the rest goes back to the source in the same way.
+Heights are exact distances, found by searching backward from the sink through what is left of the capacities, no farther
+than to all that is held. A search takes each edge out of the rest when it comes to the first of its ends, so its levels are
+tables of edges, each edge in one of them. Level by level from the highest, each vertex pushes what it holds over its edges
+that lead one level down, and has then nothing more to receive. What is stuck then has a greater distance in the next phase,
+so the phases end. When nothing that is held can reach the sink, the rest goes back to the source in the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import GraphError, NegativeCapacityError
 from ..graph import Graph
-from ..plans.durable import Stored, replaced
-from .paths import _settle
+from ..plans.durable import Stored, cut, replaced
+
+#: Tables of so many vertices at most go to every task; larger ones are dealt by key together with the edges.
+SENT = 1_000_000
+#: Edges of a vertex that are summed in one task; beyond, parts of so many are summed side by side, so that a hub is not one task's.
+PART = 100_000
+#: Searches store what they have not come to each time they have filtered it so often.
+FOLD = 4
+#: Edge a between the keys u and v; rf is left of its capacity, rb is its flow.
+_EDGE = ("a", "u", "v", "cap", "rf", "rb")
+
+
+def _keys(vertices: DataFrame) -> Callable[[str], Column]:
+    """A whole number for each id: itself where it is one, else a hash by which no two vertices are alike."""
+    if isinstance(vertices.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return lambda c: F.col(c).cast("long")
+    n = vertices.select("id").distinct().count()
+    for seed in itertools.count():
+        key = lambda c, seed=seed: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c)))
+        if vertices.select(key("id")).distinct().count() >= n:
+            return key
+
+
+def _met(rows: DataFrame, few: DataFrame, n: int, on: Column, how: str) -> DataFrame:
+    """Rows joined to a table of n vertices, each there once."""
+    return rows.join(F.broadcast(few) if n <= SENT else few.hint("shuffle_hash"), on, how)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
+
+
+def reached(ways: DataFrame, root: int) -> DataFrame:
+    """(id): the keys to which ways (at, to) lead from the root, itself included."""
+    front = Stored(ways.sparkSession.range(1).select(F.lit(root).cast("long").alias("id")), "reached")
+    known, n = [front], 1
+    while n:
+        ahead = _met(ways, front.df, n, F.col("at") == F.col("id"), "left_semi").select(F.col("to").alias("id")).where("id is not null").distinct()
+        front = Stored(ahead.join(_all([x.df for x in known]), "id", "left_anti"), "reached")
+        n = front.df.count()
+        known.append(front)
+        if len(known) > 2 * FOLD:
+            whole = Stored(_all([x.df for x in known]), "reached")
+            for table in known:
+                if table is not front:
+                    table.drop()
+            known = [whole]
+    return _all([x.df for x in known])
+
+
+def _marked(rest: DataFrame, root: int, front: DataFrame | None, n: int, shut: int) -> DataFrame:
+    """Edges with kind: 0 not at the front, 1 no way to it, 2 a way to it of which something is left; forth where it leads from u to v."""
+    at = rest
+    for x in "uv":
+        if front is None:
+            at = at.withColumn(f"m{x}", F.coalesce(F.col(x) == F.lit(root), F.lit(False)))
+        else:
+            at = _met(at, front.select(F.col("id").alias(f"f{x}")), n, F.col(x) == F.col(f"f{x}"), "left").withColumn(f"m{x}", F.col(f"f{x}").isNotNull())
+    open_ = F.when(F.col("mv"), (F.col("rf") > 0) & (F.col("u") != F.lit(shut))).otherwise((F.col("rb") > 0) & (F.col("v") != F.lit(shut)))
+    kind = F.when(~F.col("mu") & ~F.col("mv"), 0).when((F.col("mu") != F.col("mv")) & open_, 2).otherwise(1)
+    return at.select(*_EDGE, F.col("mv").alias("forth"), kind.alias("kind"))
+
+
+def _ways(near: DataFrame) -> DataFrame:
+    """The edges of kind 2 with their direction (tail, head) and what is left in it, r."""
+    pick = lambda a, b: F.when(F.col("forth"), F.col(a)).otherwise(F.col(b))
+    return near.where("kind = 2").select(*_EDGE, "forth", pick("u", "v").alias("tail"), pick("v", "u").alias("head"), pick("rf", "rb").alias("r"))
 
-#: Parts of a vertex's arcs whose sums are made side by side, so that a hub is not one task's.
-_PARTS = 32
 
+def _pushed(ways: DataFrame, held: DataFrame, n: int) -> DataFrame:
+    """Ways with p, what n vertices that hold x push over them: all they can, or what they hold in the order of the edges' hashes."""
+    facts = held.agg(F.max("n").alias("most"), F.count(F.when(F.col("x") < F.col("s"), 1)).alias("short")).first()
+    if not facts["short"]:
+        return ways.withColumn("p", F.col("r"))
 
-def _heights(arcs: DataFrame, root: DataFrame, rounds: int) -> DataFrame:
-    """(id, h): steps over arcs with something left to the root."""
-    back = arcs.where("r > 0").select(F.lit(0).alias("edge_id"), F.lit(0).alias("e_ord"), F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(1.0).alias("w"))
-    return _settle(back, root, "shortest", rounds, GraphError("heights did not settle")).select("id", F.col("hops").alias("h"))
+    def shared(at: DataFrame, parted: bool) -> DataFrame:
+        turn = F.xxhash64("u", "v")
+        at = at.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PART)) if parted else F.lit(0))
+        first = W.partitionBy("tail", "part").orderBy(turn, "a").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("r").over(first), F.lit(0.0))
+        if parted:
+            sums = at.where(F.col("n") > PART).groupBy(F.col("tail").alias("t2"), F.col("part").alias("part2")).agg(F.sum("r").alias("r2"))
+            sums = sums.select("t2", "part2", F.sum("r2").over(W.partitionBy("t2").orderBy("part2").rowsBetween(W.unboundedPreceding, -1)).alias("before2"))
+            at = at.withColumn("before", before).join(F.broadcast(sums), (F.col("tail") == F.col("t2")) & (F.col("part") == F.col("part2")), "left")
+            before = F.col("before") + F.coalesce("before2", F.lit(0.0))
+        share = F.greatest(F.least("r", F.col("x") - before), F.lit(0.0))
+        return at.withColumn("p", F.when(F.col("x") >= F.col("s"), F.col("r")).otherwise(share)).select(*ways.columns, "p")
 
+    same, hub = F.col("tail") == F.col("id"), F.col("n") > PART
+    if n <= SENT:
+        return shared(_met(ways, held, n, same, "inner"), facts["most"] > PART)
+    if facts["most"] <= PART:
+        return shared(_met(ways, held, n, same, "inner"), False)
+    hubs = F.broadcast(held.where(hub))  # one row for PART edges at least
+    return shared(ways.join(hubs, same), True).union(shared(_met(ways.join(hubs, same, "left_anti"), held.where(~hub), n, same, "inner"), False))
 
-def _pushed(admissible: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, way, u, v, p): what vertices with excess (id, x) push over their arcs, in the order of parts and arcs."""
-    at = admissible.join(held, F.col("u") == F.col("id")).withColumn("part", F.pmod(F.xxhash64("a", "way"), F.lit(_PARTS)))
-    sums = at.groupBy("u", "part").agg(F.sum("r").alias("s"))
-    before = F.coalesce(F.sum("s").over(W.partitionBy("u").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.select(F.col("u").alias("u2"), F.col("part").alias("part2"), before.alias("before"))
-    inside = F.coalesce(F.sum("r").over(W.partitionBy("u", "part").orderBy("a", "way").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    each = at.withColumn("inside", inside).join(sums, (F.col("u") == F.col("u2")) & (F.col("part") == F.col("part2")))
-    push = F.least("r", F.col("x") - F.col("before") - F.col("inside"))
-    return each.select("a", "way", "u", "v", push.alias("p")).where("p > 0")
+
+def _phase(parts: list, excess: Stored, root: int, shut: int):
+    """Tables of the edges, and what is held, after all that is held has gone toward the root as far as it can; None where nothing can."""
+    left = excess.df.where((F.col("x") > 0) & ~F.col("id").isin(root, shut)).select("id")
+    n_left, top, lazy = left.count(), 0, 0
+    levels, waiting, front, n, rest = [], [], None, 1, _all([df for _, df in parts])
+    while n_left:
+        marked = _marked(rest, root, front, n, shut)
+        if n <= SENT and lazy < FOLD:
+            near, lazy = Stored(marked.where("kind > 0"), "level"), lazy + 1
+            rest = marked.where("kind = 0").select(*_EDGE)
+        else:
+            near, lazy = Stored(marked, "level"), 0
+            rest = near.df.where("kind = 0").select(*_EDGE)
+        tails = Stored(_ways(near.df).groupBy(F.col("tail").alias("id")).agg(F.sum("r").alias("s"), F.count("*").alias("n")), "tails")
+        front, n = tails.df.select("id"), tails.df.count()
+        levels.append((near, tails, n))
+        if not n:
+            break
+        waiting.append(Stored(_met(left, front.select(F.col("id").alias("at")), n, F.col("id") == F.col("at"), "left_anti"), "waiting"))
+        left, before = waiting[-1].df, n_left
+        n_left = left.count()
+        if n_left < before:
+            top = len(levels)
+    after = []
+    if top:
+        rest = Stored(rest, "rest")
+        after.append((rest, rest.df))
+    for k in range(len(levels), 0, -1):
+        near, tails, n = levels[k - 1]
+        if top and k <= top:
+            held = Stored(tails.df.join(excess.df.where("x > 0"), "id", "left").select("id", "s", "n", F.coalesce("x", F.lit(0.0)).alias("x")), "held")
+            p, forth = F.col("p"), F.col("forth")
+            rf, rb = F.when(forth, F.col("rf") - p).otherwise(F.col("rf") + p), F.when(forth, F.col("rb") + p).otherwise(F.col("rb") - p)
+            push = Stored(_pushed(_ways(near.df), held.df, n).select(*_EDGE[:-2], rf.alias("rf"), rb.alias("rb"), "forth", "p"), "pushes")
+            gone = held.df.where("x > 0").select("id", -F.least("x", "s"))
+            come = push.df.where("p > 0").groupBy(F.when(forth, F.col("v")).otherwise(F.col("u"))).agg(F.sum("p"))
+            excess = replaced(excess, excess.df.union(gone).union(come).groupBy("id").agg(F.sum("x").alias("x")), "excess")
+            held.drop()
+            after += [(near, near.df.where("kind = 1").select(*_EDGE)), (push, push.df.select(*_EDGE))]
+        elif top:
+            after.append((near, near.df.where("kind > 0").select(*_EDGE)))
+        else:
+            near.drop()
+        tails.drop()
+    for table in waiting:
+        table.drop()
+    if not top:
+        return None
+    return after, excess
+
+
+def _drop(parts: list) -> None:
+    for table in {id(table): table for table, _ in parts}.values():
+        table.drop()
+
+
+class Solved:
+    """A largest flow; ``edges`` is (a, u, v, cap, rf, rb), u and v being the keys of the ends, and rf what is left where rb flows.
+
+    Raises as the kernel does: for equal ends, capacities below 0 or undefined, and a path of unbounded capacity.
+    """
+
+    def __init__(self, g: Graph, source, sink):
+        if source == sink:
+            raise GraphError("source and sink are the same")
+        self.vertices, self.key = g.vertices, _keys(g.vertices)
+        key, inf = self.key, F.lit(float("inf"))
+        given = g.edges.select("edge_id", "src", "dst", F.col("weight").alias("cap"), key("src").alias("u"), key("dst").alias("v"), F.monotonically_increasing_id().alias("a"))
+        self.given = Stored(given, "capacities")
+        e = self.given.df
+        bad = F.max(F.when(F.col("cap").isNull() | F.isnan("cap") | (F.col("cap") < 0), 1))
+        facts = e.agg(bad.alias("bad"), F.coalesce(F.sum(F.when(F.col("cap") < inf, F.col("cap"))), F.lit(0.0)).alias("s"), F.max("cap").alias("m")).first()
+        if facts["bad"]:
+            raise NegativeCapacityError("capacities must be at least 0")
+        kind, one = g.vertices.schema["id"].dataType, e.sparkSession.range(1)
+        s, t = self.source, self.sink = [one.select(F.lit(x).cast(kind).alias("id")).select(key("id")).first()[0] for x in (source, sink)]
+        if facts["m"] == float("inf"):
+            free = e.where(F.col("cap") == inf).select(F.col("u").alias("at"), F.col("v").alias("to"))
+            if not reached(free, s).where(F.col("id") == F.lit(t)).isEmpty():
+                raise GraphError("a path of unbounded capacity")
+        # without such a path no flow is above the sum of the bounded capacities
+        cap = F.least("cap", F.lit(facts["s"] + 1.0))
+        first = F.coalesce((F.col("u") == F.lit(s)) & (F.col("v") != F.lit(s)), F.lit(False))
+        parts = [(self.given, e.select(*_EDGE[:-2], F.when(first, 0.0).otherwise(cap).alias("rf"), F.when(first, cap).otherwise(0.0).alias("rb")))]
+        excess = Stored(e.where(first).groupBy(F.col("v").alias("id")).agg(F.sum(cap).alias("x")), "excess")
+        for root, shut in ((t, s), (s, t)):
+            while (got := _phase(parts, excess, root, shut)) is not None:
+                if parts[0][0] is not self.given:
+                    _drop(parts)
+                parts, excess = got
+        excess.drop()
+        self.edges = _all([df for _, df in parts])
+
+    def named(self, keyed: DataFrame) -> DataFrame:
+        """Rows (a, ...) with (edge_id, src, dst) as well."""
+        return keyed.join(self.given.df.select("edge_id", "src", "dst", F.col("a").alias("a0")), F.col("a") == F.col("a0")).drop("a0")
+
+    def into_sink(self) -> DataFrame:
+        """(edge_id, src, flow) of the edges that lead to the sink."""
+        at = F.col("v") == F.lit(self.sink)
+        names = self.given.df.where(at).select("edge_id", "src", F.col("a").alias("a0"))
+        return self.edges.where(at).join(names, F.col("a") == F.col("a0")).select("edge_id", "src", F.col("rb").alias("flow"))
+
+    def with_cut(self) -> DataFrame:
+        """(a, u, v, weight, flow, residual, in_cut): in_cut marks the edges that leave what the source still reaches."""
+        e, key = self.edges, self.key
+        forth = e.where("rf > 0").select(F.col("u").alias("at"), F.col("v").alias("to"))
+        near = reached(forth.union(e.where("rb > 0").select(F.col("v").alias("at"), F.col("u").alias("to"))), self.source)
+        # the edges meet the smaller side, which has one of their ends
+        far = Stored(self.vertices.select(key("id").alias("id")).distinct().join(near, "id", "left_anti"), "far-side")
+        sizes = near.count(), far.df.count()
+        few, n = (near, sizes[0]) if sizes[0] < sizes[1] else (far.df, sizes[1])
+        full = e.where("rf <= 0")  # as all edges of the cut are
+        for x in "uv":
+            full = _met(full, few.select(F.col("id").alias(f"f{x}")), n, F.col(x) == F.col(f"f{x}"), "left")
+        leaves = (F.col("fu").isNotNull() & F.col("fv").isNull()) if sizes[0] < sizes[1] else (F.col("fu").isNull() & F.col("fv").isNotNull())
+        out = full.select(*_EDGE, leaves.alias("in_cut")).union(e.where("rf > 0").select(*_EDGE, F.lit(False)))
+        return out.select("a", "u", "v", F.col("cap").alias("weight"), F.col("rb").alias("flow"), (F.col("cap") - F.col("rb")).alias("residual"), "in_cut")
 
 
 def push_relabel(g: Graph, source, sink) -> DataFrame:
     """(edge_id, flow, residual, in_cut) of a largest flow; capacities are the edges' ``weight``.
 
-    in_cut marks the edges that leave what the source still reaches. Raises as the kernel does: for equal ends, capacities
-    below 0 or undefined, and a path of unbounded capacity.
+    in_cut marks the edges that leave what the source still reaches. Raises as ``Solved`` does.
     """
-    if source == sink:
-        raise GraphError("source and sink are the same")
-    edges = Stored(g.edges.select("edge_id", "src", "dst", F.col("weight").alias("cap")), "capacities")
-    e = edges.df
-    if not e.where("cap is null or isnan(cap) or cap < 0").isEmpty():
-        raise NegativeCapacityError("capacities must be at least 0")
-    ends = lambda v: g.vertices.where(F.col("id") == F.lit(v)).select("id")
-    n, inf = g.vertices.count(), F.lit(float("inf"))
-    bounded = e.agg(F.coalesce(F.sum(F.when(F.col("cap") < inf, F.col("cap"))), F.lit(0.0)).alias("s"), F.max("cap").alias("m")).first()
-    if bounded["m"] == float("inf"):
-        free = e.where(F.col("cap") == inf).select(F.col("edge_id").alias("a"), F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(1.0).alias("r"))
-        if not _heights(free, ends(source), n + 1).where(F.col("id") == F.lit(sink)).isEmpty():
-            raise GraphError("a path of unbounded capacity")
-    # without such a path no flow is above the sum of the bounded capacities
-    cap = F.least("cap", F.lit(bounded["s"] + 1.0))
-    inner = e.where("src <> dst")
-    start = inner.where(F.col("src") == F.lit(source))
-    forth = inner.select(F.col("edge_id").alias("a"), F.lit(0).alias("way"), F.col("src").alias("u"), F.col("dst").alias("v"), F.when(F.col("src") == F.lit(source), 0.0).otherwise(cap).alias("r"))
-    back = inner.select(F.col("edge_id").alias("a"), F.lit(1).alias("way"), F.col("dst").alias("u"), F.col("src").alias("v"), F.when(F.col("src") == F.lit(source), cap).otherwise(0.0).alias("r"))
-    arcs = Stored(forth.union(back), "residuals")
-    excess = Stored(start.groupBy(F.col("dst").alias("id")).agg(F.sum(cap).alias("x")), "excess")
-
-    for root in (sink, source):
-        while True:
-            heights = Stored(_heights(arcs.df, ends(root), n + 1), "heights")
-            h = heights.df
-            active = excess.df.where((F.col("x") > 0) & ~F.col("id").isin(source, sink)).join(h, "id")
-            top = active.agg(F.max("h")).first()[0]
-            if top is None:  # nothing that is held reaches the root
-                heights.drop()
-                break
-            hu, hv = (h.select(F.col("id").alias(f"{x}_i"), F.col("h").alias(f"h{x}")) for x in "uv")
-            down = arcs.df.where((F.col("r") > 0) & ~F.col("u").isin(source, sink)).join(hu.where(F.col("hu") <= top), F.col("u") == F.col("u_i"))
-            down = down.join(hv, (F.col("v") == F.col("v_i")) & (F.col("hu") == F.col("hv") + 1)).select("a", "way", "u", "v", "r", "hu")
-            admissible = Stored(down, "admissible")
-            moved, made = excess.df.select("id", "x"), []
-            for level in range(top, 0, -1):
-                here = admissible.df.where(F.col("hu") == level)
-                held = moved.groupBy("id").agg(F.sum("x").alias("x")).where("x > 0").join(here.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
-                push = Stored(_pushed(here, held), "pushes")
-                made.append(push)
-                moved = moved.union(push.df.select("u", -F.col("p"))).union(push.df.select("v", "p"))
-            excess = replaced(excess, moved.groupBy("id").agg(F.sum("x").alias("x")), "excess")
-            every = made[0].df
-            for push in made[1:]:
-                every = every.union(push.df)
-            change = every.select("a", "way", (-F.col("p")).alias("d")).union(every.select("a", 1 - F.col("way"), "p")).groupBy(F.col("a").alias("a2"), F.col("way").alias("way2")).agg(F.sum("d").alias("d"))
-            met = arcs.df.join(change, (F.col("a") == F.col("a2")) & (F.col("way") == F.col("way2")), "left")
-            arcs = replaced(arcs, met.select("a", "way", "u", "v", (F.col("r") + F.coalesce("d", F.lit(0.0))).alias("r")), "residuals")
-            for table in (heights, admissible, *made):
-                table.drop()
-    onward = arcs.df.select("a", F.col("v").alias("u"), F.col("u").alias("v"), "r")
-    side = Stored(_heights(onward, ends(source), n + 1).select(F.col("id").alias("side_id")), "source-side").df
-    left = arcs.df.where("way = 1").select(F.col("a").alias("a2"), F.col("r").alias("flow"))
-    out = e.join(left, F.col("edge_id") == F.col("a2"), "left").withColumn("flow", F.coalesce("flow", F.lit(0.0)))
-    out = out.join(side.withColumnRenamed("side_id", "s1"), F.col("src") == F.col("s1"), "left").join(side.withColumnRenamed("side_id", "s2"), F.col("dst") == F.col("s2"), "left")
-    found = Stored(out.select("edge_id", "flow", (F.col("cap") - F.col("flow")).alias("residual"), (F.col("s1").isNotNull() & F.col("s2").isNull()).alias("in_cut")), "flow")
-    for table in (arcs, excess, edges):
-        table.drop()
-    return found.df
+    found = Solved(g, source, sink)
+    return cut(found.named(found.with_cut()).select("edge_id", "flow", "residual", "in_cut"), "flow")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, NegativeCapacityError
 from graphloom.graph import Graph
-from graphloom.operators import exact
+from graphloom.operators import exact, flow
+from graphloom.plans import durable
 
 
 def graph(spark, edges, n):
@@ -62,3 +63,33 @@ def test_excess_goes_back_and_errors(spark):
             exact.max_flow(graph(spark, [(0, 1, bad)], 2), 0, 1, capacity=F.col("c"), local_edges=0)
     with pytest.raises(GraphError):
         exact.max_flow(graph(spark, [(0, 1, float("inf")), (1, 2, float("inf"))], 3), 0, 2, capacity=F.col("c"), local_edges=0)
+
+
+def test_searches_end_where_nothing_farther_is_held(spark, monkeypatch):
+    """A long way to the sink's neighbour that holds nothing costs no rounds."""
+    stored, write = [], durable.Stored.__init__
+
+    def counted(self, df, name):
+        stored.append(name)
+        write(self, df, name)
+
+    monkeypatch.setattr(durable.Stored, "__init__", counted)
+    edges = [(0, 1, 5.0), (1, 2, 3.0)] + [(i + 1, i if i > 3 else 1, 9.0) for i in range(3, 40)]
+    rows = exact.max_flow(graph(spark, edges, 41), 0, 2, capacity=F.col("c"), local_edges=0).collect()
+    assert certified(edges, rows, 0, 2) == (3.0, {1})
+    assert len(stored) < 40
+
+
+@pytest.mark.parametrize("sent, part", [(0, 2), (1000, 2)])
+def test_dealt_tables_and_parts_of_hubs_match_the_kernel(spark, monkeypatch, sent, part):
+    monkeypatch.setattr(flow, "SENT", sent)
+    monkeypatch.setattr(flow, "PART", part)
+    r = random.Random(5)
+    edges = [(0, 1, 40.0), (0, 2, 9.0)] + [(1, v, float(r.randrange(1, 9))) for v in range(3, 11)] + [(2, 1, 4.0), (1, 5, 2.0), (1, 1, 3.0), (4, 5, 0.0)]
+    edges += [(v, 11, float(r.randrange(1, 5))) for v in range(3, 11)] + [(5, 4, 2.0), (11, 3, 1.0), (3, 0, 2.0)]
+    named = spark.createDataFrame([(f"e{i}", f"v{a}", f"v{b}", c) for i, (a, b, c) in enumerate(edges)], "edge_id string, src string, dst string, c double")
+    g = Graph.of(spark.range(12).select(F.concat(F.lit("v"), "id").alias("id")), named)
+    rows = exact.max_flow(g, "v0", "v11", capacity=F.col("c"), local_edges=0).collect()
+    found = [x.asDict() | {"edge_id": int(x["edge_id"][1:])} for x in rows]
+    whole = exact.max_flow(graph(spark, edges, 12), 0, 11, capacity=F.col("c"), local_edges=1000).collect()
+    assert certified(edges, found, 0, 11) == certified(edges, whole, 0, 11)
