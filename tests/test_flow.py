@@ -93,3 +93,33 @@ def test_dealt_tables_and_parts_of_hubs_match_the_kernel(spark, monkeypatch, sen
     found = [x.asDict() | {"edge_id": int(x["edge_id"][1:])} for x in rows]
     whole = exact.max_flow(graph(spark, edges, 12), 0, 11, capacity=F.col("c"), local_edges=1000).collect()
     assert certified(edges, found, 0, 11) == certified(edges, whole, 0, 11)
+
+
+@pytest.mark.parametrize("sent, banded, part", [(5, 1000, 1000), (1000, 0, 1000), (1000, 0, 3), (5, 0, 1000)])
+def test_large_fronts_and_bands_match_the_kernel(spark, monkeypatch, sent, banded, part):
+    """Where most vertices are at the front the others are sent; only ways near the end of what is held are put in order."""
+    stored, write = [], durable.Stored.__init__
+
+    def counted(self, df, name):
+        stored.append(name)
+        write(self, df, name)
+
+    monkeypatch.setattr(durable.Stored, "__init__", counted)
+    for name, x in (("SENT", sent), ("BANDED", banded), ("PART", part)):
+        monkeypatch.setattr(flow, name, x)
+    r = random.Random(7)
+    # 0 asks for parts 3 to 26, suppliers 1 and 2 give less than comes to them
+    edges = [(0, v, float(r.choice([1, 3, 30]))) for v in range(3, 27)] + [(v, s, float(r.choice([1, 1, 2, 40]))) for v in range(3, 27) for s in (1, 2)]
+    edges += [(1, 27, 20.0), (2, 27, 17.0)]
+    g = graph(spark, edges, 28)
+    rows = exact.max_flow(g, 0, 27, capacity=F.col("c"), local_edges=0).collect()
+    whole = exact.max_flow(g, 0, 27, capacity=F.col("c"), local_edges=1000).collect()
+    assert certified(edges, rows, 0, 27) == certified(edges, whole, 0, 27)
+    assert ("others" in stored) == (sent == 5) and ("bands" in stored) == (sent > 5)
+
+
+def test_ends_that_are_no_vertices_lie_on_a_side_of_the_cut(spark):
+    """An edge without capacity leads to an end that the table of vertices lacks."""
+    edges = [(0, 1, 5.0), (1, 2, 5.0), (2, 3, 2.0), (2, 5, 0.0), (5, 3, 7.0)]
+    found = flow.push_relabel(Graph(spark.range(4).select("id"), graph(spark, edges, 6).edges.withColumnRenamed("c", "weight")), 0, 3).collect()
+    assert certified(edges, found, 0, 3) == (2.0, {2, 3})
