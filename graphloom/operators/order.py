@@ -93,8 +93,16 @@ def topological_order(g: Graph, *, allow_cycles: bool = False, local_edges: int
     return kernel.run(g, lambda x: structure.topological(x, allow_cycles=allow_cycles), "id {id}, position long")
 
 
-def least_degree_order(g: Graph, *, allow_cycles: bool = False) -> DataFrame:
-    """(id, position) of an undirected graph, least degree first; a kernel."""
+def least_degree_order(g: Graph, *, allow_cycles: bool = False, local_edges: int = traces.LOCAL_EDGES) -> DataFrame:
+    """(id, position) of an undirected graph, least degree first; a kernel, but for forests of more vertices or edges than ``local_edges``."""
+    if not (fits_one_task(g.edges, local_edges) and fits_one_task(g.vertices, local_edges)):
+        from .leaves import leaf_order
+
+        found = leaf_order(g)
+        if found is not None:
+            return found
+        if not allow_cycles:
+            raise NonAcyclicGraphError("the graph has a cycle")
     return kernel.run(g, lambda x: structure.least_degree_order(x, allow_cycles=allow_cycles), "id {id}, position long")
 
 
